@@ -4,14 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from knotwork.llm import exact_dedup, mixing, url_filter
+from knotwork.llm import bpe, exact_dedup, huffman, media, mixing, simhash, url_filter, warc
 from knotwork.llm.common import table
 
 
+def op2_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_query(table(spark, sf_dir, "pages"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents")).drop("content_hash")
 
 
+def op4_media_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"))
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
@@ -21,5 +37,9 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, url_filter.rule_table(spark)).drop("url")
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op8_source_mixing, op9_url_filter)}
-ORACLES = {"op3_exact_dedup": exact_dedup.ORACLE, "op9_url_filter": url_filter.ORACLE}
+def op10_token_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return huffman.archive_digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_warc_bundles, op3_exact_dedup, op4_media_fingerprints, op5_byte_bpe, op6_simhash, op8_source_mixing, op9_url_filter, op10_token_archive)}
+ORACLES = {"op2_warc_bundles": warc.ORACLE, "op3_exact_dedup": exact_dedup.ORACLE, "op9_url_filter": url_filter.ORACLE}
