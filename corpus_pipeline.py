@@ -1,22 +1,50 @@
-"""The corpus pipeline: stages that each take the documents their predecessor kept."""
+"""The corpus pipeline: each stage takes whole documents that its predecessor kept.
+
+STAGES are applied in order; between two stages the documents are written as Parquet to the shared folder and read again.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from knotwork.llm import exact_dedup, mixing
+from knotwork.llm import bpe, exact_dedup, mixing, quality, simhash
 from knotwork.llm.common import materialize, table
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a rule ensemble, fitted to the labels of these documents, does not reject."""
+    return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the largest id."""
     return exact_dedup.drop_duplicates(docs)
 
 
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that share 0.8 of their five-word shingles the document with the smallest id."""
+    return simhash.drop_near_copies(docs)
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of sources takes it."""
     return mixing.mixed(docs)
 
 
-STAGES = [("exact dedup", exact_stage), ("mixing sources to target weights", mixing_stage)]
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Per document of the mix its token ids and digests of them and of the text decoded from them."""
+    return bpe.digests(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("exact dedup", exact_stage),
+    ("SimHash near-dedup", near_stage),
+    ("mixing sources to target weights", mixing_stage),
+    ("byte-level BPE encoding and decoding", encoding_stage),
+]
+
+#: Fitting, shingle similarity and byte-pair merges are not SQL: the pipeline is tested against brute force instead.
 ORACLE_SQL = None
 
 

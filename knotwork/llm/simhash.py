@@ -1,6 +1,11 @@
 """SimHash near-dedup: fingerprints over word shingles, linked within a radius, grouped into components.
 
-Candidates: two fingerprints that differ in at most `radius` of 64 bits agree in at least 2 of 4 blocks of 16 bits when
+near_duplicates() links fingerprints within a radius of 0 to 2, near_copies() links texts whose shingle sets have a
+Jaccard similarity of at least 0.8. A similarity of 0.8 means about 10 and up to 20 differing bits, for which no cut of 64
+bits into blocks gives selective buckets; near_copies() therefore forms its blocks by min-hashes of the shingles, compares
+the fingerprints inside them bit-sliced, and confirms what is close by the shingle sets themselves.
+
+Candidates of near_duplicates(): two fingerprints that differ in at most `radius` of 64 bits agree in at least 2 of 4 blocks of 16 bits when
 the radius is 2, so each distinct fingerprint goes to six buckets of 32 equal bits. A bucket with more than BUCKET_ROWS
 distinct fingerprints is cut again by thirds of its remaining bits (one third must agree), and those once more, until at
 most 14 bits are free: no comparison task ever sees more than 2**14 fingerprints, and nothing is dropped.
@@ -77,35 +82,44 @@ def planes_of(values):
 
 
 def close(planes, queries, radius: int):
-    """A mask (queries, places): which stored values are within radius (0 to 3) of each query."""
+    """A mask (queries, places): which stored values are within radius of each query."""
     import numpy as np
 
     words, q = planes.shape[1], len(queries)
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
     flips = np.unpackbits(np.ascontiguousarray(queries).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(bool)
     active = np.arange(words)
-    ones, twos, over = (np.zeros((q, words), np.uint64) for _ in range(3))
+    counters = [np.zeros((q, words), np.uint64) for _ in range(max(1, radius.bit_length()))]
+    over = np.zeros((q, words), np.uint64)
     result = np.zeros((q, words), np.uint64)
     for k in range(64):
-        differ = np.where(flips[:, k, None], ~planes[k, active][None, :], planes[k, active][None, :])
-        carry = ones & differ
-        ones ^= differ
-        over |= twos & carry
-        twos ^= carry
+        carry = np.where(flips[:, k, None], ~planes[k, active][None, :], planes[k, active][None, :])
+        for counter in counters:
+            carried = counter & carry
+            counter ^= carry
+            carry = carried
+        over |= carry
         if k % 8 == 7:
-            gone = _exceeds(ones, twos, over, radius)
-            alive = (gone != full).any(axis=0)
+            alive = (_exceeds(counters, over, radius) != full).any(axis=0)
             if not alive.all():
-                active, ones, twos, over = active[alive], ones[:, alive], twos[:, alive], over[:, alive]
+                active, over, counters = active[alive], over[:, alive], [c[:, alive] for c in counters]
                 if not len(active):
                     break
     if len(active):
-        result[:, active] = ~_exceeds(ones, twos, over, radius)
+        result[:, active] = ~_exceeds(counters, over, radius)
     return np.unpackbits(result.view(np.uint8), axis=1, bitorder="little").astype(bool)
 
 
-def _exceeds(ones, twos, over, radius: int):
-    return over | (ones | twos, twos, ones & twos, 0 * ones)[radius]
+def _exceeds(counters, over, radius: int):
+    """Where the counters (lowest first) hold more than radius, or have overflowed."""
+    more, equal = over, ~over
+    for k in reversed(range(len(counters))):
+        if radius >> k & 1:
+            equal = equal & counters[k]
+        else:
+            more = more | (equal & counters[k])
+            equal = equal & ~counters[k]
+    return more
 
 
 def forest(values, radius: int):
@@ -281,8 +295,166 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
-    """docs with its own columns: of each component the rows whose id is the component's (its smallest) stay."""
-    found = near_duplicates(docs, id_col, text_col, **more)
-    stay = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_stay")).distinct()
-    return docs.join(stay, docs[id_col].eqNullSafe(F.col("_stay")), "left_semi")
+# --- links by similarity ------------------------------------------------------------------------------------------------
+
+COPY_WORDS, SIMILARITY = 5, 0.8
+#: Blocks agree in BAND_ROWS min-hashes; a pair at similarity 0.8 misses all BANDS with a probability of 0.002.
+BANDS, BAND_ROWS = 12, 4
+#: A pair at similarity 0.8 differs in 10 bits with a deviation of 3, so one in a million is further apart than this.
+COPY_RADIUS = 24
+#: Distinct shingle sets compared in one task; a larger block is dealt out as pairs of tiles.
+TILE_ROWS = 4096
+
+
+def sketch(text: str | None, words: int = COPY_WORDS):
+    """(identity of the shingle set, SimHash, band keys, sorted 32-bit shingle hashes) of a whole text.
+
+    Texts with fewer words than a shingle have one shingle, the whole sequence; without words the set is empty.
+    """
+    import numpy as np
+    import xxhash
+
+    w = (text or "").encode().lower().split()
+    digest = xxhash.xxh64_intdigest
+    if not w:
+        return digest(b"", SEED), 0, [], np.zeros(0, np.uint32)
+    shingles = zip(*(w[k:] for k in range(words)), strict=False) if len(w) >= words else [w]
+    hashes = np.array([digest(b" ".join(s), SEED) for s in shingles], np.uint64)
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), SHINGLE_BATCH):
+        counts += np.unpackbits(hashes[at : at + SHINGLE_BATCH].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    simhash = int.from_bytes(np.packbits(counts * 2 > len(hashes), bitorder="little").tobytes(), "little")
+    distinct = np.unique(hashes)
+    a = (np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    least = np.full(len(a), 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for at in range(0, len(distinct), 8192):
+        x = (distinct[at : at + 8192, None] ^ (distinct[at : at + 8192, None] >> np.uint64(31))) * a
+        np.minimum(least, (x ^ (x >> np.uint64(29))).min(0), out=least)
+    keys = [digest(bytes([k]) + least[k * BAND_ROWS : (k + 1) * BAND_ROWS].tobytes(), SEED) for k in range(BANDS)]
+    return digest(distinct.tobytes(), SEED), simhash, keys, np.unique((distinct >> np.uint64(32)).astype(np.uint32))
+
+
+def sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        signed = lambda v: np.array(v, np.uint64).view(np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                found = [sketch(x, words) for x in batch.column(1).slice(at, 512).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(at, 512), pa.array(signed([f[0] for f in found])), pa.array(signed([f[1] for f in found])), pa.array([signed(f[2]) for f in found], pa.list_(pa.int64())), pa.array([f[3].tobytes() for f in found], pa.binary())],
+                    names=["id", "s", "fp", "bands", "shingles"],
+                )
+
+    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, s long, fp long, bands array<long>, shingles binary")
+
+
+def similar_forest(fps, sets, similarity: float, radius: int, left=None):
+    """Index pairs (i, root): a spanning forest of the links between sets of at least the similarity.
+
+    Members close by fingerprint are confirmed by their sets. With `left` (a mask) only links between its two sides and
+    inside neither are asked for, as a tile pair needs them. A member is compared with those not yet in its component.
+    """
+    import numpy as np
+
+    n, planes = len(fps), planes_of(fps)
+    sizes = np.array([len(x) for x in sets])
+    root = np.full(n, -1, np.int64)
+    for seed in range(n):
+        if root[seed] >= 0:
+            continue
+        root[seed], frontier = seed, [seed]
+        while frontier:
+            batch, frontier = frontier[:64], frontier[64:]
+            masks = close(planes, fps[batch], radius)[:, :n]
+            for i, mask in zip(batch, masks, strict=True):
+                few, many = np.minimum(sizes, sizes[i]), np.maximum(sizes, sizes[i])
+                mask = mask & (root < 0) & (few >= similarity * many)
+                if left is not None:
+                    mask &= left != left[i]
+                for j in np.flatnonzero(mask).tolist():
+                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if both >= similarity * (sizes[i] + sizes[j] - both):
+                        root[j] = seed
+                        frontier.append(j)
+    linked = np.flatnonzero(root != np.arange(n))
+    return linked, root[linked]
+
+
+def _compare_blocks(similarity: float, radius: int):
+    """mapInArrow over rows (key, side, s, fp, shingles) sorted by key: yields links (a, b)."""
+
+    def told(rows):
+        import numpy as np
+        import pyarrow as pa
+
+        side = np.array([r[1] for r in rows])
+        ids, fps = np.array([r[2] for r in rows], np.int64), np.array([r[3] for r in rows], np.int64).view(np.uint64)
+        sets = [np.frombuffer(r[4], np.uint32) for r in rows]
+        i, j = similar_forest(fps, sets, similarity, radius, side if side.any() else None)
+        if len(i):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j])], names=["a", "b"])
+
+    def run(batches):
+        held = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and row[0] != held[0][0]:
+                    yield from told(held) if len(held) > 1 else ()
+                    held = []
+                held.append(row)
+        if len(held) > 1:
+            yield from told(held)
+
+    return run
+
+
+def copy_links(sets: DataFrame, similarity: float = SIMILARITY, tile_rows: int = TILE_ROWS, radius: int = COPY_RADIUS) -> DataFrame:
+    """(a, b): links that join all of `sets` (s, fp, bands, shingles; s distinct) that agree in a band and are similar."""
+    banded = sets.select("s", F.explode("bands").alias("key"))
+    blocks = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("s").cast("decimal(20,0)")).alias("sum")).filter("n > 1")
+    # blocks with the same members are compared once
+    blocks = materialize(blocks.groupBy("n", "sum").agg(F.min("key").alias("key")).select("key", "n"), "blocks")
+    members = materialize(banded.join(blocks, "key").select("key", "n", "s"), "members")
+    tiles = F.ceil(F.col("n") / tile_rows).cast("int")
+    own = F.pmod(F.xxhash64("s"), F.col("tiles")).cast("int")
+    dealt = members.withColumn("tiles", tiles).withColumn("own", own)
+    # a block of one tile is one group; of more, each pair of tiles is one, and each tile meets itself once
+    pair = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least("own", t).alias("i"), F.greatest("own", t).alias("j")))
+    dealt = dealt.withColumn("p", F.explode(pair)).select(F.struct("key", "p.i", "p.j").alias("group"), ((F.col("p.i") != F.col("p.j")) & (F.col("own") == F.col("p.j"))).alias("side"), "s")
+    rows = dealt.join(sets.select("s", "fp", "shingles"), "s")
+    rows = rows.select(F.xxhash64("group.key", "group.i", "group.j").alias("key"), "side", "s", "fp", "shingles")
+    rows = rows.repartition(partitions(sets.sparkSession), "key").sortWithinPartitions("key")
+    return rows.mapInArrow(_compare_blocks(similarity, radius), "a long, b long").distinct()
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = COPY_WORDS, similarity: float = SIMILARITY, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """One row per row of docs: id_col, component_id, shingle_set.
+
+    Texts link when the sets of their shingles of `words` words have a Jaccard similarity of at least `similarity`; A-Z are
+    lower-cased. Texts with equal sets always link; null, empty and blank texts all have the empty set and link. component_id
+    is the smallest id reachable. Other columns are not read; an empty table gives an empty result.
+    """
+    found = materialize(sketches(docs, id_col, text_col, words), "sketches")
+    sets = found.groupBy("s").agg(F.min("id").alias("least"))
+    whole = materialize(found.select("s", "fp", "bands", "shingles").dropDuplicates(["s"]), "sets")
+    tree = components(copy_links(whole, similarity, tile_rows))
+    rooted = sets.join(tree, sets["s"] == tree["v"], "left").select("s", "least", F.coalesce("root", "s").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = rooted.join(least, "root").select("s", "component_id")
+    return found.select("id", "s").join(named, "s").select(F.col("id").alias(id_col), "component_id", F.col("s").alias("shingle_set"))
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
+    """docs with its own columns: of each component of near_copies() the row with the smallest id stays.
+
+    Rows that share that id stay together only if their texts differ so that each is in the component; of equal rows one stays.
+    """
+    found = materialize(near_copies(docs, id_col, text_col, **more), "near-copies")
+    stay = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("_stay")).agg(F.count(F.lit(1)).alias("_n"))
+    left = docs.join(stay.select("_stay"), docs[id_col].eqNullSafe(F.col("_stay")), "left_semi")
+    return left if stay.filter("_n > 1").isEmpty() else left.dropDuplicates([id_col])
