@@ -53,11 +53,11 @@ def statistics(text: str | None) -> list[float]:
     ]
 
 
-def with_statistics(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
-    """The columns keep of docs and `stats`, an array of STATISTICS."""
+def with_statistics(docs: DataFrame, text_col: str, keep: list[str], stats_col: str = "stats") -> DataFrame:
+    """The columns keep of docs and stats_col, an array of STATISTICS."""
     from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-    schema = StructType([docs.schema[c] for c in keep] + [StructField("stats", ArrayType(DoubleType()))])
+    schema = StructType([docs.schema[c] for c in keep] + [StructField(stats_col, ArrayType(DoubleType()))])
 
     def run(batches):
         import pyarrow as pa
@@ -234,5 +234,5 @@ def score(docs: DataFrame, model: RuleEnsemble, id_col: str = "doc_id", text_col
 
 def keep_good(docs: DataFrame, model: RuleEnsemble, text_col: str = "text") -> DataFrame:
     """docs with its own columns, without the rows that the model rejects."""
-    stats = with_statistics(docs, text_col, docs.columns)
-    return stats.filter(model.column(F.col("stats")) >= 0.5).select(*docs.columns)
+    stats = with_statistics(docs, text_col, docs.columns, "_quality_stats")
+    return stats.filter(model.column(F.col("_quality_stats")) >= 0.5).select(*[F.col(f"`{c}`") for c in docs.columns])

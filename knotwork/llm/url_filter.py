@@ -60,12 +60,12 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str
         expanded = expanded.withColumn("full", digest(F.col("hs"), F.col("pp"))).withColumn("short", F.substring("full", 1, 4))
         hits = expanded.alias("e").join(known.alias("k"), F.col("e.short") == F.col("k.short")).filter("e.full = k.full")
         rank = F.struct(F.length("rule").alias("n"), (F.col("rule_verdict") == "block").alias("block"), "rule", "rule_verdict")
-        best = hits.groupBy("url").agg(F.max(rank).alias("best")).select(F.col("url").alias("_judged_url"), "best")
+        best = hits.groupBy("url").agg(F.max(rank).alias("best")).select(F.col("url").alias("_judged_url"), F.col("best").alias("_judged"))
     else:
-        best = spark.createDataFrame([], "_judged_url string, best struct<n:int,block:boolean,rule:string,rule_verdict:string>")
+        best = spark.createDataFrame([], "_judged_url string, _judged struct<n:int,block:boolean,rule:string,rule_verdict:string>")
     joined = pages.join(best, pages[url_col] == F.col("_judged_url"), "left")
     host, path = url_parts(pages[url_col])
-    made = {"host": host, "path": path, "rule": F.col("best.rule"), "verdict": F.coalesce(F.col("best.rule_verdict"), F.lit(default))}
+    made = {"host": host, "path": path, "rule": F.col("_judged.rule"), "verdict": F.coalesce(F.col("_judged.rule_verdict"), F.lit(default))}
     return joined.select(*[pages[c] for c in pages.columns if c not in made], *[v.alias(k) for k, v in made.items()])
 
 
