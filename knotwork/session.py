@@ -83,11 +83,12 @@ class Session:
         if type(q) in MUTATIONS:
             apply, word = MUTATIONS[type(q)]
             made, n = apply(space, q, self.tick())
-            self.put(made)
+            # derived facts follow from edges alone
+            self.put(made, derive=isinstance(q, s.InsertEdge | s.DeleteEdge) or isinstance(q, s.Update) and q.edge)
             return self.spark.createDataFrame([(n,)], f"{word} long")
         for kind, apply in ((s.Create, schema.create), (s.Alter, schema.alter), (s.Drop, schema.drop)):
             if isinstance(q, kind):
-                self.put(apply(space, q))
+                self.put(apply(space, q), derive=q.kind == "edge" and bool(space.edge_frames))
                 return self.status("Done")
         if space.dirty:
             raise QueryError("derived facts are incomplete; REPAIR INFERENCE first")
@@ -112,8 +113,11 @@ class Session:
         self.last_tx = max(self.last_tx + 1, self.clock())
         return self.last_tx
 
-    def put(self, space: Space) -> None:
-        """The changed space takes the old one's place, with what its rules entail made anew."""
+    def put(self, space: Space, derive: bool = True) -> None:
+        """The changed space takes the old one's place; with derive, what its rules entail is made anew."""
+        if not derive:
+            self.spaces[space.name] = space
+            return
         try:
             self.spaces[space.name] = closure.materialize_rules(space, self.derived_budget)
         except QueryError:

@@ -98,7 +98,6 @@ def test_labels_and_three_logics(db):
     with pytest.raises(QueryError):
         look("n CONTAINS 'x'")
     assert rows(db.execute("MATCH (a:animal:pet) RETURN tags(a) AS t, properties(a) AS p")) == [(["animal", "pet"], {"animal.n": "3", "pet.n": "4"})]
-    assert rows(db.execute("SHOW STATS"))[-1][2] == 4 or True
     stats = {(r.Type, r.Name): r.Count for r in db.execute("SHOW STATS").collect()}
     assert stats["Tag", "animal"] == 3 and stats["Tag", "pet"] == 1 and stats["Total", "vertices"] == 4
 
@@ -217,7 +216,7 @@ def test_changes_and_guards(db):
         db.execute("GO FROM 1 OVER e; DELETE VERTEX 1", read_only=True)
     db.execute("ALTER TAG t ADD (c DOUBLE NULL); ALTER TAG t DROP (b)")
     assert [r[0] for r in db.execute("DESCRIBE TAG t").collect()] == ["a", "c"]
-    assert "ScanTag" not in str(rows(db.execute("EXPLAIN MATCH (x:t) RETURN id(x) AS v")))
+    assert rows(db.execute("EXPLAIN MATCH (x:t) RETURN id(x) AS v"))[0][1:] == ("TagScan", "frame t", "x")
     db.execute("CREATE TAG INDEX i ON t(a)")
     assert rows(db.execute("EXPLAIN LOOKUP ON t WHERE a == 1"))[0][1] == "IndexScan"
     assert db.execute("PROFILE LOOKUP ON t WHERE a == 2").first()["rows"] == 1
