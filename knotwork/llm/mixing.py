@@ -101,3 +101,29 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", t
     joined = docs.join(copies, docs[id_col].eqNullSafe(F.col("_mix_id"))).filter("_mix_copies > 0")
     return joined.withColumn("_mix_turn", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*[docs[c] for c in docs.columns])
 
+
+
+#: The same mix with one prefix sum per source; levels and targets are computed in the same order.
+ORACLE = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, length(text) AS n FROM documents
+), k AS (
+  SELECT doc_id, source, size, -ln((('0x' || substr(md5('42:' || doc_id), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)
+         / greatest(CASE WHEN size > 0 THEN 1 / (1 + abs(n::DOUBLE / size - 1 - 5) / 5) ELSE 1.0 END, 1e-6) AS key FROM d
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight, sum(size)::DOUBLE * 3 AS cap FROM d GROUP BY source
+), l AS (
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER w, 0.0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0)) AS level
+  FROM s WINDOW w AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), f AS (SELECT *, level < cap / weight AS free FROM l),
+t AS (
+  SELECT source, source_size, CASE WHEN free THEN weight * (SELECT arg_min(level, cap / weight) FROM f WHERE free) ELSE cap END AS target FROM f
+), p AS (
+  SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 3) ELSE 1 END::BIGINT AS epochs FROM t
+), x AS (
+  SELECT k.*, source_size, target, epochs, greatest(target - epochs * source_size, 0) AS rest,
+         coalesce(sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE + size / 2 AS middle
+  FROM k JOIN p ON k.source IS NOT DISTINCT FROM p.source
+), c AS (SELECT *, epochs + (rest > 0 AND middle <= rest AND size > 0 AND epochs < 3)::BIGINT AS copies FROM x)
+SELECT doc_id, source, size, source_size, target::DOUBLE AS target, copies, size * copies AS taken FROM c
+"""

@@ -53,4 +53,4 @@ def op10_token_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_warc_bundles, op3_exact_dedup, op4_media_fingerprints, op5_byte_bpe, op6_simhash, op7_language_mixture, op8_source_mixing, op9_url_filter, op10_token_archive)}
-ORACLES = {"op2_warc_bundles": warc.ORACLE, "op3_exact_dedup": exact_dedup.ORACLE, "op9_url_filter": url_filter.ORACLE}
+ORACLES = {"op2_warc_bundles": warc.ORACLE, "op3_exact_dedup": exact_dedup.ORACLE, "op8_source_mixing": mixing.ORACLE, "op9_url_filter": url_filter.ORACLE}
