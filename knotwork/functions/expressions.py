@@ -97,6 +97,27 @@ class Compiler:
             raise QueryError("a condition must be true or false")
         return F.coalesce(found.col.cast("boolean"), F.lit(False))
 
+    def filter(self, e) -> Column:
+        """The same for a filter of rows, written so that comparisons reach the scan.
+
+        Where a row is dropped for null as for false, AND, OR and comparisons need no care for null; only what stands
+        below NOT or inside other expressions does.
+        """
+        if isinstance(e, s.Bin) and e.op in ("AND", "OR"):
+            left, right = self.filter(e.left), self.filter(e.right)
+            return left & right if e.op == "AND" else left | right
+        if isinstance(e, s.Bin) and e.op in ("==", "<", "<=", ">", ">=") and isinstance(e.right, s.Lit) and e.right.value is not None:
+            left, right = self(e.left), self(e.right)
+            if self.mode is not Mode.EVAL and comparable(left, right) and left.kind not in ("missing", "null") and not (self.mode is Mode.LOOKUP and e.op == "==" and left.kind != right.kind):
+                if e.op != "==":
+                    return {"<": left.col < right.col, "<=": left.col <= right.col, ">": left.col > right.col, ">=": left.col >= right.col}[e.op]
+                if self.mode is Mode.MATCH or left.kind != "float":
+                    return left.col == right.col
+                near = F.lit(e.right.value)
+                # the range reaches the scan; the exact test stays beside it
+                return (left.col >= near - 2 * LOOKUP_EPSILON) & (left.col <= near + 2 * LOOKUP_EPSILON) & self.condition(e)
+        return self.condition(e)
+
     def __call__(self, e) -> Typed:
         if isinstance(e, s.Lit):
             return literal(e.value)

@@ -140,9 +140,10 @@ def with_destinations(space: Space, rows: DataFrame, exprs) -> DataFrame:
     return rows
 
 
-def vertex_json(space: Space) -> DataFrame:
-    """(vid, vertex): all tags of each vertex as JSON."""
-    parts = [space.tag(t).select("vid", F.struct(F.lit(k).alias("at"), F.lit(t).alias("tag"), F.to_json(F.struct(*[F.col(f"`{f.name}`") for f in space.tags[t].fields])).alias("props")).alias("part")) for k, t in enumerate(space.tags)]
+def vertex_json(space: Space, vids: DataFrame | None = None) -> DataFrame:
+    """(vid, vertex): all tags of each vertex, or of those in vids, as JSON."""
+    only = (lambda frame: frame) if vids is None else (lambda frame: frame.join(vids.select("vid"), "vid", "left_semi"))
+    parts = [only(space.tag(t)).select("vid", F.struct(F.lit(k).alias("at"), F.lit(t).alias("tag"), F.to_json(F.struct(*[F.col(f"`{f.name}`") for f in space.tags[t].fields])).alias("props")).alias("part")) for k, t in enumerate(space.tags)]
     if not parts:
         return space.spark.createDataFrame([], f"vid {space.vid_sql}, vertex string")
     grouped = union_all(parts).groupBy("vid").agg(F.sort_array(F.collect_list("part")).alias("parts"))

@@ -10,7 +10,7 @@ from knotwork.functions.expressions import Compiler, Mode, Typed, kind_of
 from knotwork.operators.go import start_vids, vertex_json
 from knotwork.operators.temporal import as_of
 from knotwork.plans import syntax as s
-from knotwork.sources.graph import Space
+from knotwork.sources.graph import Space, union_all
 
 
 def field_names(frame: DataFrame, owner: str):
@@ -56,10 +56,10 @@ def run_lookup(space: Space, query: s.Lookup) -> DataFrame:
     frame = space.tag(tag) if tag else space.edge(edge)
     if query.where is not None:
         check_predicate(query.where)
-        frame = frame.filter(LookupCompiler(Mode.LOOKUP, field_names(frame, tag or edge)).condition(query.where))
+        frame = frame.filter(LookupCompiler(Mode.LOOKUP, field_names(frame, tag or edge)).filter(query.where))
     if tag:
         vids = frame.select("vid")
-        result = vids.join(vertex_json(space), "vid").select(F.col("vid").alias(f"{tag}.vid"), F.col("vertex").alias(f"{tag}.*"))
+        result = vids.join(vertex_json(space, vids), "vid").select(F.col("vid").alias(f"{tag}.vid"), F.col("vertex").alias(f"{tag}.*"))
     else:
         result = frame.select(*[F.col(c).alias(f"{edge}.{c}") for c in ("src", "dst", "rank")])
     if query.offset:
@@ -105,8 +105,6 @@ def fetch_edges(space: Space, query: s.Fetch) -> DataFrame:
     for n in space.edge_names(query.names):
         frame = space.edge(n) if query.as_of is None else as_of(space, "edge", n, query.as_of)
         frames.append(frame.select("src", "dst", "rank", F.lit(n).alias("type"), F.to_json(F.struct(*[F.col(f"`{f.name}`") for f in space.edges[n].fields])).alias("properties")) if space.edges[n].fields else frame.select("src", "dst", "rank", F.lit(n).alias("type"), F.lit("{}").alias("properties")))
-    from knotwork.sources.graph import union_all
-
     edges = union_all(frames)
     hit = (F.col("_a") == F.col("src")) & (F.col("_b") == F.col("dst")) & (F.col("_rank").isNull() | (F.col("_rank") == F.col("rank")))
     return refs.join(edges, hit).orderBy("pos", "type", "rank").select("src", "dst", "rank", "properties")

@@ -8,6 +8,9 @@ its properties, so no second join fetches them.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -170,10 +173,8 @@ class Matcher:
         for n in pats:
             for prop, value in n.props:
                 tags = [t for t in space.tags if t in needed and prop in needed[t]]
-                fits = F.lit(False)
-                for t in tags:
-                    fits = fits | F.coalesce(self._literal_equal(F.col(f"{var}__{t}__{prop}"), value), F.lit(False))
-                frame = frame.filter(fits)
+                fits = [self._literal_equal(F.col(f"{var}__{t}__{prop}"), value) for t in tags]
+                frame = frame.filter(reduce(or_, fits)) if fits else frame.limit(0)
         keep = [f"{var}__vid"]
         if var in self.whole:
             entries = [F.when(F.col(f"{var}__is__{t}"), F.lit(t)) for t in space.tags if f"{var}__is__{t}" in frame.columns]
@@ -196,7 +197,7 @@ class Matcher:
         known = [p for p in wanted if any(f.name == p for n in space.edge_names(e.types) for f in space.edges[n].fields)]
         frame = space.edges_of(e.types, known)
         for p, value in e.props:
-            frame = frame.filter(F.coalesce(self._literal_equal(F.col(f"`{p}`"), value), F.lit(False))) if p in known else frame.limit(0)
+            frame = frame.filter(self._literal_equal(F.col(f"`{p}`"), value)) if p in known else frame.limit(0)
         own = frame.select(*[F.col(c).alias(f"{var}__{c}") for c in ("src", "dst", "rank", "type")], *[F.col(f"`{p}`").alias(f"{var}__p____{p}") for p in known])
         out = own.withColumns({"_from": F.col(f"{var}__src"), "_to": F.col(f"{var}__dst")})
         if e.direction == "out":
@@ -314,7 +315,7 @@ class Matcher:
         frame = self.with_classes(self.frame())
         compiler = Compiler(Mode.MATCH, self.resolve(frame))
         if q.where is not None:
-            frame = frame.filter(compiler.condition(q.where))
+            frame = frame.filter(compiler.filter(q.where))
         if not q.items:
             shown = sorted(v for v in (*self.nodes, *self.edges) if not v.startswith("__anon"))
             result = frame.select(*[F.col(f"{v}__vid").alias(v) if v in self.nodes else compiler(s.Name(v)).col.alias(v) for v in shown])
