@@ -7,15 +7,18 @@ from pyspark.sql import functions as F
 
 from knotwork.sources.graph import cut, union_all
 
-#: Rounds after which what a loop holds is written to the shared folder.
-CUT_ROUNDS = 3
+#: Rounds after which what a loop holds is written to the shared folder; a frontier is read twice, so each is written.
+CUT_ROUNDS = 1
 
 
 def reachable(starts: DataFrame, steps: DataFrame, low: int, high: int) -> DataFrame:
     """(_from, _to): ends of simple paths of low to high steps; a path never returns to its start.
 
-    With low at most 1 the ends are what breadth-first search finds, so no path is kept; above, paths are.
+    With low at most 1 the ends are what breadth-first search finds, so no path is kept; above, paths are. The steps are
+    written once where more than one round reads them.
     """
+    if high > 1:
+        steps = cut(steps)
     steps = steps.select(F.col("_from").alias("_a"), F.col("_to").alias("_b"))
     if low <= 1:
         seen = frontier = starts.select(F.col("vid").alias("_from"), F.col("vid").alias("_to"))

@@ -6,6 +6,8 @@ changed by putting new frames in the place of old ones, so a statement that fail
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -86,9 +88,23 @@ def scratch_dir(spark: SparkSession) -> str:
     return (found if "://" in found else f"file://{found}").rstrip("/")
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def drop_rounds() -> None:
+    """Deletes what cut() has written; frames that still read it stop working."""
+    while _written:
+        spark, path = _written.pop()
+        with contextlib.suppress(Exception):
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read back: what a loop goes on with, without the rounds that made it."""
     path = f"{scratch_dir(df.sparkSession)}/rounds-{uuid.uuid4().hex}"
+    _written.append((df.sparkSession, path))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
