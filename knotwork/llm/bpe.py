@@ -1,12 +1,12 @@
 """Byte-level BPE encoding and decoding by ranks, with a hierarchical bitmap as the merge queue.
 
 Merging a pre-token: the pairs of neighbouring parts wait in buckets, one per merge rank, as positions of a linked list.
-A bitmap of three levels of 64-bit words knows which buckets hold anything, so find-first-set gives the lowest rank in
-three steps whatever the length; an entry whose pair has changed meanwhile is stale and skipped. The work for a
+A bitmap of two levels knows which buckets hold anything, so find-first-set gives the lowest rank in two steps whatever
+the length; an entry whose pair has changed meanwhile is stale and skipped. The work for a
 pre-token of n bytes is n queue operations, with no scan over what remains.
 
-Words repeat, so the ids of short pieces are kept in a table of bounded size in each Python worker. A text is cut before
-every single space that a non-space follows: no match of the pattern spans such a place, so pieces encode on their own.
+Words repeat, so the ids of short pieces are kept in tables of bounded size in each Python worker. A text is cut where no
+match of the pattern spans the place (see PieceEncoder), so pieces encode on their own.
 """
 
 from __future__ import annotations
@@ -18,60 +18,22 @@ from heapq import heappop, heappush
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pieces that a worker remembers, and the longest piece (characters) worth remembering.
-CACHE_PIECES, CACHE_LENGTH = 400_000, 48
+#: Words that a worker remembers and the longest piece (characters) worth remembering.
+CACHE_STEMS, CACHE_LENGTH = 1_000_000, 48
+#: The lower level of the bitmap has words of 2**WORD_BITS ranks; the upper level is one word over those.
+WORD_BITS = 8
+WORD_MASK = (1 << WORD_BITS) - 1
 #: Bytes of ids that one Arrow batch of results gathers before it is sent on.
 BATCH_BYTES = 8 << 20
 
 
-class RankQueue:
-    """Positions by rank: push(rank, position), pop() gives the leftmost position of the lowest rank."""
-
-    def __init__(self, ranks: int):
-        self.levels = []
-        n = max(ranks, 1)
-        while True:
-            n = (n + 63) >> 6
-            self.levels.append([0] * n)
-            if n == 1:
-                break
-        self.levels.reverse()
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        i = rank
-        for level in reversed(self.levels):
-            word = i >> 6
-            had = level[word]
-            level[word] = had | (1 << (i & 63))
-            if had:
-                break
-            i = word
-
-    def pop(self) -> tuple[int, int] | None:
-        if not self.buckets:
-            return None
-        i = 0
-        for level in self.levels:
-            word = level[i]
-            i = (i << 6) + (word & -word).bit_length() - 1
-        bucket = self.buckets[i]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[i]
-            j = i
-            for level in reversed(self.levels):
-                word = j >> 6
-                level[word] &= ~(1 << (j & 63))
-                if level[word]:
-                    break
-                j = word
-        return i, position
+def add_position(buckets: dict, rank: int, position: int) -> None:
+    """Adds a position to a bucket that holds one, or a heap of several."""
+    held = buckets[rank]
+    if held.__class__ is int:
+        buckets[rank] = [held, position] if held < position else [position, held]
+    else:
+        heappush(held, position)
 
 
 class BytePairCodec:
@@ -82,55 +44,87 @@ class BytePairCodec:
 
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.longest = max(map(len, ranks))
-        self.queue = RankQueue(max(ranks.values()) + 1)
         self.tokens = {v: k for k, v in ranks.items()}
-        self.after_space = Pieces(lambda piece: self.segment(" " + piece))
-        self.words = Pieces(lambda word: b"".join(i.to_bytes(4, "little") for i in self.merge(word.encode())))
+        #: The ranks of pairs of bytes.
+        self.pairs = {(k[0], k[1]): v for k, v in ranks.items() if len(k) == 2}
+        #: The lower level of the bitmap, a word for WORD ranks; all zero between two pre-tokens.
+        self.low = [0] * ((max(ranks.values()) >> WORD_BITS) + 1)
+        self.words = Pieces(lambda word: b"".join([i.to_bytes(4, "little") for i in self.merge(word.encode())]), CACHE_STEMS // 16)
+        self.pieces = PieceEncoder(self.segment)
 
     def merge(self, piece: bytes) -> list[int]:
-        """The ids of one pre-token: the lowest-ranked, then leftmost pair merges until none is in the table."""
-        ranks, queue, longest = self.ranks, self.queue, self.longest
-        whole = ranks.get(piece)
+        """The ids of one pre-token: the lowest-ranked, then leftmost pair merges until none is in the table.
+
+        Bucket r holds the positions whose pair merges to rank r: one position, or a heap of several. A merge only makes
+        pairs longer than the token it makes, so a bucket never grows while it is the lowest.
+        """
+        get, longest, low = self.ranks.get, self.longest, self.low
+        whole = get(piece)
         if whole is not None:
             return [whole]
-        n = len(piece)
+        n, high, buckets = len(piece), 0, {}
         ends = list(range(1, n + 1))  # part i is piece[i:ends[i]]; ends[i] is also the next part's position
         starts = list(range(-1, n))  # starts[i]: the position of the part before i
-        waiting = [-1] * n  # the rank for which the pair at i waits
-        for i in range(n - 1):
-            r = ranks.get(piece[i : i + 2])
+        waiting = [*map(self.pairs.get, zip(piece, piece[1:])), None, None]  # the rank for which the pair at i waits
+        for i, r in enumerate(waiting):
             if r is not None:
-                waiting[i] = r
-                queue.push(r, i)
-        while (entry := queue.pop()) is not None:
-            r, i = entry
+                if r in buckets:
+                    add_position(buckets, r, i)
+                else:
+                    buckets[r] = i
+                    word = r >> WORD_BITS
+                    low[word] |= 1 << (r & WORD_MASK)
+                    high |= 1 << word
+        while high:
+            # find first set in the upper, then in the lower level
+            word = (high & -high).bit_length() - 1
+            held = low[word]
+            r = (word << WORD_BITS) + (held & -held).bit_length() - 1
+            i = buckets[r]
+            if i.__class__ is int:
+                del buckets[r]
+                held = low[word] = held & (held - 1)
+                if not held:
+                    high &= high - 1
+            else:
+                bucket, i = i, heappop(i)
+                if len(bucket) == 1:
+                    buckets[r] = bucket[0]
             if waiting[i] != r:
-                continue
+                continue  # stale: the pair has changed
             j = ends[i]
-            waiting[j] = -1
+            waiting[j] = None
             end = ends[i] = ends[j]
             if end < n:
                 starts[end] = i
-                r = ranks.get(piece[i : ends[end]]) if ends[end] - i <= longest else None
-                if r is None:
-                    waiting[i] = -1
-                else:
-                    waiting[i] = r
-                    queue.push(r, i)
+                after = ends[end]
+                r = waiting[i] = get(piece[i:after]) if after - i <= longest else None
+                if r is not None:
+                    if r in buckets:
+                        add_position(buckets, r, i)
+                    else:
+                        buckets[r] = i
+                        word = r >> WORD_BITS
+                        low[word] |= 1 << (r & WORD_MASK)
+                        high |= 1 << word
             else:
-                waiting[i] = -1
+                waiting[i] = None
             if i:
-                p = starts[i]
-                r = ranks.get(piece[p:end]) if end - p <= longest else None
-                if r is None:
-                    waiting[p] = -1
-                else:
-                    waiting[p] = r
-                    queue.push(r, p)
+                i = starts[i]
+                r = waiting[i] = get(piece[i:end]) if end - i <= longest else None
+                if r is not None:
+                    if r in buckets:
+                        add_position(buckets, r, i)
+                    else:
+                        buckets[r] = i
+                        word = r >> WORD_BITS
+                        low[word] |= 1 << (r & WORD_MASK)
+                        high |= 1 << word
         out, i = [], 0
         while i < n:
-            out.append(ranks[piece[i : ends[i]]])
-            i = ends[i]
+            end = ends[i]
+            out.append(get(piece[i:end]))
+            i = end
         return out
 
     def segment(self, text: str) -> bytes:
@@ -138,7 +132,7 @@ class BytePairCodec:
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers; null and empty texts have none."""
-        return encode_pieces(text, self.segment, self.after_space.__getitem__)
+        return self.pieces.encode(text)
 
     def decode(self, ids: bytes) -> bytes:
         import numpy as np
@@ -147,44 +141,104 @@ class BytePairCodec:
 
 
 class Pieces(dict):
-    """A table that computes what it lacks and starts anew when full."""
+    """A table that computes what it lacks; when full it becomes the older half, from which what is met again returns."""
 
-    def __init__(self, compute):
+    def __init__(self, compute, most: int):
         super().__init__()
-        self.compute = compute
+        self.compute, self.most, self.older = compute, most // 2, {}
 
     def __missing__(self, piece: str):
-        found = self.compute(piece)
+        found = self.older.get(piece)
+        if found is None:
+            found = self.compute(piece)
+        self.put(piece, found)
+        return found
+
+    def put(self, piece: str, found: bytes) -> None:
         if len(piece) <= CACHE_LENGTH:
-            if len(self) >= CACHE_PIECES:
+            if len(self) >= self.most:
+                self.older = dict(self)
                 self.clear()
             self[piece] = found
-        return found
 
 
-def spaced_pieces(text: str) -> tuple[list[str], bool]:
-    """text cut at single spaces before a non-space; True: the pieces after the first lack that leading space."""
-    pieces = text.split(" ")
-    if all(pieces[1:]) and not any(p[0].isspace() for p in pieces[1:]):
-        return pieces, True
-    found, open_ = [], [pieces[0]]
-    for p in pieces[1:]:
-        if p and not p[0].isspace():
+class PieceEncoder:
+    """Encodes texts piece by piece: segment(text) encodes what no match of the pattern leaves or enters.
+
+    Where all white space is single spaces and line ends, each starts or is a match of its own, so a text falls into line
+    ends, first words of lines, and words after a space. A comma or full stop behind a letter at the end of a word is a
+    match too, so words are remembered without it. Other texts are cut before single spaces that a non-space follows.
+    """
+
+    def __init__(self, segment):
+        self.segment = segment
+        self.stems = Pieces(lambda word: self.segment(" " + word), CACHE_STEMS)
+        self.first = Pieces(segment, CACHE_STEMS // 16)
+        self.line_end = segment("\n")
+        self.marks = {m: segment(m) for m in ".,"}
+
+    def after_space(self, word: str) -> bytes:
+        mark = self.marks.get(word[-1])
+        if mark is not None and word[-2:-1].isalpha():
+            return self.stems[word[:-1]] + mark
+        return self.stems[word]
+
+    def encode(self, text: str | None) -> bytes:
+        return self.encode_batch([text])[0]
+
+    def encode_batch(self, texts: list, learn=None) -> list[bytes]:
+        """The ids of each text; learn(words) may fill the table with the words that the batch lacks."""
+        cut, new = [], set()
+        for text in texts:
+            words = text.split() if text else []
+            if text and not is_tight(text, words):
+                cut.append(None)
+                continue
+            ids = list(map(self.stems.get, words))
+            open_, k = [], -1
+            try:
+                while True:
+                    k = ids.index(None, k + 1)
+                    open_.append(k)
+            except ValueError:
+                pass
+            if learn is not None:
+                new.update([words[k] for k in open_])
+            cut.append((words, ids, open_))
+        if new:
+            learn(new)
+        out = []
+        for text, c in zip(texts, cut, strict=True):
+            if c is None:
+                out.append(b"".join(map(self.segment, loose_pieces(text))))
+                continue
+            words, ids, open_ = c
+            for k in open_:
+                ids[k] = self.after_space(words[k])
+            at = 0
+            for line in text.split("\n") if text else ():
+                ids[at] = (self.line_end if at else b"") + self.first[words[at]]
+                at += line.count(" ") + 1
+            out.append(b"".join(ids))
+        return out
+
+
+def is_tight(text: str, words: list[str]) -> bool:
+    """Whether all white space is one space or one line end between two words; words is text.split()."""
+    gaps = len(words) - 1
+    return len(text) == sum(map(len, words)) + gaps and text.count(" ") + text.count("\n") == gaps
+
+
+def loose_pieces(text: str) -> list[str]:
+    """text cut before each single space that a non-space follows."""
+    found, open_ = [], []
+    for k, p in enumerate(text.split(" ")):
+        if k and p and not p[0].isspace():
             found.append("".join(open_))
             open_ = [" ", p]
         else:
-            open_ += (" ", p)
-    found.append("".join(open_))
-    return found, False
-
-
-def encode_pieces(text, segment, after_space) -> bytes:
-    if not text:
-        return b""
-    pieces, bare = spaced_pieces(text)
-    if bare:
-        return segment(pieces[0]) + b"".join(map(after_space, pieces[1:]))
-    return b"".join(after_space(p[1:]) if p[:1] == " " and p[1:2] and not p[1].isspace() and k else segment(p) for k, p in enumerate(pieces))
+            open_ += (" ", p) if k else (p,)
+    return [*found, "".join(open_)]
 
 
 @lru_cache(maxsize=2)

@@ -22,7 +22,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knotwork.llm.bpe import Pieces, encode_pieces, spaced_pieces
+from knotwork.llm.bpe import CACHE_LENGTH, PieceEncoder, Pieces
 from knotwork.llm.common import filesystem, partitions, publish, scratch
 
 END_ID = 2
@@ -123,7 +123,7 @@ class Code:
         out, at = np.zeros((CHECKPOINT, lanes), np.uint32), np.array(checkpoints, np.uint64)
         rest = n - (lanes - 1) * CHECKPOINT
         drop, six, low, one, top = np.uint64(64 - self.bits), np.uint64(6), np.uint64(63), np.uint64(1), np.uint64(63)
-        for step in range(CHECKPOINT if lanes > 1 else rest):
+        for step in range(CHECKPOINT if lanes > 1 else rest if lanes else 0):
             if step == rest:
                 at = at[:-1]  # the last stretch may be shorter
             word, shift = (at >> six).astype(np.int64), at & low
@@ -131,7 +131,7 @@ class Code:
             entry = (window >> drop).astype(np.int64)
             out[step, : len(at)] = self.table_symbol[entry]
             at = at + self.table_length[entry]
-        return out.T.reshape(-1)[:n] if lanes else out[:0, 0]
+        return out.T.reshape(-1)[:n]
 
 
 # --- blocks and files -----------------------------------------------------------------------------------------------
@@ -181,26 +181,46 @@ def _tokenizer(path: str):
 
     made = Tokenizer.from_file(path)
     made.encode_special_tokens = True  # their strings in a text are ordinary text
-    return made, Pieces(lambda piece: _ids(made, [" " + piece])[0])
+    return made, PieceEncoder(lambda text: _ids(made, text))
 
 
-def _ids(tokenizer, texts: list[str]) -> list[bytes]:
+def _ids(tokenizer, text: str) -> bytes:
     import numpy as np
 
-    return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def learn_words(tokenizer, stems: Pieces, met: set[str]) -> None:
+    """Adds the ids of " word" for the words met that are letters only and new, by the tokenizer's model.
+
+    Such a word is one pre-token, so its ids are those that the model gives its bytes, written in the byte alphabet.
+    """
+    import numpy as np
+
+    letters, older = byte_alphabet(), stems.older
+    tokens = tokenizer.model.tokenize
+    for word in {w[:-1] if w[-1] in ".," else w for w in met}:
+        if word in stems or len(word) > CACHE_LENGTH or not word.isalpha():
+            continue
+        found = older.get(word)
+        if found is None:
+            text = letters[32] + (word if word.isascii() else "".join([letters[b] for b in word.encode()]))
+            found = np.array([t.id for t in tokens(text)], "<u4").tobytes()
+        stems.put(word, found)
+
+
+@lru_cache(maxsize=1)
+def byte_alphabet() -> list[str]:
+    """The printable character that stands for each byte: printable Latin-1 for itself, the others from 256 on in order."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
 def encode_texts(path: str, texts: list) -> list[bytes]:
     """The ids (u32) of each whole text; words met before come from a bounded table, new ones are encoded in one call."""
-    tokenizer, known = _tokenizer(path)
-    cut = [spaced_pieces(t) if t else ([], True) for t in texts]
-    new = [p for p in {p for pieces, bare in cut if bare for p in pieces[1:]} if p not in known and len(p) <= 48]
-    fresh = dict(zip(new, _ids(tokenizer, [" " + p for p in new]), strict=True)) if new else {}
-    known.update(fresh)
-    out = [encode_pieces(t, lambda s: _ids(tokenizer, [s])[0], known.__getitem__) for t in texts]
-    if len(known) > 400_000:
-        known.clear()
-    return out
+    tokenizer, pieces = _tokenizer(path)
+    return pieces.encode_batch(texts, lambda met: learn_words(tokenizer, pieces.stems, met))
 
 
 # --- jobs -----------------------------------------------------------------------------------------------------------
