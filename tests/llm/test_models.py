@@ -111,6 +111,22 @@ def test_bands_miss_as_independent_functions(shared, most):
     assert missed <= most
 
 
+def repeated_line_pairs():
+    """Pairs that differ in how often a line is there and in one word."""
+    rnd = random.Random(6)
+    for _ in range(8):
+        words = ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(409)]
+        body, line = words[:400], words[400:]
+        yield " ".join(body + line * 200), " ".join([*body[:200], "edited", *body[201:], *line])
+
+
+def test_near_copies_with_repeated_lines(spark):
+    texts = [t for pair in repeated_line_pairs() for t in pair]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
+    assert got == {k: k // 2 * 2 for k in range(len(texts))}
+
+
 def test_near_duplicates_edges(spark):
     docs = spark.createDataFrame([(5, None, "a"), (4, "", "a"), (3, "x y", "a"), (3, "x y", "a"), (None, "X Y", "a")], "doc_id long, text string, component_id string")
     got = {repr((r.doc_id, r.fingerprint == "0" * 16, r.component_id)) for r in simhash.near_duplicates(docs).collect()}
