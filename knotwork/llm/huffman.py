@@ -180,7 +180,7 @@ def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
     made = Tokenizer.from_file(path)
-    made.encode_special_tokens = True  # their strings in a text are ordinary text
+    made.encode_special_tokens = True  # pieces have no added tokens; archive_ids() looks for them in whole texts
     return made, PieceEncoder(lambda text: _ids(made, text))
 
 
@@ -218,11 +218,34 @@ def byte_alphabet() -> list[str]:
 
 
 def encode_texts(path: str, texts: list) -> list[bytes]:
-    """The ids (u32) of each whole text; words met before come from a bounded table, new ones are encoded in one call."""
+    """The ids (u32) of each whole text, strings of added tokens as ordinary text; words met before come from a bounded table, new ones are encoded in one call."""
     tokenizer, pieces = _tokenizer(path)
     return pieces.encode_batch(texts, lambda met: learn_words(tokenizer, pieces.stems, met))
 
 
+@lru_cache(maxsize=2)
+def _as_loaded(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+@lru_cache(maxsize=2)
+def _added(path: str) -> tuple[str, ...]:
+    return tuple(t.content for t in _tokenizer(path)[0].get_added_tokens_decoder().values())
+
+
+def archive_ids(path: str, texts: list) -> list[bytes]:
+    """The ids (u32) that the tokenizer as loaded gives each whole text, without special tokens of its own adding.
+
+    A text in which the content of an added token occurs goes to it whole; others are encoded by encode_texts().
+    """
+    added = _added(path)
+    whole = [bool(t) and any(a in t for a in added) for t in texts]
+    found = encode_texts(path, [None if w else t for t, w in zip(texts, whole, strict=True)])
+    return [_ids(_as_loaded(path), t) if w else f for t, w, f in zip(texts, whole, found, strict=True)]
+
+
 # --- jobs -----------------------------------------------------------------------------------------------------------
 
 
@@ -250,7 +273,7 @@ def write_archive(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "d
             texts = batch.column(1)
             for at in range(0, batch.num_rows, 256):
                 some = texts.slice(at, 256).to_pylist()
-                for k, ids in enumerate(encode_texts(tokenizer, some), at):
+                for k, ids in enumerate(archive_ids(tokenizer, some), at):
                     part = batch.column(2)[k].as_py()
                     keys.append(batch.column(0)[k].as_py())
                     held.append(ids + end)

@@ -149,6 +149,30 @@ def test_archive_ids_as_the_library(texts):
     assert [np.frombuffer(x, "<u4").tolist() for x in huffman.encode_texts(path, texts)] == [made.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@settings(max_examples=100, deadline=None)
+@given(texts=st.lists(TEXTS, max_size=5))
+def test_archive_ids_as_the_library_as_loaded(texts):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    made = Tokenizer.from_file(path)
+    assert [np.frombuffer(x, "<u4").tolist() for x in huffman.archive_ids(path, texts)] == [made.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_archive_of_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    made = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = [(1, "x<|endoftext|>"), (2, "one two"), (3, "a <|endoftext|> b\n<|endoftext|><|endoftext|>c"), (4, "<|endoftext"), (5, None)]
+    want, start = [], 0
+    for i, t in rows:
+        ids = [*made.encode(t or "", add_special_tokens=False).ids, huffman.END_ID]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert made.encode(rows[0][1], add_special_tokens=False).ids == [87, 50256]
+    assert sorted(map(tuple, huffman.archive_digests(docs_of(spark, rows)).collect())) == want
+
+
 # --- WARC -----------------------------------------------------------------------------------------------------------
 
 PAGES = [(1, "http://a", "same"), (2, "http://b", "same"), (3, None, None), (4, "x\r\ny%", ""), (5, "u", "ü" * 100_000), (6, "v", "other"), (6, "v", "other"), (None, "w", "same")]
