@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from knotwork.llm.common import materialize, partitions
@@ -371,11 +371,11 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFra
             for at in range(0, batch.num_rows, 512):
                 found = [sketch(x, words) for x in batch.column(1).slice(at, 512).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, 512), pa.array(signed([f[0] for f in found])), pa.array(signed([f[1] for f in found])), pa.array([signed(f[2]) for f in found], pa.list_(pa.int64())), pa.array([f[3].tobytes() for f in found], pa.binary())],
-                    names=["id", "s", "fp", "bands", "shingles"],
+                    [batch.column(0).slice(at, 512), batch.column(2).slice(at, 512), pa.array(signed([f[0] for f in found])), pa.array(signed([f[1] for f in found])), pa.array([signed(f[2]) for f in found], pa.list_(pa.int64())), pa.array([f[3].tobytes() for f in found], pa.binary())],
+                    names=["id", "sha", "s", "fp", "bands", "shingles"],
                 )
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, s long, fp long, bands array<long>, shingles binary")
+    return docs.select(id_col, text_col, text_digest(F.col(text_col))).mapInArrow(run, f"id {kind}, sha string, s long, fp long, bands array<long>, shingles binary")
 
 
 def similar_forest(fps, sets, similarity: float, radius: int, left=None):
@@ -464,22 +464,39 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lower-cased. Texts with equal sets always link; null, empty and blank texts all have the empty set and link. component_id
     is the smallest id reachable. Other columns are not read; an empty table gives an empty result.
     """
+    found = _copies(docs, id_col, text_col, words, similarity, tile_rows)
+    return found.select(F.col("id").alias(id_col), "component_id", F.col("s").alias("shingle_set"))
+
+
+def _copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = COPY_WORDS, similarity: float = SIMILARITY, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """(id, sha, s, root, component_id) of each row of docs; root is one shingle set of the component and names it."""
     found = materialize(sketches(docs, id_col, text_col, words), "sketches")
     sets = found.groupBy("s").agg(F.min("id").alias("least"))
     whole = materialize(found.select("s", "fp", "bands", "shingles").dropDuplicates(["s"]), "sets")
     tree = components(copy_links(whole, similarity, tile_rows))
     rooted = sets.join(tree, sets["s"] == tree["v"], "left").select("s", "least", F.coalesce("root", "s").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("s", "component_id")
-    return found.select("id", "s").join(named, "s").select(F.col("id").alias(id_col), "component_id", F.col("s").alias("shingle_set"))
+    named = rooted.join(least, "root").select("s", "root", "component_id")
+    return found.select("id", "sha", "s").join(named, "s")
+
+
+def text_digest(text: Column) -> Column:
+    """SHA-256 of the text as it is; null counts as empty."""
+    return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
-    """docs with its own columns: of each component of near_copies() the row with the smallest id stays.
+    """docs with its own columns: of each component of near_copies() one row stays, that with the smallest id.
 
-    Rows that share that id stay together only if their texts differ so that each is in the component; of equal rows one stays.
+    Null ids lose to any other. Where several texts of a component have that id, the smallest shingle set and digest decide;
+    of rows that repeat in id and text one stays. Texts that are no near copies stay whatever ids they share.
     """
-    found = materialize(near_copies(docs, id_col, text_col, **more), "near-copies")
-    stay = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("_stay")).agg(F.count(F.lit(1)).alias("_n"))
-    left = docs.join(stay.select("_stay"), docs[id_col].eqNullSafe(F.col("_stay")), "left_semi")
-    return left if stay.filter("_n > 1").isEmpty() else left.dropDuplicates([id_col])
+    found = materialize(_copies(docs, id_col, text_col, **more), "near-copies")
+    told = found.groupBy("root", "id", "s", "sha").agg(F.count(F.lit(1)).alias("n"))
+    first = told.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "s", "sha", "n")).alias("f"))
+    stay = first.select(F.col("f.id").alias("_stay_id"), F.col("f.sha").alias("_stay_sha"), F.col("f.n").alias("_n"))
+    same = docs[id_col].eqNullSafe(F.col("_stay_id")) & (text_digest(docs[text_col]) == F.col("_stay_sha"))
+    left = docs.join(stay.select("_stay_id", "_stay_sha"), same, "left_semi")
+    if stay.filter("_n > 1").isEmpty():
+        return left
+    return left.withColumn("_stay_sha", text_digest(F.col(text_col))).dropDuplicates([id_col, "_stay_sha"]).drop("_stay_sha")

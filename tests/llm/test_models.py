@@ -127,6 +127,18 @@ def test_near_copies_with_repeated_lines(spark):
     assert got == {k: k // 2 * 2 for k in range(len(texts))}
 
 
+def test_near_copies_of_repeated_ids(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    near = lambda k: text(k) + " more"
+    rows = [(None, text(0)), (None, text(1)), (None, near(1)), (7, text(2)), (7, text(3)), (3, near(3)), (5, text(4)), (5, text(4)), (6, near(4)), (None, text(5)), (9, near(5)), (8, text(6)), (8, near(6)), (None, None), (None, "")]
+    got = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in simhash.drop_near_copies(got).collect()]
+    fixed = [(None, text(0)), (7, text(2)), (3, near(3)), (5, text(4)), (9, near(5))]
+    ties = [[(None, text(1)), (None, near(1))], [(8, text(6)), (8, near(6))], [(None, None), (None, "")]]
+    assert len(got) == len(fixed) + len(ties) and set(fixed) <= set(got)
+    assert all(sum(r in tie for r in got) == 1 for tie in ties)
+
+
 def test_near_duplicates_edges(spark):
     docs = spark.createDataFrame([(5, None, "a"), (4, "", "a"), (3, "x y", "a"), (3, "x y", "a"), (None, "X Y", "a")], "doc_id long, text string, component_id string")
     got = {repr((r.doc_id, r.fingerprint == "0" * 16, r.component_id)) for r in simhash.near_duplicates(docs).collect()}
