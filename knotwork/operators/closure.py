@@ -125,7 +125,7 @@ def materialize_rules(space: Space, budget: int | None = None) -> Space:
     return made
 
 
-WHY_ROWS, WHY_DEPTH = 10_000, 64
+WHY_ROWS = 10_000
 
 
 def explain_fact(space: Space, source: int, target: int, over: str) -> DataFrame:
@@ -141,9 +141,8 @@ def explain_fact(space: Space, source: int, target: int, over: str) -> DataFrame
     every = space.edges_of(None, asserted_only=True).select(F.col("src").alias("s"), F.col("type").alias("p"), F.col("dst").alias("d")).distinct()
     proofs: dict[tuple, list] = {}
     frontier, rows = [(source, over, target)], 0
-    for _ in range(WHY_DEPTH):
-        if not frontier:
-            break
+    # every round but the last finds a step or more, so WHY_ROWS bounds the rounds too
+    while frontier:
         wanted = spark.createDataFrame(frontier, wanted.schema)
         asserted |= {tuple(r) for r in every.join(F.broadcast(wanted), list(FACT), "left_semi").collect()}
         for f in frontier:

@@ -231,3 +231,16 @@ def test_string_ids(spark):
     for bad in ('INSERT VERTEX person(name) VALUES 1:("x")', 'INSERT VERTEX person(name) VALUES "123456789":("x")', "RECOMMEND SIMILAR TO 1 OVER knows"):
         with pytest.raises(QueryError):
             db.execute(bad)
+
+
+def test_why_follows_long_proofs(spark):
+    from types import SimpleNamespace
+
+    from knotwork.operators.closure import explain_fact
+
+    steps = [(k, "e", 0, "chain", [(k + 1, "e", 0)]) for k in range(66)]
+    provenance = spark.createDataFrame(steps, "s long, p string, d long, rule string, premises array<struct<s:long,p:string,d:long>>").coalesce(1)
+    edges = spark.createDataFrame([(66, "e", 0)], "src long, type string, dst long").coalesce(1)
+    space = SimpleNamespace(spark=spark, vid_sql="long", provenance=provenance, edges_of=lambda *_, **__: edges)
+    got = explain_fact(space, 0, 0, "e").orderBy("depth").collect()
+    assert [r.status for r in got] == ["inferred"] * 66 + ["asserted"]
