@@ -8,8 +8,9 @@ Layout of an archive folder (little-endian throughout):
   of every CHECKPOINT-th id (u64), and the payload. A block decodes without any other; from a checkpoint on, an id costs
   one look-up in the decoding table. All stretches between checkpoints of a block are decoded side by side.
 
-Documents are in ascending id order across parts. Jobs: the texts are range-partitioned by id and encoded once into a
-staged table; the ids are counted per task and summed; one task per part writes its archive file; another reads it back.
+Documents are in ascending id order across parts. Jobs: the texts are encoded where they are read, into a staged table of
+ids that ends each task's rows with a tally of them; the tallies are summed to the code; the ids, not the texts, are
+range-partitioned by document id, and one task per part writes its archive file; another reads it back.
 """
 
 from __future__ import annotations
@@ -22,15 +23,15 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knotwork.llm.bpe import CACHE_LENGTH, PieceEncoder, Pieces
 from knotwork.llm.common import filesystem, partitions, publish, scratch
+from knotwork.llm.pretokens import TextEncoder
 
 END_ID = 2
 #: Longest code; the decoding table has 2**MAX_BITS entries.
 MAX_BITS = 18
 #: Ids between two checkpoints, and the ids at which a block is closed (a document is never cut).
 CHECKPOINT, BLOCK_IDS = 256, 1 << 18
-STAGED = "part int, block int, doc_ids array<bigint>, counts binary, ids binary"
+STAGED, PARTS = "id long, ids binary, tally binary", "part int, file string, n long"
 
 
 # --- the code -------------------------------------------------------------------------------------------------------
@@ -172,78 +173,106 @@ def _code(uri: str) -> Code:
         return Code.from_bytes(f.read())
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    made = Tokenizer.from_file(path)
-    made.encode_special_tokens = True  # pieces have no added tokens; archive_ids() looks for them in whole texts
-    return made, PieceEncoder(lambda text: _ids(made, text))
-
-
-def _ids(tokenizer, text: str) -> bytes:
-    import numpy as np
-
-    return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
+class LoadedTokenizer:
+    """A tokenizer file as the library loads it, with an encoder of whole texts that remembers their pieces."""
+
+    def __init__(self, path: str):
+        import json
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        made = json.loads(self.library.to_str())
+        split = made["pre_tokenizer"] or {}
+        # only the byte-level split by the pattern that pretokens knows may be cut
+        cut = made["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
+        self.texts, self.tokens = TextEncoder(self.encode_pieces, cut=cut), self.library.model.tokenize
+        self.added = [t["content"] for t in made["added_tokens"]]
+        self.symbols = self.library.get_vocab_size()
+
+    def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece: of one word by the library's model alone, which takes it in the byte alphabet, else by the library whole."""
+        tokens, alphabet = self.tokens, byte_alphabet()
+        found, rest = [], []
+        for k, piece in enumerate(pieces):
+            if self.texts.cut and one_word(piece):
+                ids = [t.id for t in tokens(piece.decode("latin-1").translate(alphabet))]
+                found.append(struct.pack(f"<{len(ids)}I", *ids))
+            else:
+                found.append(None)
+                rest.append(k)
+        for k, e in zip(rest, self.library.encode_batch([pieces[k].decode() for k in rest], add_special_tokens=False), strict=True):
+            found[k] = struct.pack(f"<{len(ids)}I", *ids) if (ids := e.ids) else b""
+        return found
+
+    def encode_whole(self, text: str) -> bytes:
+        ids = self.library.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def batches(self, texts):
+        """TextEncoder.batches(); a text in which the content of an added token occurs goes to the library whole."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
-def learn_words(tokenizer, stems: Pieces, met: set[str]) -> None:
-    """Adds the ids of " word" for the words met that are letters only and new, by the tokenizer's model.
+        whole = None
+        for content in self.added:
+            mask = pc.fill_null(pc.match_substring(texts, content), False)
+            whole = mask if whole is None else pc.or_(whole, mask)
+        if whole is None or not pc.any(whole).as_py():
+            yield from self.texts.batches(texts)
+            return
+        for at, rows, ids in self.texts.batches(pc.if_else(whole, pa.scalar(None, texts.type), texts)):
+            own = [self.encode_whole(texts[k].as_py()) if w else None for k, w in enumerate(whole.slice(at, rows).to_pylist(), at)]
+            yield at, rows, pc.coalesce(pa.array(own, pa.binary()), ids)
 
-    Such a word is one pre-token, so its ids are those that the model gives its bytes, written in the byte alphabet.
-    """
-    import numpy as np
 
-    letters, older = byte_alphabet(), stems.older
-    tokens = tokenizer.model.tokenize
-    for word in {w[:-1] if w[-1] in ".," else w for w in met}:
-        if word in stems or len(word) > CACHE_LENGTH or not word.isalpha():
-            continue
-        found = older.get(word)
-        if found is None:
-            text = letters[32] + (word if word.isascii() else "".join([letters[b] for b in word.encode()]))
-            found = np.array([t.id for t in tokens(text)], "<u4").tobytes()
-        stems.put(word, found)
+def one_word(piece: bytes) -> bool:
+    """Whether the split pattern has one match in the piece: Latin letters (below U+0250) behind a space or none."""
+    word = piece[1:] if piece[:1] == b" " else piece
+    if word.isascii():
+        return word.isalpha()
+    text = word.decode()
+    return text.isalpha() and max(text) < "\u0250"
 
 
 @lru_cache(maxsize=1)
-def byte_alphabet() -> list[str]:
+def byte_alphabet() -> dict[int, str]:
     """The printable character that stands for each byte: printable Latin-1 for itself, the others from 256 on in order."""
-    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
     rest = iter(range(256, 512))
-    return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
+    return {b: chr(b if 33 <= b <= 126 or 161 <= b <= 255 and b != 173 else next(rest)) for b in range(256)}
 
 
-def encode_texts(path: str, texts: list) -> list[bytes]:
-    """The ids (u32) of each whole text, strings of added tokens as ordinary text; words met before come from a bounded table, new ones are encoded in one call."""
-    tokenizer, pieces = _tokenizer(path)
-    return pieces.encode_batch(texts, lambda met: learn_words(tokenizer, pieces.stems, met))
+@lru_cache(maxsize=2)
+def loaded(path: str) -> LoadedTokenizer:
+    return LoadedTokenizer(path)
 
 
-@lru_cache(maxsize=2)
-def _as_loaded(path: str):
-    from tokenizers import Tokenizer
+def archive_ids(path: str, texts: list) -> list[bytes]:
+    """The ids (u32) that the tokenizer as loaded gives each whole text, without special tokens of its own adding."""
+    import pyarrow as pa
 
-    return Tokenizer.from_file(path)
+    return [x for _, _, ids in loaded(path).batches(pa.array(texts, pa.string())) for x in ids.to_pylist()]
 
 
-@lru_cache(maxsize=2)
-def _added(path: str) -> tuple[str, ...]:
-    return tuple(t.content for t in _tokenizer(path)[0].get_added_tokens_decoder().values())
+def _values(ids, kind: str):
+    """(numbers, bounds) of a binary array: value k is numbers[bounds[k]:bounds[k + 1]]."""
+    import numpy as np
 
+    width = np.dtype(kind).itemsize
+    ends = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1]
+    numbers = np.frombuffer(ids.buffers()[2] or b"", kind, (int(ends[-1]) - int(ends[0])) // width, int(ends[0]))
+    return numbers, (ends - ends[0]) // width
 
-def archive_ids(path: str, texts: list) -> list[bytes]:
-    """The ids (u32) that the tokenizer as loaded gives each whole text, without special tokens of its own adding.
 
-    A text in which the content of an added token occurs goes to it whole; others are encoded by encode_texts().
-    """
-    added = _added(path)
-    whole = [bool(t) and any(a in t for a in added) for t in texts]
-    found = encode_texts(path, [None if w else t for t, w in zip(texts, whole, strict=True)])
-    return [_ids(_as_loaded(path), t) if w else f for t, w, f in zip(texts, whole, found, strict=True)]
+def _binary(numbers, bounds):
+    """The binary array of which value k is the bytes of numbers[bounds[k]:bounds[k + 1]]."""
+    import numpy as np
+    import pyarrow as pa
+
+    ends = (bounds * numbers.dtype.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(ends), pa.py_buffer(numbers)])
 
 
 # --- jobs -----------------------------------------------------------------------------------------------------------
@@ -253,123 +282,110 @@ def write_archive(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "d
     """Encodes docs into an archive below folder (a URI all executors reach); returns (part, file, first id position).
 
     Null and empty texts have the end id alone. Rows are in ascending id order, null ids first; rows that share an id are
-    ordered by their text. An empty table gives a code without symbols and no files. Other columns are not read.
+    ordered by a hash of their ids, so that many of them spread over several parts. An empty table gives a code without
+    symbols and no files. Other columns are not read.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(parts or partitions(spark), "id").sortWithinPartitions("id", "text")
+    # ids take two bytes each where the vocabulary allows
+    kind = "<u2" if max(loaded(tokenizer).symbols, end_id + 1) <= 1 << 16 else "<u4"
 
     def stage(batches):
         import numpy as np
         import pyarrow as pa
 
-        block, keys, counts, held, total, part = 0, [], [], [], 0, 0
-        end = np.uint32(end_id).tobytes()
-
-        def told():
-            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "block": pa.array([block], pa.int32()), "doc_ids": pa.array([keys], pa.list_(pa.int64())), "counts": pa.array([np.array(counts, "<u4").tobytes()], pa.binary()), "ids": pa.array([_narrow(b"".join(held))], pa.binary())})
-
+        sums = np.zeros(end_id + 1, np.int64)
         for batch in batches:
-            texts = batch.column(1)
-            for at in range(0, batch.num_rows, 256):
-                some = texts.slice(at, 256).to_pylist()
-                for k, ids in enumerate(archive_ids(tokenizer, some), at):
-                    part = batch.column(2)[k].as_py()
-                    keys.append(batch.column(0)[k].as_py())
-                    held.append(ids + end)
-                    counts.append(len(held[-1]) // 4)
-                    total += counts[-1]
-                    if total >= BLOCK_IDS:
-                        yield told()
-                        block, keys, counts, held, total = block + 1, [], [], [], 0
-        if keys:
-            yield told()
+            for at, rows, ids in loaded(tokenizer).batches(batch.column(1)):
+                numbers, bounds = _values(ids, "<u4")
+                more = np.bincount(numbers, minlength=len(sums))
+                more[: len(sums)] += sums
+                more[end_id] += rows
+                sums = more
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, rows), _binary(numbers.astype(kind), bounds), pa.nulls(rows, pa.binary())], names=["id", "ids", "tally"])
+        if sums.any():
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([sums.astype("<i8").tobytes()], pa.binary())], names=["id", "ids", "tally"])
 
     staged_at = f"{folder}/staged"
-    rows.withColumn("part", F.spark_partition_id()).mapInArrow(stage, STAGED).write.option("compression", "zstd").parquet(staged_at)
+    docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(stage, STAGED).write.option("compression", "zstd").parquet(staged_at)
     staged = spark.read.schema(STAGED).parquet(staged_at)
 
-    def count(batches):
+    def unfold(batches):
         import numpy as np
         import pyarrow as pa
 
-        sums = np.zeros(0, np.int64)
         for batch in batches:
             for k in range(batch.num_rows):
-                more = np.bincount(_wide(batch.column(0)[k].as_py()), minlength=len(sums))
-                more[: len(sums)] += sums
-                sums = more
-        found = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(sums[found])], names=["id", "n"])
+                sums = np.frombuffer(batch.column(0)[k].as_py(), "<i8")
+                found = np.flatnonzero(sums)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(sums[found])], names=["id", "n"])
 
-    # one row per distinct id and task, then one per distinct id: the vocabulary bounds what reaches the driver
-    counted = staged.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy("id").toPandas()
+    # one tally a task, then one row per distinct id: the vocabulary bounds what reaches the driver
+    counted = staged.filter("tally is not null").select("tally").mapInArrow(unfold, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy("id").toPandas()
     code = Code(counted["id"].to_numpy(), code_lengths(counted["n"].to_numpy())) if len(counted) else Code([], [])
     code_at = f"{folder}/code.bin"
     publish(code_at, lambda out: out.write(code.to_bytes()))
-    # one row per part; parts are bounded by the number of partitions
-    sizes = staged.select("part", F.col("_metadata.file_path").alias("file"), F.expr("octet_length(counts) / 4").alias("docs"), "counts")
-
-    def ids_in(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        for batch in batches:
-            n = [int(np.frombuffer(batch.column(2)[k].as_py(), "<u4").sum(dtype=np.int64)) for k in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], names=["part", "file", "n"])
-
-    found = sizes.select("part", "file", "counts").mapInArrow(ids_in, "part int, file string, n long").groupBy("part", "file").agg(F.sum("n").alias("n")).orderBy("part").collect()
-    starts, position = [], 0
-    for r in found:
-        starts.append((r["part"], r["file"], position))
-        position += r["n"]
-    if not starts:
-        return []
 
     def write(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            for row in batch.to_pylist():
-                uri = f"{folder}/part-{row['part']:05d}-{uuid.uuid4().hex}.knh"
-                publish(uri, lambda out, row=row: _write_file(out, row["file"], code_at))
-                yield pa.RecordBatch.from_pydict({"part": pa.array([row["part"]], pa.int32()), "file": [uri], "start": pa.array([row["start"]], pa.int64())})
-
-    plan = spark.createDataFrame(starts, "part int, file string, start long").repartition(len(starts))
-    return [tuple(r) for r in plan.mapInArrow(write, "part int, file string, start long").collect()]
-
+        first = next((b for b in batches if b.num_rows), None)
+        if first is None:
+            return
+        part, uri, written = first.column(2)[0].as_py(), f"{folder}/part-{uuid.uuid4().hex}.knh", []
 
-def _narrow(ids: bytes) -> bytes:
-    """Ids below 65536 in two bytes each behind a mark; others as they are."""
-    import numpy as np
+        def every():
+            yield first
+            yield from batches
 
-    wide = np.frombuffer(ids, "<u4")
-    small = len(wide) == 0 or wide.max() < 1 << 16
-    return b"\2" + wide.astype("<u2").tobytes() if small else b"\4" + ids
+        publish(uri, lambda out: written.append(_write_file(out, every(), kind, end_id, _code(code_at))))
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([uri]), pa.array(written, pa.int64())], names=["part", "file", "n"])
 
-
-def _wide(data: bytes):
-    import numpy as np
-
-    return np.frombuffer(data, "<u2" if data[0] == 2 else "<u4", offset=1)
+    rows = staged.filter("tally is null").select("id", "ids").withColumn("h", F.xxhash64("ids"))
+    rows = rows.repartitionByRange(parts or partitions(spark), F.col("id"), F.col("h")).sortWithinPartitions("id", "h", "ids")
+    # one row per part; parts are bounded by the number of partitions
+    found = rows.select("id", "ids", F.spark_partition_id().alias("part")).mapInArrow(write, PARTS).collect()
+    starts, position = [], 0
+    for part, file, n in sorted(map(tuple, found)):
+        starts.append((part, file, position))
+        position += n
+    return starts
 
 
-def _write_file(out, staged_file: str, code_at: str) -> None:
+def _write_file(out, batches, kind: str, end_id: int, code: Code) -> int:
+    """Writes the blocks, index and footer of one part from batches of (id, ids); returns how many ids it holds."""
     import numpy as np
-    import pyarrow.parquet as pq
 
-    code = _code(code_at)
-    where, path = filesystem(staged_file)
     out.write(b"KNHF" + struct.pack("<I", zlib.crc32(code.to_bytes())))
-    index, at = [], 8
-    with where.open_input_file(path) as f:
-        for batch in pq.ParquetFile(f).iter_batches(batch_size=1):
-            row = batch.to_pylist()[0]
-            data = write_block(code, row["doc_ids"], np.frombuffer(row["counts"], "<u4"), _wide(row["ids"]))
-            out.write(data)
-            index.append((at, len(data)))
-            at += len(data)
+    index, at, total = [], 8, 0
+    keys, counts, held, size = [], [], [], 0
+
+    def close():
+        nonlocal at, total, keys, counts, held, size
+        data = write_block(code, keys, counts, np.concatenate(held))
+        out.write(data)
+        index.append((at, len(data)))
+        at, total = at + len(data), total + size
+        keys, counts, held, size = [], [], [], 0
+
+    for batch in batches:
+        numbers, bounds = _values(batch.column(1), kind)
+        numbers = np.insert(numbers, bounds[1:], end_id)  # each document's ids end with end_id
+        bounds = bounds + np.arange(len(bounds))
+        done, own = 0, batch.column(0).to_pylist()
+        while done < len(own):
+            upto = int(np.searchsorted(bounds, bounds[done] + BLOCK_IDS - size))
+            upto = min(max(upto, done + 1), len(own))
+            keys += own[done:upto]
+            counts += np.diff(bounds[done : upto + 1]).tolist()
+            held.append(numbers[bounds[done] : bounds[upto]])
+            size += int(bounds[upto] - bounds[done])
+            done = upto
+            if size >= BLOCK_IDS:
+                close()
+    if keys:
+        close()
     out.write(b"".join(struct.pack("<QQ", *x) for x in index) + struct.pack("<QI", at, len(index)) + b"KNHF")
+    return total
 
 
 def read_archive(spark: SparkSession, folder: str, files: list[tuple[int, str, int]]) -> DataFrame:
@@ -396,11 +412,7 @@ def read_archive(spark: SparkSession, folder: str, files: list[tuple[int, str, i
                     for offset, size in index:
                         keys, counts, ids = read_block(code, f.read_at(size, offset))
                         ends = np.cumsum(counts, dtype=np.int64)
-                        data, cut = ids.astype("<u4").tobytes(), np.append(0, ends * 4).tolist()
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(keys, pa.int64()), pa.array(position + ends - counts), pa.array(counts.astype(np.int64)), pa.array([data[a:b] for a, b in zip(cut, cut[1:], strict=False)], pa.binary())],
-                            names=["doc_id", "start", "n_tokens", "ids"],
-                        )
+                        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(position + ends - counts), pa.array(counts.astype(np.int64)), _binary(ids.astype("<u4"), np.append(0, ends))], names=["doc_id", "start", "n_tokens", "ids"])
                         position += int(ends[-1])
 
     return spark.createDataFrame(files, "part int, file string, start long").repartition(len(files)).mapInArrow(read, schema)
