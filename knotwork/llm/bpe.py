@@ -5,8 +5,8 @@ A bitmap of two levels knows which buckets hold anything, so find-first-set give
 the length; an entry whose pair has changed meanwhile is stale and skipped. The work for a
 pre-token of n bytes is n queue operations, with no scan over what remains.
 
-Words repeat, so the ids of short pieces are kept in tables of bounded size in each Python worker. A text is cut where no
-match of the pattern spans the place (see PieceEncoder), so pieces encode on their own.
+Words repeat, so each distinct piece of a window of texts is merged once (see pretokens) and the ids of short pieces are
+kept in a table of bounded bytes in each Python worker.
 """
 
 from __future__ import annotations
@@ -14,17 +14,16 @@ from __future__ import annotations
 import base64
 from functools import lru_cache
 from heapq import heappop, heappush
+from struct import pack
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words that a worker remembers and the longest piece (characters) worth remembering.
-CACHE_STEMS, CACHE_LENGTH = 1_000_000, 48
+from knotwork.llm.pretokens import PATTERN, TextEncoder
+
 #: The lower level of the bitmap has words of 2**WORD_BITS ranks; the upper level is one word over those.
 WORD_BITS = 8
 WORD_MASK = (1 << WORD_BITS) - 1
-#: Bytes of ids that one Arrow batch of results gathers before it is sent on.
-BATCH_BYTES = 8 << 20
 
 
 def add_position(buckets: dict, rank: int, position: int) -> None:
@@ -40,17 +39,19 @@ class BytePairCodec:
     """Encodes by a table of ranks {bytes: id} and a split pattern; decodes by the same table."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
+        import pyarrow as pa
         import regex
 
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.longest = max(map(len, ranks))
-        self.tokens = {v: k for k, v in ranks.items()}
+        tokens = {v: k for k, v in ranks.items()}
+        #: The bytes of each id; null where a number is no id.
+        self.tokens = pa.array([tokens.get(k) for k in range(max(tokens) + 1)], pa.binary())
         #: The ranks of pairs of bytes.
         self.pairs = {(k[0], k[1]): v for k, v in ranks.items() if len(k) == 2}
         #: The lower level of the bitmap, a word for WORD ranks; all zero between two pre-tokens.
         self.low = [0] * ((max(ranks.values()) >> WORD_BITS) + 1)
-        self.words = Pieces(lambda word: b"".join([i.to_bytes(4, "little") for i in self.merge(word.encode())]), CACHE_STEMS // 16)
-        self.pieces = PieceEncoder(self.segment)
+        self.texts = TextEncoder(self.encode_pieces, cut=pattern == PATTERN)
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of one pre-token: the lowest-ranked, then leftmost pair merges until none is in the table.
@@ -127,118 +128,44 @@ class BytePairCodec:
             i = end
         return out
 
-    def segment(self, text: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, self.pattern.findall(text)))
+    def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece, every match of the pattern merged separately."""
+        split, merge, whole = self.pattern.findall, self.merge, self.texts.cut
+        out = []
+        for piece in pieces:
+            if whole and (piece.isalpha() or piece[:1] == b" " and piece[1:].isalpha()):  # one run of ASCII letters is one match
+                ids = merge(piece)
+            else:
+                ids = [i for match in split(piece.decode()) for i in merge(match.encode())]
+            out.append(pack(f"<{len(ids)}I", *ids))
+        return out
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers; null and empty texts have none."""
-        return self.pieces.encode(text)
-
-    def decode(self, ids: bytes) -> bytes:
-        import numpy as np
-
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-
-
-class Pieces(dict):
-    """A table that computes what it lacks; when full it becomes the older half, from which what is met again returns."""
-
-    def __init__(self, compute, most: int):
-        super().__init__()
-        self.compute, self.most, self.older = compute, most // 2, {}
-
-    def __missing__(self, piece: str):
-        found = self.older.get(piece)
-        if found is None:
-            found = self.compute(piece)
-        self.put(piece, found)
-        return found
-
-    def put(self, piece: str, found: bytes) -> None:
-        if len(piece) <= CACHE_LENGTH:
-            if len(self) >= self.most:
-                self.older = dict(self)
-                self.clear()
-            self[piece] = found
-
-
-class PieceEncoder:
-    """Encodes texts piece by piece: segment(text) encodes what no match of the pattern leaves or enters.
-
-    Where all white space is single spaces and line ends, each starts or is a match of its own, so a text falls into line
-    ends, first words of lines, and words after a space. A comma or full stop behind a letter at the end of a word is a
-    match too, so words are remembered without it. Other texts are cut before single spaces that a non-space follows.
-    """
-
-    def __init__(self, segment):
-        self.segment = segment
-        self.stems = Pieces(lambda word: self.segment(" " + word), CACHE_STEMS)
-        self.first = Pieces(segment, CACHE_STEMS // 16)
-        self.line_end = segment("\n")
-        self.marks = {m: segment(m) for m in ".,"}
+        import pyarrow as pa
 
-    def after_space(self, word: str) -> bytes:
-        mark = self.marks.get(word[-1])
-        if mark is not None and word[-2:-1].isalpha():
-            return self.stems[word[:-1]] + mark
-        return self.stems[word]
-
-    def encode(self, text: str | None) -> bytes:
-        return self.encode_batch([text])[0]
-
-    def encode_batch(self, texts: list, learn=None) -> list[bytes]:
-        """The ids of each text; learn(words) may fill the table with the words that the batch lacks."""
-        cut, new = [], set()
-        for text in texts:
-            words = text.split() if text else []
-            if text and not is_tight(text, words):
-                cut.append(None)
-                continue
-            ids = list(map(self.stems.get, words))
-            open_, k = [], -1
-            try:
-                while True:
-                    k = ids.index(None, k + 1)
-                    open_.append(k)
-            except ValueError:
-                pass
-            if learn is not None:
-                new.update([words[k] for k in open_])
-            cut.append((words, ids, open_))
-        if new:
-            learn(new)
-        out = []
-        for text, c in zip(texts, cut, strict=True):
-            if c is None:
-                out.append(b"".join(map(self.segment, loose_pieces(text))))
-                continue
-            words, ids, open_ = c
-            for k in open_:
-                ids[k] = self.after_space(words[k])
-            at = 0
-            for line in text.split("\n") if text else ():
-                ids[at] = (self.line_end if at else b"") + self.first[words[at]]
-                at += line.count(" ") + 1
-            out.append(b"".join(ids))
-        return out
+        ((_, _, ids),) = self.texts.batches(pa.array([text], pa.string()))
+        return ids[0].as_py()
 
+    def decode(self, ids: bytes) -> bytes:
+        import pyarrow as pa
 
-def is_tight(text: str, words: list[str]) -> bool:
-    """Whether all white space is one space or one line end between two words; words is text.split()."""
-    gaps = len(words) - 1
-    return len(text) == sum(map(len, words)) + gaps and text.count(" ") + text.count("\n") == gaps
+        return self.decode_array(pa.array([ids], pa.binary()))[0].as_py()
 
+    def decode_array(self, ids):
+        """The bytes that each value of a binary array of ids stands for; null values give none."""
+        import numpy as np
+        import pyarrow as pa
 
-def loose_pieces(text: str) -> list[str]:
-    """text cut before each single space that a non-space follows."""
-    found, open_ = [], []
-    for k, p in enumerate(text.split(" ")):
-        if k and p and not p[0].isspace():
-            found.append("".join(open_))
-            open_ = [" ", p]
-        else:
-            open_ += (" ", p) if k else (p,)
-    return [*found, "".join(open_)]
+        ends = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1]
+        every = np.frombuffer(ids.buffers()[2] or b"", "<u4", (ends[-1] - ends[0]) // 4, int(ends[0]))
+        taken = self.tokens.take(pa.array(every))
+        if taken.null_count:
+            raise ValueError("an id is not in the table")
+        if not len(every):
+            return pa.array([b""] * len(ids), pa.binary())
+        cut = np.frombuffer(taken.buffers()[1], np.int32)[(ends - ends[0]) // 4]
+        return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(cut.astype(np.int32)), taken.buffers()[2]])
 
 
 @lru_cache(maxsize=2)
@@ -255,26 +182,19 @@ def default_ranks() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-def _mapped(df: DataFrame, column: str, made: str, compute) -> DataFrame:
-    """df with a binary column made = compute(column) appended; sent on in batches of about BATCH_BYTES."""
+def _mapped(df: DataFrame, column: str, made: tuple[str, ...], compute) -> DataFrame:
+    """df with binary columns `made` appended: compute(array) yields (first, rows, arrays of these columns) window by window."""
     from pyspark.sql.types import BinaryType, StructField, StructType
 
-    schema = StructType([f for f in df.schema.fields if f.name != made] + [StructField(made, BinaryType())])
+    schema = StructType([f for f in df.schema.fields if f.name not in made] + [StructField(m, BinaryType()) for m in made])
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            at = batch.schema.get_field_index(column)
-            rest = [k for k, name in enumerate(batch.schema.names) if name != made]
-            source, done, start, held = batch.column(at), [], 0, 0
-            for k in range(batch.num_rows):
-                done.append(compute(source[k].as_py()))
-                held += len(done[-1])
-                if held >= BATCH_BYTES or k == batch.num_rows - 1:
-                    part = batch.slice(start, len(done))
-                    yield pa.RecordBatch.from_arrays([part.column(x) for x in rest] + [pa.array(done, pa.binary())], names=[batch.schema.names[x] for x in rest] + [made])
-                    start, done, held = k + 1, [], 0
+            rest = [k for k, name in enumerate(batch.schema.names) if name not in made]
+            for at, rows, arrays in compute(batch.column(batch.schema.get_field_index(column))):
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(at, rows) for k in rest), *arrays], names=[*(batch.schema.names[k] for k in rest), *made])
 
     return df.mapInArrow(run, schema)
 
@@ -285,19 +205,40 @@ def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "token_ids",
     Null and empty texts give no ids (an empty value). Special tokens are not recognised: their strings are ordinary
     text. A column of docs named ids_col is replaced; all others pass through. An empty table stays empty.
     """
-    default_path, default_pattern = default_ranks()
-    path, pat = ranks or default_path, pattern or default_pattern
-    return _mapped(docs, text_col, ids_col, lambda text: rank_codec(path, pat).encode(text))
+    path, pat = ranks or default_ranks()[0], pattern or default_ranks()[1]
+
+    def compute(texts):
+        for at, rows, ids in rank_codec(path, pat).texts.batches(texts):
+            yield at, rows, (ids,)
+
+    return _mapped(docs, text_col, (ids_col,), compute)
 
 
 def decode(df: DataFrame, ids_col: str = "token_ids", bytes_col: str = "decoded", ranks: str | None = None, pattern: str | None = None) -> DataFrame:
-    """df with bytes_col, the bytes that the ids stand for; null ids give empty bytes."""
-    default_path, default_pattern = default_ranks()
-    path, pat = ranks or default_path, pattern or default_pattern
-    return _mapped(df, ids_col, bytes_col, lambda ids: rank_codec(path, pat).decode(ids or b""))
+    """df with bytes_col, the bytes that the ids stand for; null ids give empty bytes and unknown ids are an error."""
+    path, pat = ranks or default_ranks()[0], pattern or default_ranks()[1]
+
+    def compute(ids):
+        for at in range(0, len(ids), 1024):
+            part = ids.slice(at, 1024)
+            yield at, len(part), (rank_codec(path, pat).decode_array(part),)
+
+    return _mapped(df, ids_col, (bytes_col,), compute)
+
+
+def encode_and_decode(docs: DataFrame, text_col: str = "text", ids_col: str = "token_ids", bytes_col: str = "decoded", ranks: str | None = None, pattern: str | None = None) -> DataFrame:
+    """decode(encode(docs)) by one Python worker a task: its tables are held once. See encode() for the cases."""
+    path, pat = ranks or default_ranks()[0], pattern or default_ranks()[1]
+
+    def compute(texts):
+        codec = rank_codec(path, pat)
+        for at, rows, ids in codec.texts.batches(texts):
+            yield at, rows, (ids, codec.decode_array(ids))
+
+    return _mapped(docs, text_col, (ids_col, bytes_col), compute)
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The registered query's columns: encodes, decodes what was encoded, and digests both."""
-    done = decode(encode(docs.select(id_col, "text")).drop("text"))
+    done = encode_and_decode(docs.select(id_col, "text")).drop("text")
     return done.select(id_col, F.floor(F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

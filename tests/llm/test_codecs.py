@@ -13,8 +13,9 @@ from hypothesis import strategies as st
 
 from knotwork.llm import bpe, huffman, media, warc
 from knotwork.llm.common import filesystem, scratch
+from knotwork.llm.pretokens import Remembered, TextEncoder
 
-ALPHABET = ["a", "b", " ", "\n", "é", "ß", "0", ".", ",", "'s", "'", "\t", "  ", "日", "\x1c", "\xa0", "😀", " the", "<|endoftext|>", "!", "²", "\x85", "word, word."]
+ALPHABET = ["a", "b", " ", "\n", "é", "ß", "0", ".", ",", "'s", "'", "\t", "  ", "日", "\x1c", "\xa0", "😀", " the", "<|endoftext|>", "!", "²", "\x85", "word, word.", "\u3000", "\u2003", "\u1680", "à", "×", "Ж", "\r", "\x0b", "-", "'", "'LL", "they'll", "7"]
 TEXTS = st.lists(st.sampled_from(ALPHABET), max_size=40).map("".join)
 
 
@@ -40,6 +41,35 @@ def test_bpe_long_pretokens(library, text):
     assert np.frombuffer(bpe.rank_codec(*bpe.default_ranks()).encode(text), "<u4").tolist() == library.encode_ordinary(text)
 
 
+@settings(max_examples=300, deadline=None)
+@given(texts=st.lists(TEXTS, max_size=6), window=st.integers(1, 40), memory=st.integers(0, 3000))
+def test_texts_in_small_windows(library, texts, window, memory):
+    import pyarrow as pa
+
+    codec = bpe.rank_codec(*bpe.default_ranks())
+    encoder = TextEncoder(codec.encode_pieces, window=window, memory=memory)
+    arrays = [pa.array([None, *texts, ""], pa.string()).slice(1), pa.array(texts, pa.large_string())]
+    for array in arrays:
+        got = [x for _, _, ids in encoder.batches(array) for x in ids.to_pylist()]
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [library.encode_ordinary(x) for x in array.to_pylist()]
+        decoded = [x for at, rows, ids in encoder.batches(array) for x in codec.decode_array(ids).to_pylist()]
+        assert decoded == [x.encode() for x in array.to_pylist()]
+
+
+def test_other_patterns_are_not_cut():
+    ranks = {bytes([c]): c for c in range(256)} | {b"a b": 256, b"a ": 257}
+    codec = bpe.BytePairCodec(ranks, r".+")
+    assert np.frombuffer(codec.encode("xa b"), "<u4").tolist() == [ord("x"), 256]
+
+
+def test_remembered_stays_within_its_bytes():
+    held = Remembered(memory=20_000)
+    for k in range(0, 5000, 50):
+        found = held.all_of([str(x).encode() for x in range(k, k + 50)], lambda new: [x * 2 for x in new])
+        assert found == [str(x).encode() * 2 for x in range(k, k + 50)]
+        assert len(held.newer) + len(held.older) <= 20_000 // 190 + 2
+
+
 def test_bpe_merges_as_brute_force():
     rnd = random.Random(1)
     ranks = {bytes([c]): c for c in range(256)}
@@ -127,7 +157,6 @@ def test_archive(spark):
     from tokenizers import Tokenizer
 
     made = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    made.encode_special_tokens = True
     rows = sorted(SOME, key=lambda r: (r[0] is not None, r[0] or 0))
     want, start = [], 0
     for i, t in rows:
@@ -138,17 +167,6 @@ def test_archive(spark):
     assert huffman.archive_digests(docs_of(spark).limit(0)).count() == 0
 
 
-@settings(max_examples=100, deadline=None)
-@given(texts=st.lists(TEXTS, max_size=5))
-def test_archive_ids_as_the_library(texts):
-    from tokenizers import Tokenizer
-
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    made = Tokenizer.from_file(path)
-    made.encode_special_tokens = True
-    assert [np.frombuffer(x, "<u4").tolist() for x in huffman.encode_texts(path, texts)] == [made.encode(t, add_special_tokens=False).ids for t in texts]
-
-
 @settings(max_examples=100, deadline=None)
 @given(texts=st.lists(TEXTS, max_size=5))
 def test_archive_ids_as_the_library_as_loaded(texts):
