@@ -2,9 +2,10 @@
 
 Each document draws the exponential key -ln(u) / quality, u from a hash of its id, so reruns agree. A source whose target
 is m times its size plus a rest gives every document m times (complete epochs); the rest goes to the documents with the
-smallest keys, prefix-summed until the budget. The prefix sum of a source never runs in one task: sizes are first summed
-in key buckets, the tiny table of bucket sums gives each bucket's offset, and only the one bucket in which the budget
-ends is sorted row by row. The number of buckets follows the number of rows.
+smallest keys, prefix-summed until the budget. The prefix sum of a source never runs in one task: sizes are summed in
+stretches of the logarithm of the key, the stretch in which the budget ends is cut again until it holds few rows or equal
+keys alone, and only that one is ordered row by row. Rows equal in key, id and size are counted, not ordered, so no
+stretch is long whatever the weights and however often a row repeats.
 """
 
 from __future__ import annotations
@@ -16,8 +17,10 @@ from knotwork.llm.common import WORD, materialize
 
 #: No document is taken more often than this, and so no source gives more than this times its size.
 MOST_EPOCHS = 3
-#: Rows that one bucket of keys holds on average.
-BUCKET_ROWS = 20_000
+#: Rows that a source's last stretch of keys may hold, and the stretches into which one is cut.
+STRETCH_ROWS, STRETCHES = 2_000, 256
+#: Groups of equal rows in last stretches that are sent to all executors; with more of them they are joined by a shuffle.
+BROADCAST_GROUPS = 200_000
 
 
 def word_count(text: Column) -> Column:
@@ -57,7 +60,100 @@ def targets(sizes: DataFrame, cycle: int = 3, most: int = MOST_EPOCHS) -> DataFr
     return t.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", quality=word_length_quality, seed: int = 42, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def drawn(docs: DataFrame, id_col: str, source_col: str, text_col: str, quality, seed: int) -> DataFrame:
+    """docs with _mix_id, _mix_source, _mix_size, _mix_key and _mix_place, the logarithm of the key."""
+    size = word_count(docs[text_col])
+    key = -F.log(uniform(docs[id_col], seed)) / F.greatest(quality(docs[text_col], size), F.lit(1e-6))
+    rows = docs.withColumns({"_mix_id": docs[id_col], "_mix_source": docs[source_col], "_mix_size": size, "_mix_key": key})
+    return rows.withColumn("_mix_place", F.log("_mix_key"))
+
+
+def last_stretches(rows: DataFrame, plan: DataFrame, stretch_rows: int = STRETCH_ROWS) -> DataFrame:
+    """plan with low, high and before: the places of the stretch in which each source's rest ends, and the sizes below it.
+
+    A round cuts each stretch in STRETCHES of equal width and goes on with one; its ends are then those of the rows in it,
+    so a stretch whose keys differ gets smaller in every round. Sources without a rest have nulls.
+    """
+    keyed = rows.select("_mix_source", "_mix_size", "_mix_place")
+    ends = plan.filter("rest > 0").select(F.col("source").alias("_source"), "rest")
+    own = F.col("_mix_source").eqNullSafe(F.col("_source"))
+    # one row per source in every round, so these joins are broadcast while the sources fit the session's threshold
+    state = keyed.join(ends, own).groupBy("_source", "rest").agg(F.min("_mix_place").alias("low"), F.max("_mix_place").alias("high"), F.count(F.lit(1)).alias("n"))
+    state = materialize(state.withColumn("before", F.lit(0).cast("long")), "stretches")
+    done, n = [], 0
+    while True:
+        done.append(state.filter(f"n <= {stretch_rows} or low >= high"))
+        open_ = state.filter(f"n > {stretch_rows} and low < high")
+        if open_.isEmpty():
+            break
+        at = F.least(F.floor((F.col("_mix_place") - F.col("low")) / (F.col("high") - F.col("low")) * STRETCHES), F.lit(STRETCHES - 1))
+        inside = keyed.join(open_.drop("n"), own & F.col("_mix_place").between(F.col("low"), F.col("high")))
+        sums = inside.groupBy("_source", "rest", "before", at.alias("at")).agg(F.sum("_mix_size").alias("size"), F.count(F.lit(1)).alias("n"), F.min("_mix_place").alias("low"), F.max("_mix_place").alias("high"))
+        # STRETCHES rows per source
+        upto = Window.partitionBy("_source").orderBy("at")
+        sums = sums.withColumn("upto", F.col("before") + F.sum("size").over(upto))
+        last = F.min(F.when(F.col("upto") >= F.col("rest"), F.col("at"))).over(Window.partitionBy("_source"))
+        sums = sums.withColumn("last", F.coalesce(last, F.max("at").over(Window.partitionBy("_source")))).filter("at = last")
+        n += 1
+        state = materialize(sums.select("_source", "rest", "low", "high", "n", (F.col("upto") - F.col("size")).alias("before")), f"stretches-{n}")
+    found = done[0]
+    for d in done[1:]:
+        found = found.unionByName(d)
+    return plan.join(found.drop("rest", "n"), F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
+
+
+def taken_groups(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """(g_source, g_key, g_id, g_size, n, k): groups of equal rows in last stretches of which k > 0 of n are taken once more."""
+    edge = rows.join(plan, F.col("_mix_source").eqNullSafe(F.col("source"))).filter("_mix_place between low and high")
+    groups = edge.groupBy("_mix_source", "_mix_key", "_mix_id", "_mix_size", "rest", "before").agg(F.count(F.lit(1)).alias("n"))
+    prefix = Window.partitionBy("_mix_source").orderBy("_mix_key", "_mix_id", "_mix_size").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.withColumn("at", F.col("before") + F.coalesce(F.sum(F.col("_mix_size") * F.col("n")).over(prefix), F.lit(0)))
+    fits = lambda j: F.col("at") + j * F.col("_mix_size") + F.col("_mix_size") / 2 <= F.col("rest")
+    guess = F.floor((F.col("rest") - F.col("at") - F.col("_mix_size") / 2) / F.col("_mix_size"))
+    # the guess may be one off for rounding: of rows 0, 1, ... all up to the last that fits are taken
+    last = F.when(fits(guess + 1), guess + 1).when(fits(guess), guess).otherwise(guess - 1)
+    k = F.when(F.col("_mix_size") > 0, F.greatest(F.least(last + 1, F.col("n")), F.lit(0))).otherwise(F.lit(0)).cast("long")
+    return groups.select(F.col("_mix_source").alias("g_source"), F.col("_mix_key").alias("g_key"), F.col("_mix_id").alias("g_id"), F.col("_mix_size").alias("g_size"), "n", k.alias("k")).filter("k > 0")
+
+
+def with_copies(rows: DataFrame, plan: DataFrame, groups: DataFrame, broadcast_groups: int = BROADCAST_GROUPS) -> DataFrame:
+    """rows of drawn() with the columns of plan and _mix_copies, how often each is taken."""
+    found = groups.count()
+    groups = F.broadcast(groups) if found <= broadcast_groups else groups
+    rows = rows.withColumn("_mix_file", F.input_file_name()).join(plan, F.col("_mix_source").eqNullSafe(F.col("source")))
+    same = F.col("_mix_source").eqNullSafe(F.col("g_source")) & (F.col("_mix_key") == F.col("g_key")) & F.col("_mix_id").eqNullSafe(F.col("g_id")) & (F.col("_mix_size") == F.col("g_size"))
+    inside = F.col("_mix_place").between(F.col("low"), F.col("high"))
+    rows = rows.join(groups, inside & same, "left")
+    extra = F.when(inside, F.coalesce(F.col("k") >= F.col("n"), F.lit(False))).otherwise(F.coalesce(F.col("_mix_place") < F.col("low"), F.lit(False)))
+    part = "n is not null and k < n"
+    if not groups.filter(part).isEmpty():
+        # equal rows of which some are taken: numbered in each file, behind the rows of the files before
+        cut = rows.filter(part)
+        key = ["g_source", "g_key", "g_id", "g_size"]
+        files = cut.groupBy(*key, "_mix_file").agg(F.count(F.lit(1)).alias("_in_file"))
+        files = files.withColumn("_before", F.coalesce(F.sum("_in_file").over(Window.partitionBy(*key).orderBy("_mix_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        number = F.row_number().over(Window.partitionBy(*key, "_mix_file").orderBy(F.lit(1)))
+        cut = cut.withColumn("_number", number).alias("c").join(files.alias("f"), [F.col(f"c.{x}").eqNullSafe(F.col(f"f.{x}")) for x in (*key, "_mix_file")])
+        cut = cut.select("c.*", (F.col("_number") + F.col("_before") <= F.col("k")).alias("_extra")).drop("_number")
+        rows = rows.filter(f"not coalesce({part}, false)").withColumn("_extra", extra).unionByName(cut)
+    else:
+        rows = rows.withColumn("_extra", extra)
+    more = F.col("_extra") & (F.col("_mix_size") > 0) & (F.col("epochs") < MOST_EPOCHS)
+    return rows.withColumn("_mix_copies", F.col("epochs") + more.cast("long"))
+
+
+def planned(rows: DataFrame, stretch_rows: int = STRETCH_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(plan, groups) for rows of drawn(): per source its size, target, epochs and last stretch; see taken_groups()."""
+    sizes = rows.groupBy(F.col("_mix_source").alias("source")).agg(F.sum("_mix_size").alias("source_size"))
+    plan = targets(sizes)
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(1))
+    plan = plan.withColumn("epochs", F.least(whole, F.lit(MOST_EPOCHS)).cast("long"))
+    plan = materialize(plan.withColumn("rest", F.greatest(F.col("target") - F.col("epochs") * F.col("source_size"), F.lit(0.0))), "plan")
+    plan = materialize(last_stretches(rows, plan, stretch_rows), "ends")
+    return plan, materialize(taken_groups(rows, plan), "groups")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", quality=word_length_quality, seed: int = 42, stretch_rows: int = STRETCH_ROWS) -> DataFrame:
     """One row per row of docs: id_col, source, size, source_size, target, copies, taken = copies * size.
 
     size is the number of words; null text: 0. A null source is a source of its own. Documents without words are given
@@ -65,42 +161,25 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     so a source misses its target by at most half a document. Equal keys are ordered by id and size; rows equal in both
     are interchangeable. An empty table gives an empty result; other columns are not read.
     """
-    size = word_count(F.col(text_col))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), quality(F.col(text_col), size).alias("q"))
-    # exp(-key) rises as keys fall and lies in (0, 1): its complement orders as the key does and can be cut into buckets
-    draw = -F.log(uniform(F.col("id"), seed)) / F.greatest(F.col("q"), F.lit(1e-6))
-    rows = materialize(rows.withColumn("key", draw).drop("q"), "sizes")
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    plan = targets(sizes)
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(1))
-    plan = plan.withColumn("epochs", F.least(whole, F.lit(MOST_EPOCHS)).cast("long"))
-    plan = materialize(plan.withColumn("rest", F.greatest(F.col("target") - F.col("epochs") * F.col("source_size"), F.lit(0.0))), "plan")
-    buckets = max(64, rows.count() // bucket_rows)
-    rows = rows.withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * buckets))
-    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"))
-    upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("before", F.coalesce(F.sum("in_bucket").over(upto), F.lit(0)))
-    same_source = F.col("s.source").eqNullSafe(F.col("p.source"))
-    ends = sums.alias("s").join(plan.alias("p"), same_source).filter("before < rest and before + in_bucket >= rest")
-    ends = materialize(ends.groupBy("s.source").agg(F.max_by(F.struct("bucket", "before"), "bucket").alias("end")).select("source", "end.*"), "ends")
-    # one row per source from here on, so these joins are broadcast while the sources fit the session's threshold
-    full = plan.alias("p").join(ends.alias("e"), F.col("p.source").eqNullSafe(F.col("e.source")), "left").select("p.*", F.coalesce("e.bucket", F.lit(buckets + 1)).alias("end_bucket"), F.coalesce("e.before", F.lit(0)).alias("before"))
-    r = rows.alias("r").join(full.alias("f"), F.col("r.source").eqNullSafe(F.col("f.source"))).select("r.*", "source_size", "target", "epochs", "rest", "end_bucket", "before")
-    edge = r.filter("bucket = end_bucket and rest > 0")
-    prefix = Window.partitionBy("source").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    edge = edge.withColumn("extra", F.col("before") + F.coalesce(F.sum("size").over(prefix), F.lit(0)) + F.col("size") / 2 <= F.col("rest"))
-    inner = r.filter("not (bucket = end_bucket and rest > 0)").withColumn("extra", (F.col("rest") > 0) & (F.col("bucket") < F.col("end_bucket")))
-    out = inner.unionByName(edge)
-    copies = (F.col("epochs") + (F.col("extra") & (F.col("size") > 0) & (F.col("epochs") < MOST_EPOCHS)).cast("long")).alias("copies")
-    return out.select(F.col("id").alias(id_col), "source", "size", "source_size", F.col("target").cast("double").alias("target"), copies).withColumn("taken", F.col("size") * F.col("copies"))
-
-
-def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **more) -> DataFrame:
-    """docs with its own columns, each row as often as the mix takes it; rows that share an id are mixed alike."""
-    copies = mix(docs, id_col, source_col, text_col, **more).groupBy(F.col(id_col).alias("_mix_id")).agg(F.max("copies").cast("int").alias("_mix_copies"))
-    joined = docs.join(copies, docs[id_col].eqNullSafe(F.col("_mix_id"))).filter("_mix_copies > 0")
-    return joined.withColumn("_mix_turn", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*[docs[c] for c in docs.columns])
+    names = ["_mix_id", "_mix_source", "_mix_size", "_mix_key", "_mix_place"]
+    rows = materialize(drawn(docs, id_col, source_col, text_col, quality, seed).select(*names), "sizes")
+    out = with_copies(rows, *planned(rows, stretch_rows))
+    out = out.select(F.col("_mix_id").alias(id_col), F.col("_mix_source").alias("source"), F.col("_mix_size").alias("size"), "source_size", F.col("target").cast("double").alias("target"), F.col("_mix_copies").alias("copies"))
+    return out.withColumn("taken", F.col("size") * F.col("copies"))
+
 
+def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", quality=word_length_quality, seed: int = 42, stretch_rows: int = STRETCH_ROWS) -> DataFrame:
+    """docs with its own columns, each row as often as mix() takes it; the texts are not shuffled.
+
+    Null texts, null ids and sources, ties, repeated rows and empty tables are as in mix(); columns of docs may have any
+    names but those that begin with _mix_.
+    """
+    names = ["_mix_id", "_mix_source", "_mix_size", "_mix_key", "_mix_place"]
+    made = lambda frame: drawn(frame, id_col, source_col, text_col, quality, seed)
+    rows = materialize(made(docs).select(*names), "sizes")
+    packed = made(docs).select(F.struct(*[docs[c] for c in docs.columns]).alias("_mix_row"), *names)
+    out = with_copies(packed, *planned(rows, stretch_rows)).filter("_mix_copies > 0")
+    return out.select("_mix_row", F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int")))).select(*[F.col(f"_mix_row.`{c}`") for c in docs.columns])
 
 
 #: The same mix with one prefix sum per source; levels and targets are computed in the same order.

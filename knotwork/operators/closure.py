@@ -1,8 +1,8 @@
 """Derived facts: the closure of declared relation semantics, and why each fact holds.
 
 Rules of one premise (symmetric, inverse, sub-property, equivalent) and of two (transitive, two-link chain) run
-semi-naively: each round joins only the facts that the round before found, and what a loop holds is written to the shared
-folder. Justifications are taken in one pass over the closed facts, so re-derivations are among them.
+semi-naively: each round joins only the facts that the round before found, and what a round finds is written to the shared
+folder; earlier rounds are not written again. Justifications are taken in one pass over the closed facts, so re-derivations are among them.
 """
 
 from __future__ import annotations
@@ -14,9 +14,36 @@ from knotwork.errors import QueryError
 from knotwork.sources.graph import Space, cut, union_all
 
 MAX_ROUNDS = 100
+#: Rounds whose facts are read side by side before they are written together.
+MERGE_ROUNDS = 8
 FACT = ("s", "p", "d")
 
 
+def needed_types(space: Space, wanted) -> set[str]:
+    """The edge types on which facts of the types wanted depend, these included."""
+    needed, todo = set(), list(wanted)
+    rules = [(f, (p,)) for _, p, f, _ in one_premise_rules(space)] + [(f, (a, b)) for _, a, b, f in two_premise_rules(space)]
+    while todo:
+        t = todo.pop()
+        if t not in needed:
+            needed.add(t)
+            todo += [p for f, premises in rules if f == t for p in premises]
+    return needed
+
+
+def only_rules(space: Space, wanted) -> Space:
+    """space with the semantics of just those edge types that the ones wanted depend on."""
+    made, needed = space.copy(), needed_types(space, wanted)
+    for name, e in made.edges.items():
+        e.sub, e.equivalent = tuple(q for q in e.sub if q in needed), tuple(q for q in e.equivalent if q in needed and name in needed)
+        if name not in needed:
+            e.symmetric = e.transitive = False
+            e.chain = None
+        if e.inverse and not {name, e.inverse} <= needed:
+            e.inverse = None
+    return made
+
+
 def one_premise_rules(space: Space) -> list[tuple[str, str, str, bool]]:
     """(rule, type of the premise, type of the fact, turned round)."""
     rules = []
@@ -65,9 +92,10 @@ def asserted_facts(space: Space) -> DataFrame:
 
 def closed_facts(space: Space, budget: int | None = None) -> DataFrame:
     """(s, p, d): all facts, asserted and derived, of the types that rules mention."""
-    known = delta = cut(asserted_facts(space))
-    derived = 0
+    delta = cut(asserted_facts(space))
+    parts, derived = [delta], 0
     for _ in range(MAX_ROUNDS):
+        known = union_all(parts)
         steps = single_steps(space, delta) + double_steps(space, delta, known) + double_steps(space, known, delta)
         if not steps:
             return known
@@ -79,7 +107,9 @@ def closed_facts(space: Space, budget: int | None = None) -> DataFrame:
         if budget is not None and derived > budget:
             space.dirty = True
             raise QueryError(f"more than {budget} derived facts")
-        known = cut(known.unionByName(delta))
+        parts.append(delta)
+        if len(parts) > MERGE_ROUNDS:
+            parts = [cut(union_all(parts))]
     raise QueryError("the rules did not settle")
 
 
@@ -107,21 +137,15 @@ def derived_types(space: Space, facts: DataFrame) -> DataFrame:
 def materialize_rules(space: Space, budget: int | None = None) -> Space:
     """space with derived edges (rank 0, marked), derived types and justifications, made anew from what is asserted."""
     made = space.copy()
+    made.derived, made.inferred_types, made.provenance, made.dirty = {}, None, None, False
     if not (one_premise_rules(space) or two_premise_rules(space) or any(e.domain or e.range for e in space.edges.values())):
-        made.inferred_types = made.provenance = None
-        for name in made.edges:
-            if name in made.edge_frames:
-                made.edge_frames[name] = made.edge(name).filter(~F.col("inferred"))
-        made.dirty = False
         return made
     facts = closed_facts(space, budget)
-    for e in {x for _, _, f, _ in one_premise_rules(space) for x in [f]} | {r[-1] for r in two_premise_rules(space)}:
-        own = made.edge(e).filter(~F.col("inferred"))
-        new = facts.filter(F.col("p") == e).select(F.col("s").alias("src"), F.col("d").alias("dst")).join(own.select("src", "dst"), ["src", "dst"], "left_anti")
-        made.edge_frames[e] = own.unionByName(new.withColumns({"rank": F.lit(0).cast("long"), "inferred": F.lit(True)}), allowMissingColumns=True)
+    for e in {f for _, _, f, _ in one_premise_rules(space)} | {r[-1] for r in two_premise_rules(space)}:
+        new = facts.filter(F.col("p") == e).select(F.col("s").alias("src"), F.col("d").alias("dst"))
+        made.derived[e] = new.join(made.asserted(e).select("src", "dst"), ["src", "dst"], "left_anti")
     made.inferred_types = derived_types(space, facts)
     made.provenance = justifications(space, facts)
-    made.dirty = False
     return made
 
 

@@ -16,7 +16,6 @@ from knotwork.plans import syntax as s
 from knotwork.sources.graph import Space, cut, union_all
 
 MAX_STEPS = 20
-CUT_ROUNDS = 3
 MARKS = {"_src": "src", "_dst": "dst", "_type": "type", "_rank": "rank", "src_id": "src", "dst_id": "dst"}
 
 
@@ -45,7 +44,7 @@ def oriented(space: Space, over, direction: str, columns) -> DataFrame:
 def traverse(starts: DataFrame, edges: DataFrame, low: int, high: int) -> DataFrame:
     """(pos, start, to, src, dst, rank, type, ...): the rows of GO; starts are (pos, vid)."""
     frontier = starts.select("pos", F.col("vid").alias("start"), F.col("vid").alias("here"))
-    visited, found = frontier, []
+    visited, found = [frontier], []
     for hop in range(1, high + 1):
         met = frontier.join(edges, F.col("here") == F.col("at")).withColumn("hop", F.lit(hop))
         if hop >= low:
@@ -53,14 +52,11 @@ def traverse(starts: DataFrame, edges: DataFrame, low: int, high: int) -> DataFr
         if hop == high:
             break
         new = met.select("pos", "start", F.col("to").alias("here")).distinct()
-        frontier = new.join(visited, ["pos", "start", "here"], "left_anti")
-        if hop % CUT_ROUNDS == 0:
-            frontier = cut(frontier)
-            if frontier.isEmpty():
-                break
-            visited = cut(visited.unionByName(frontier))
-        else:
-            visited = visited.unionByName(frontier)
+        # read by the next hop, by the visited test of all later ones and by this hop's rows: written once
+        frontier = cut(new.join(union_all(visited), ["pos", "start", "here"], "left_anti"))
+        if hop > 1 and frontier.isEmpty():
+            break
+        visited.append(frontier)
     rows = union_all(found)
     first = Window.partitionBy("pos", "to", "type", "rank").orderBy("hop", "src", "dst")
     return rows.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n", "hop")
@@ -140,13 +136,28 @@ def with_destinations(space: Space, rows: DataFrame, exprs) -> DataFrame:
     return rows
 
 
-def vertex_json(space: Space, vids: DataFrame | None = None) -> DataFrame:
-    """(vid, vertex): all tags of each vertex, or of those in vids, as JSON."""
-    only = (lambda frame: frame) if vids is None else (lambda frame: frame.join(vids.select("vid"), "vid", "left_semi"))
-    parts = [only(space.tag(t)).select("vid", F.struct(F.lit(k).alias("at"), F.lit(t).alias("tag"), F.to_json(F.struct(*[F.col(f"`{f.name}`") for f in space.tags[t].fields])).alias("props")).alias("part")) for k, t in enumerate(space.tags)]
+def tag_part(space: Space, tag: str, frame: DataFrame) -> DataFrame:
+    """(vid, part): a tag's rows as what vertex_json() puts together."""
+    at = list(space.tags).index(tag)
+    props = F.to_json(F.struct(*[F.col(f"`{f.name}`") for f in space.tags[tag].fields])) if space.tags[tag].fields else F.lit("{}")
+    return frame.select("vid", F.struct(F.lit(at).alias("at"), F.lit(tag).alias("tag"), props.alias("props")).alias("part"))
+
+
+def vertex_json(space: Space, own: tuple[str, DataFrame] | None = None) -> DataFrame:
+    """(vid, vertex): all tags of each vertex as JSON.
+
+    With own, a tag and rows of its frame, only of these vertices: other tags are joined where they may share a vertex
+    with that one.
+    """
+    if own is None:
+        parts = [tag_part(space, t, space.tag(t)) for t in space.tags]
+    else:
+        tag, frame = own
+        parts = [tag_part(space, tag, frame)]
+        parts += [tag_part(space, t, space.tag(t).join(frame.select("vid"), "vid", "left_semi")) for t in space.tags if t != tag and not space.apart(t, tag)]
     if not parts:
         return space.spark.createDataFrame([], f"vid {space.vid_sql}, vertex string")
-    grouped = union_all(parts).groupBy("vid").agg(F.sort_array(F.collect_list("part")).alias("parts"))
+    grouped = union_all(parts).groupBy("vid").agg(F.sort_array(F.collect_list("part")).alias("parts")) if len(parts) > 1 else parts[0].select("vid", F.array("part").alias("parts"))
     tags = F.array_join(F.transform("parts", lambda p: F.concat(F.lit('{"name":"'), p["tag"], F.lit('","props":'), p["props"], F.lit("}"))), ",")
     vid = F.col("vid").cast("string") if space.vid_type == "INT64" else F.concat(F.lit('"'), "vid", F.lit('"'))
     return grouped.select("vid", F.concat(F.lit('{"vid":'), vid, F.lit(',"tags":['), tags, F.lit("]}")).alias("vertex"))

@@ -37,12 +37,12 @@ def merge(space: Space, pairs: DataFrame) -> Space:
     """space with the vertices of pairs (a, b) merged into those merged before.
 
     Of each property the representative's own value stays; where it has none, the smallest member that has one gives it.
-    Edges are drawn to the representatives; of edges that then coincide an asserted one stays before a derived one.
+    Edges are drawn to the representatives, and of those that then coincide one stays; what rules derive is made anew.
     """
     made = space.copy()
     if space.same is not None:
         pairs = pairs.unionByName(space.same.select(F.col("vid").alias("a"), F.col("rep").alias("b")))
-    made.same = cut(representatives(pairs))
+    made.same, made.spans = cut(representatives(pairs)), {}
     mapped = made.same.select(F.col("vid").alias("_vid"), F.col("rep").alias("_rep"))
     for t, tag in made.tags.items():
         frame = made.tag(t).join(mapped, F.col("vid") == F.col("_vid"), "left").withColumn("_rep", F.coalesce("_rep", "vid"))
@@ -50,8 +50,8 @@ def merge(space: Space, pairs: DataFrame) -> Space:
         grouped = frame.groupBy("_rep").agg(*values, F.count(F.lit(1)).alias("_n"))
         made.tag_frames[t] = grouped.select(F.col("_rep").alias("vid"), *[F.col(f"`{f.name}`") for f in tag.fields])
     for n, edge in made.edges.items():
-        frame = made.representative(made.edge(n), "src", "dst")
-        first = Window.partitionBy("src", "dst", "rank").orderBy(F.col("inferred").asc(), *[F.col(f"`{f.name}`").asc_nulls_last() for f in edge.fields])
+        frame = made.representative(made.asserted(n), "src", "dst")
+        first = Window.partitionBy("src", "dst", "rank").orderBy(F.lit(0), *[F.col(f"`{f.name}`").asc_nulls_last() for f in edge.fields])
         made.edge_frames[n] = frame.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
     return made
 

@@ -58,8 +58,7 @@ def run_lookup(space: Space, query: s.Lookup) -> DataFrame:
         check_predicate(query.where)
         frame = frame.filter(LookupCompiler(Mode.LOOKUP, field_names(frame, tag or edge)).filter(query.where))
     if tag:
-        vids = frame.select("vid")
-        result = vids.join(vertex_json(space, vids), "vid").select(F.col("vid").alias(f"{tag}.vid"), F.col("vertex").alias(f"{tag}.*"))
+        result = vertex_json(space, (tag, frame)).select(F.col("vid").alias(f"{tag}.vid"), F.col("vertex").alias(f"{tag}.*"))
     else:
         result = frame.select(*[F.col(c).alias(f"{edge}.{c}") for c in ("src", "dst", "rank")])
     if query.offset:

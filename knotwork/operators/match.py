@@ -8,6 +8,7 @@ its properties, so no second join fetches them.
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 from operator import or_
 
@@ -36,8 +37,31 @@ def columns_of(e) -> str:
     return "value"
 
 
+def with_standing_ids(space: Space, e):
+    """An expression with the ids that id(v) is compared with replaced by those that stand for them."""
+    def_id = lambda x: isinstance(x, s.Call) and x.name.lower() == "id"
+    below = lambda x: x.items if isinstance(x, s.ListOf) else (x,)
+    compared = [x for x in s.walk(e) if isinstance(x, s.Bin) and x.op in ("==", "!=", "IN", "NOT IN") and (def_id(x.left) or def_id(x.right))]
+    literals = [v.value for x in compared for side in (x.left, x.right) for v in below(side) if isinstance(v, s.Lit) and isinstance(v.value, int if space.vid_type == "INT64" else str)]
+    stands = space.standing(literals)
+
+    def made(x):
+        if isinstance(x, s.ListOf):
+            return replace(x, items=tuple(map(made, x.items)))
+        return s.Lit(stands.get(x.value, x.value)) if isinstance(x, s.Lit) and not isinstance(x.value, bool | None) else x
+
+    def walked(x):
+        if isinstance(x, s.Bin):
+            return replace(x, left=made(x.left), right=made(x.right)) if x in compared else replace(x, left=walked(x.left), right=walked(x.right))
+        return replace(x, arg=walked(x.arg)) if isinstance(x, s.Un) else x
+
+    return walked(e) if literals else e
+
+
 class Matcher:
     def __init__(self, space: Space, query: s.Match):
+        if space.same is not None and query.where is not None:
+            query = replace(query, where=with_standing_ids(space, query.where))
         self.space, self.query = space, query
         self.nodes: dict[str, list[s.NodePat]] = {}
         self.edges: dict[str, s.EdgePat] = {}
@@ -208,6 +232,9 @@ class Matcher:
     def bindings(self, pattern: s.Pattern) -> DataFrame:
         first = pattern.nodes[0].var
         bound, seen = self.node_frame(first), {first}
+        limit = self.space.scan_limit
+        if limit is not None and not any(n.labels for n in self.nodes[first]) and self.space.vertices().limit(limit + 1).count() > limit:
+            raise QueryError(f"a pattern without a label scans more than {limit} vertices")
         for e, node in zip(pattern.edges, pattern.nodes[1:], strict=True):
             left = pattern.nodes[pattern.edges.index(e)].var
             if e.span:
@@ -233,7 +260,7 @@ class Matcher:
     def ranged(self, starts: DataFrame, e: s.EdgePat) -> DataFrame:
         steps = self.edge_frame(e.var).select("_from", "_to").distinct()
         # an edge to a missing vertex leads nowhere
-        steps = steps.join(self.space.vertices().withColumnRenamed("vid", "_to"), "_to", "left_semi").select("_from", "_to")
+        steps = steps.join(self.space.vertices(once=False).withColumnRenamed("vid", "_to"), "_to", "left_semi").select("_from", "_to")
         return reachable(starts, steps, *e.span)
 
     # --- the query ---

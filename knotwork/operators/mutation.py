@@ -1,4 +1,4 @@
-"""INSERT, UPDATE and DELETE: new frames in the place of old ones; each returns the changed space and a count."""
+"""INSERT, UPDATE and DELETE: changes beside the frames they change; each returns the changed space and a count."""
 
 from __future__ import annotations
 
@@ -16,9 +16,11 @@ SAME = "sameas"
 
 
 def assignable(kind: str, value) -> bool:
-    """Whether a value may stand in a field of a declared type; lists may stand anywhere, as vectors."""
-    if value is None or isinstance(value, list):
+    """Whether a value may stand in a field of a declared type; lists only stand in vectors, see widen()."""
+    if value is None:
         return True
+    if kind == "VECTOR" or isinstance(value, list):
+        return kind == "VECTOR" and isinstance(value, list)
     if isinstance(value, bool):
         return kind == "BOOL"
     if isinstance(value, int):
@@ -49,23 +51,43 @@ def rows_of(space: Space, fields, names, values) -> dict:
     for n, v in zip(names, values, strict=True):
         if n not in by:
             raise QueryError(f"there is no property {n}")
-        if isinstance(v, list) and by[n].stored != "array<float>":
-            by[n].kind = "VECTOR"  # a property that is given vectors holds vectors
-        if not assignable(by[n].kind, v) and by[n].kind != "VECTOR":
+        if not assignable(by[n].kind, v):
             raise QueryError(f"{n} does not take {v!r}")
         found[n] = stored(by[n], v)
     return found
 
 
+def widen(fields, names, values, old: DataFrame) -> None:
+    """A property that is given a list holds vectors from then on, if it has held nothing yet."""
+    by = {f.name: f for f in fields}
+    for n, v in zip(names, values, strict=False):
+        if isinstance(v, list) and n in by and by[n].kind != "VECTOR":
+            if n in old.columns and not old.filter(F.col(f"`{n}`").isNotNull()).isEmpty():
+                raise QueryError(f"{n} holds values that are no vectors")
+            by[n].kind = "VECTOR"
+
+
 def retyped(frame: DataFrame, fields) -> DataFrame:
     """frame with its columns in the types that the fields now have."""
-    kinds = dict(frame.dtypes)
-    changed = {f.name: F.lit(None).cast(f.stored) if f.name not in kinds or (f.stored == "array<float>" and kinds[f.name] == "string") else F.col(f"`{f.name}`") for f in fields if kinds.get(f.name) != f.stored}
+    kinds = {n: "long" if t == "bigint" else t for n, t in frame.dtypes}
+    # a column that became a vector held nothing, see widen()
+    changed = {f.name: F.lit(None).cast(f.stored) if f.name not in kinds or f.stored == "array<float>" else F.col(f"`{f.name}`").cast(f.stored) for f in fields if kinds.get(f.name) != f.stored}
     return frame.withColumns(changed) if changed else frame
 
 
+def keep_types(made: Space, kind: str, name: str) -> None:
+    """Puts a frame of which a column has another type by now in the place of the old one."""
+    frame = made.tag(name) if kind == "tag" else made.asserted(name)
+    now = retyped(frame, (made.tags if kind == "tag" else made.edges)[name].fields)
+    if now is not frame:
+        (made.tag_frames if kind == "tag" else made.edge_frames)[name] = now
+
+
 def insert_vertices(space: Space, q: s.InsertVertex, tx: int) -> tuple[Space, int]:
-    """Each row replaces the whole vertex, all tags; of rows for one id the last stays. The count is of rows given."""
+    """Each row replaces the whole vertex, all tags; of rows for one id the last stays. The count is of rows given.
+
+    Every row is checked before anything is made, so a statement that is refused changes nothing.
+    """
     made = space.copy()
     last: dict = {}
     width = sum(len(names) for _, names in q.tags)
@@ -76,40 +98,39 @@ def insert_vertices(space: Space, q: s.InsertVertex, tx: int) -> tuple[Space, in
         space.vids([vid])
         if len(values) != width:
             raise QueryError("there are as many values as names")
-        last[vid] = values
-    new: dict[str, list] = {}
-    for vid, values in last.items():
         at = 0
         for name, names in q.tags:
-            props = rows_of(space, made.tags[name].fields, names, values[at : at + len(names)])
+            widen(made.tags[name].fields, names, values[at : at + len(names)], space.tag(name))
+            at += len(names)
+    for vid, values in q.rows:
+        at, props = 0, {}
+        for name, names in q.tags:
+            props[name] = rows_of(space, made.tags[name].fields, names, values[at : at + len(names)])
             at += len(names)
-            new.setdefault(name, []).append((vid, props))
+        last[vid] = props
     gone = space.vids(list(last)).select("vid")
     if space.same is not None:
         gone = space.representative(gone, "vid")
     for t, tag in made.tags.items():
-        frame = retyped(made.tag(t), tag.fields)
-        if t not in new and t not in space.tag_frames:
+        new = [(vid, *props[t].values()) for vid, props in last.items() if t in props]
+        if not new and t not in space.tag_frames:
             continue
-        frame = frame.join(gone, "vid", "left_anti")
-        if t in new:
+        keep_types(made, "tag", t)
+        if new:
             schema = ", ".join([f"vid {space.vid_sql}", *(f"`{f.name}` {f.stored}" for f in tag.fields)])
-            rows = space.spark.createDataFrame([(vid, *props.values()) for vid, props in new[t]], schema)
-            rows = space.representative(rows, "vid")
-            made.tag_history[t] = append(resolved(space.tag_history.get(t)), rows, tx, False)
-            frame = frame.unionByName(rows)
-        elif space.tag_history.get(t) is not None:
-            lost = made.tag(t).join(gone, "vid", "left_semi")
-            made.tag_history[t] = append(resolved(space.tag_history.get(t)), lost, tx, True)
-        made.tag_frames[t] = frame
+            rows = space.spark.createDataFrame(new, schema)
+            if space.same is not None:
+                rows = space.representative(rows, "vid").dropDuplicates(["vid"])
+            made.tag_history[t] = append(space.tag_history.get(t), rows, tx, False)
+            made.change("tag", t, None, rows)
+        else:
+            if space.tag_history.get(t) is not None:
+                made.tag_history[t] = append(space.tag_history.get(t), made.tag(t).join(gone, "vid", "left_semi"), tx, True)
+            made.change("tag", t, gone)
     guard_shapes(made, gone)
     return made, len(q.rows)
 
 
-def resolved(history):
-    return history() if callable(history) else history
-
-
 def guard_shapes(space: Space, vids: DataFrame) -> None:
     if space.shapes:
         broken = check_shapes(space, vids, declared_only=True).limit(1).collect()
@@ -129,15 +150,18 @@ def insert_edges(space: Space, q: s.InsertEdge, tx: int) -> tuple[Space, int]:
         raise QueryError(f"there is no edge {q.name}")
     made = space.copy()
     fields, last = made.edges[q.name].fields, {}
-    for src, dst, rank, values in q.rows:
+    for src, dst, _, values in q.rows:
         space.vids([src, dst])
+        widen(fields, q.props, values, space.asserted(q.name))
+    for src, dst, rank, values in q.rows:
         last[src, dst, rank] = rows_of(space, fields, q.props, values)
+    keep_types(made, "edge", q.name)
     schema = ", ".join([f"src {space.vid_sql}, dst {space.vid_sql}, rank long, inferred boolean", *(f"`{f.name}` {f.stored}" for f in fields)])
-    rows = space.representative(space.spark.createDataFrame([(*k, False, *v.values()) for k, v in last.items()], schema), "src", "dst")
-    rows = rows.dropDuplicates(["src", "dst", "rank"])
-    old = retyped(made.edge(q.name), fields).join(rows.select("src", "dst", "rank"), ["src", "dst", "rank"], "left_anti")
-    made.edge_frames[q.name] = old.unionByName(rows)
-    made.edge_history[q.name] = append(resolved(space.edge_history.get(q.name)), rows.drop("inferred"), tx, False)
+    rows = space.spark.createDataFrame([(*k, False, *v.values()) for k, v in last.items()], schema)
+    if space.same is not None:
+        rows = space.representative(rows, "src", "dst").dropDuplicates(["src", "dst", "rank"])
+    made.change("edge", q.name, None, rows)
+    made.edge_history[q.name] = append(space.edge_history.get(q.name), rows.drop("inferred"), tx, False)
     return made, len(q.rows)
 
 
@@ -150,6 +174,8 @@ def update(space: Space, q: s.Update, tx: int) -> tuple[Space, int]:
         fields, frame = made.edges[q.name].fields, made.edge(q.name)
         src, dst, rank = q.ref
         space.vids([src, dst])
+        stands = space.standing([src, dst])
+        src, dst = stands[src], stands[dst]
         hit = (F.col("src") == F.lit(src)) & (F.col("dst") == F.lit(dst)) & (F.col("rank") == F.lit(rank or 0))
     else:
         if q.name not in space.tags:
@@ -157,8 +183,11 @@ def update(space: Space, q: s.Update, tx: int) -> tuple[Space, int]:
         fields, frame = made.tags[q.name].fields, made.tag(q.name)
         vid = space.representative(space.vids([q.ref]), "vid").first()["vid"]
         hit = F.col("vid") == F.lit(vid)
-    changes = rows_of(space, fields, [n for n, _ in q.changes], [v for _, v in q.changes])
-    changes = {n: changes[n] for n, _ in q.changes}
+    names, values = [n for n, _ in q.changes], [v for _, v in q.changes]
+    widen(fields, names, values, frame)
+    changes = rows_of(space, fields, names, values)
+    changes = {n: changes[n] for n in names}
+    keep_types(made, "edge" if q.edge else "tag", q.name)
     frame = retyped(frame, fields)
     kinds = {f.name: kind_of(f.dataType) for f in frame.schema.fields}
 
@@ -180,11 +209,11 @@ def update(space: Space, q: s.Update, tx: int) -> tuple[Space, int]:
         new = chosen.withColumns({n: (F.array(*[F.lit(x) for x in v]) if isinstance(v, list) else F.lit(v)).cast(by[n].stored) for n, v in changes.items()})
     if q.edge:
         new = new.withColumn("inferred", F.lit(False))
-        made.edge_frames[q.name] = frame.filter(~hit).unionByName(new)
-        made.edge_history[q.name] = append(resolved(space.edge_history.get(q.name)), new.drop("inferred"), tx, False)
+        made.change("edge", q.name, None, new)
+        made.edge_history[q.name] = append(space.edge_history.get(q.name), new.drop("inferred"), tx, False)
     else:
-        made.tag_frames[q.name] = frame.filter(~hit).unionByName(new)
-        made.tag_history[q.name] = append(resolved(space.tag_history.get(q.name)), new, tx, False)
+        made.change("tag", q.name, None, new)
+        made.tag_history[q.name] = append(space.tag_history.get(q.name), new, tx, False)
         guard_shapes(made, space.vids([vid]).select("vid"))
     return made, 1
 
@@ -213,12 +242,16 @@ def delete_vertices(space: Space, q: s.DeleteVertex, tx: int) -> tuple[Space, in
                 continue
             keep = fits if keep is None else keep.unionByName(fits)
         gone = gone.limit(0) if keep is None else gone.join(keep.distinct(), "vid", "left_semi")
-    n = gone.count()
+    # at most the ids named; as literals they leave no trace of this statement's reads in later plans
+    found = [r["vid"] for r in gone.collect()]
+    n, gone = len(found), space.spark.createDataFrame([(v,) for v in found], f"vid {space.vid_sql}")
+    if not n:
+        return space, 0
     for t in space.tags:
         if t in space.tag_frames:
             lost = space.tag(t).join(gone, "vid", "left_semi")
-            made.tag_history[t] = append(resolved(space.tag_history.get(t)), lost, tx, True)
-            made.tag_frames[t] = space.tag(t).join(gone, "vid", "left_anti")
+            made.tag_history[t] = append(space.tag_history.get(t), lost, tx, True)
+            made.change("tag", t, gone)
     return made, n
 
 
@@ -229,12 +262,15 @@ def delete_edges(space: Space, q: s.DeleteEdge, tx: int) -> tuple[Space, int]:
     if q.name not in space.edges:
         raise QueryError(f"there is no edge {q.name}")
     made = space.copy()
-    refs = space.spark.createDataFrame([(a, b, r or 0) for a, b, r in q.refs], f"src {space.vid_sql}, dst {space.vid_sql}, rank long").distinct()
-    frame = space.edge(q.name)
-    hit = frame.join(refs, ["src", "dst", "rank"], "left_semi")
-    if not hit.filter("inferred").isEmpty():
+    stands = space.standing({x for a, b, _ in q.refs for x in (a, b)})
+    refs = space.spark.createDataFrame([(stands[a], stands[b], r or 0) for a, b, r in q.refs], f"src {space.vid_sql}, dst {space.vid_sql}, rank long").distinct()
+    hit = space.edge(q.name).join(refs, ["src", "dst", "rank"], "left_semi")
+    found = hit.select("src", "dst", "rank", "inferred").collect()
+    if any(r["inferred"] for r in found):
         raise QueryError("a derived edge cannot be deleted")
-    n = hit.count()
-    made.edge_frames[q.name] = frame.join(refs, ["src", "dst", "rank"], "left_anti")
-    made.edge_history[q.name] = append(resolved(space.edge_history.get(q.name)), hit.drop("inferred"), tx, True)
-    return made, n
+    if not found:
+        return space, 0
+    gone = space.spark.createDataFrame([tuple(r)[:3] for r in found], f"src {space.vid_sql}, dst {space.vid_sql}, rank long")
+    made.edge_history[q.name] = append(space.edge_history.get(q.name), hit.drop("inferred"), tx, True)
+    made.change("edge", q.name, gone)
+    return made, len(found)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from knotwork.errors import QueryError
 from knotwork.plans import syntax as s
-from knotwork.sources.graph import Space, cut
+from knotwork.sources.graph import Space, cut, union_all
 
 DEFAULT_STEPS, MAX_STEPS, MAX_PATHS = 10, 20, 1024
 MAX_ROUNDS = 10_000
@@ -33,40 +33,69 @@ def run_find(space: Space, query: s.Find) -> DataFrame:
         return spark.createDataFrame([([query.source],)], f"path array<{space.vid_sql}>")
     if query.weight:
         return weighted(space, query).select("path")
-    levels, hops = search(spark, steps_of(space, query), query.source, query.target, DEFAULT_STEPS if query.upto is None else query.upto, space.vid_sql)
+    most = DEFAULT_STEPS if query.upto is None else query.upto
+    steps = steps_of(space, query)
+    if not query.every:
+        return smallest(space, steps, query.source, query.target, most)
+    levels, hops = search(space, steps, query.source, query.target, most)
     if hops is None:
         return spark.createDataFrame([], f"path array<{space.vid_sql}>")
-    found = trace(levels, steps_of(space, query), query.target, hops)
-    if not query.every:
-        # of several shortest paths the smallest by its vertices
-        return found.orderBy("path").limit(1)
-    if found.limit(MAX_PATHS + 1).count() > MAX_PATHS:
-        raise QueryError(f"there are more than {MAX_PATHS} shortest paths")
-    return found
+    return trace(levels, steps, query.target, hops)
+
 
+def expand(space: Space, level: DataFrame, steps: DataFrame, seen: DataFrame, made, target, spent: int):
+    """(the next level, whether the target is in it, vertices reached so far); a level is written once."""
+    new = cut(made(level.join(steps, F.col("v") == F.col("a"))).join(seen.select("v"), "v", "left_anti"))
+    n, hit = new.agg(F.count(F.lit(1)), F.max(F.col("v") == F.lit(target))).first()
+    spent += n
+    if space.work_limit is not None and spent > space.work_limit:
+        raise QueryError(f"FIND reaches more than {space.work_limit} vertices")
+    return new, n, bool(hit), spent
 
-def search(spark, steps: DataFrame, source, target, most: int, vid_sql: str):
+
+def smallest(space: Space, steps: DataFrame, source, target, most: int) -> DataFrame:
+    """(path): of several shortest paths the smallest by its vertices, which each vertex reached carries along."""
+    spark, vid = space.spark, space.vid_sql
+    level = spark.createDataFrame([(source, [source])], f"v {vid}, path array<{vid}>")
+    seen, spent = [level.select("v")], 1
+    onward = lambda met: met.groupBy(F.col("b").alias("v")).agg(F.min("path").alias("path")).select("v", F.concat("path", F.array("v")).alias("path"))
+    for _ in range(most):
+        level, n, hit, spent = expand(space, level, steps, union_all(seen), onward, target, spent)
+        if hit:
+            return level.filter(F.col("v") == F.lit(target)).select("path")
+        if not n:
+            break
+        seen.append(level.select("v"))
+    return spark.createDataFrame([], f"path array<{vid}>")
+
+
+def search(space: Space, steps: DataFrame, source, target, most: int):
     """Breadth-first levels from source: ([frames (v)], hops to the target or None)."""
-    level = spark.createDataFrame([(source,)], f"v {vid_sql}")
-    levels, seen = [level], level
+    level = space.spark.createDataFrame([(source,)], f"v {space.vid_sql}")
+    levels, spent = [level], 1
     for hop in range(1, most + 1):
-        new = level.join(steps, F.col("v") == F.col("a")).select(F.col("b").alias("v")).distinct().join(seen, "v", "left_anti")
-        level = cut(new)
+        level, n, hit, spent = expand(space, level, steps, union_all(levels), lambda met: met.select(F.col("b").alias("v")).distinct(), target, spent)
         levels.append(level)
-        if not level.filter(F.col("v") == F.lit(target)).isEmpty():
+        if hit:
             return levels, hop
-        if level.isEmpty():
-            return levels, None
-        seen = seen.unionByName(level)
+        if not n:
+            break
     return levels, None
 
 
 def trace(levels: list[DataFrame], steps: DataFrame, target, hops: int) -> DataFrame:
-    """(path): all ways back from the target through the levels; only vertices on such ways are kept."""
+    """(path): all ways back from the target through the levels, which are cut down to such ways hop by hop.
+
+    Every way back goes on to the source, so there are never more of them than shortest paths.
+    """
     paths = levels[hops].filter(F.col("v") == F.lit(target)).select(F.array("v").alias("path"))
     for k in range(hops - 1, -1, -1):
-        back = levels[k].join(steps, F.col("v") == F.col("a")).join(paths.select(F.col("path")[0].alias("b")).distinct(), "b", "left_semi").select("v", "b").distinct()
-        paths = paths.join(back, F.col("path")[0] == F.col("b")).select(F.concat(F.array("v"), F.col("path")).alias("path"))
+        heads = paths.select(F.col("path")[0].alias("b")).distinct()
+        # the heads are at most MAX_PATHS
+        back = steps.join(F.broadcast(heads), "b").select("a", "b").distinct().join(levels[k], F.col("a") == F.col("v")).select("v", "b")
+        paths = cut(paths.join(back, F.col("path")[0] == F.col("b")).select(F.concat(F.array("v"), F.col("path")).alias("path")))
+        if paths.limit(MAX_PATHS + 1).count() > MAX_PATHS:
+            raise QueryError(f"there are more than {MAX_PATHS} shortest paths")
     return paths
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,13 +36,24 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (norms > 0), dot(a, b) / norms)
 
 
-def embedding_scores(space: Space, seed: int, prop: str) -> DataFrame:
-    """(vid, score) of all vertices with a vector of the seed's length; nothing if the seed has none."""
+def vectors_of(space: Space, prop: str) -> DataFrame:
+    """(vid, vector) of all vertices that have this property."""
     tags = [t for t in space.tags if any(f.name == prop for f in space.tags[t].fields)]
     if not tags:
         raise QueryError(f"there is no property {prop}")
-    vectors = union_all([space.tag(t).select("vid", F.col(f"`{prop}`").alias("vector")) for t in tags]).filter("vector is not null")
-    vectors = vectors.withColumn("vector", F.col("vector").cast("array<float>"))
+    # a property that is not declared as a vector, and was given none, holds none
+    frames = [f for f in (space.tag(t).select("vid", F.col(f"`{prop}`").alias("vector")) for t in tags) if dict(f.dtypes)["vector"].startswith("array")]
+    if not frames:
+        return space.spark.createDataFrame([], f"vid {space.vid_sql}, vector array<float>")
+    return union_all([f.withColumn("vector", F.col("vector").cast("array<float>")) for f in frames]).filter("vector is not null")
+
+
+def embedding_scores(space: Space, seed: int, prop: str) -> DataFrame:
+    """(vid, score) of all vertices with a vector of the seed's length; nothing if the seed has none.
+
+    Exact, by a scan of the vectors; operators.vector_index searches a part of them.
+    """
+    vectors = vectors_of(space, prop)
     own = vectors.filter(F.col("vid") == seed).select(F.col("vector").alias("own")).limit(1)
     # the seed's vector is one row
     return vectors.filter(F.col("vid") != seed).crossJoin(F.broadcast(own)).select("vid", cosine(F.col("vector"), F.col("own")).alias("score")).filter("score is not null")
@@ -49,6 +62,7 @@ def embedding_scores(space: Space, seed: int, prop: str) -> DataFrame:
 def run_recommend(space: Space, q: s.Recommend) -> DataFrame:
     if space.vid_type != "INT64":
         raise QueryError("RECOMMEND needs integer ids")
+    q = replace(q, seed=space.standing([q.seed])[q.seed])
     if q.embedding and q.structural:
         near = embedding_scores(space, q.seed, q.embedding).withColumnRenamed("score", "emb")
         alike = jaccard(space, q.seed, q.over).select("vid", F.col("score").alias("struct"))

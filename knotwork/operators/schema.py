@@ -71,6 +71,8 @@ def alter(space: Space, q: s.Alter) -> Space:
         name = given if q.action == "DROP" else given[0]
         if (name in fields) == (q.action == "ADD"):
             raise QueryError(f"property {name} {'exists' if q.action == 'ADD' else 'does not exist'}")
+        if q.action == "ADD" and not FieldDef(*given).nullable and FieldDef(*given).default is None:
+            raise QueryError(f"property {name} takes NULL or a DEFAULT, as vertices without it exist")
         if q.action == "DROP":
             del fields[name]
         else:
@@ -78,7 +80,7 @@ def alter(space: Space, q: s.Alter) -> Space:
     group[q.name] = type(old)(**{**old.__dict__, "fields": list(fields.values()), "version": old.version + 1})
     frames, key = (made.tag_frames, ["vid"]) if q.kind == "tag" else (made.edge_frames, ["src", "dst", "rank", "inferred"])
     if q.name in frames:
-        frame = space.tag(q.name) if q.kind == "tag" else space.edge(q.name)
+        frame = space.tag(q.name) if q.kind == "tag" else space.asserted(q.name)
         frames[q.name] = frame.select(*key, *[retyped_field(frame, f) for f in fields.values()])
     return made
 
@@ -113,7 +115,13 @@ def table(space: Space, columns: str, rows) -> DataFrame:
 
 def stats(space: Space) -> DataFrame:
     """Type, Name, Count: vertices by their first tag, edges by type, and both totals; types without rows count 0."""
-    first = space.vertex_tags().groupBy("vid").agg(F.min_by("tag", "at").alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+    # a vertex counts for its first tag; tags that share no vertex with another are counted as they are
+    alone = [t for t in space.tags if all(space.apart(t, x) for x in space.tags if x != t)]
+    counts = [space.tag(t).agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("tag"), "n") for t in alone]
+    if len(alone) < len(space.tags):
+        first = space.vertex_tags([t for t in space.tags if t not in alone]).groupBy("vid").agg(F.min_by("tag", "at").alias("tag"))
+        counts.append(first.groupBy("tag").agg(F.count(F.lit(1)).alias("n")))
+    first = union_all(counts) if counts else space.spark.createDataFrame([], "tag string, n long")
     names = space.spark.createDataFrame([("Tag", t) for t in space.tags] + [("Edge", e) for e in space.edges], "Type string, Name string")
     edges = space.edges_of(None).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
     counts = first.select(F.lit("Tag").alias("Type"), F.col("tag").alias("Name"), "n").unionByName(edges.select(F.lit("Edge").alias("Type"), F.col("type").alias("Name"), "n"))
@@ -194,15 +202,26 @@ def describe(space: Space, spaces: dict, q: s.Describe) -> DataFrame:
     return table(space, "Field,Type", [(f, next(x.kind for x in on.fields if x.name == f)) for f in i.fields])
 
 
+#: What a description of a schema may hold at most; beyond it is an error, not a part of the schema.
+DISCOVERY_LIMITS = {"max_tags": 256, "max_edges": 256, "max_properties_per_type": 128, "max_metadata_bytes": 256 * 1024}
+
+
 def discovery(space: Space) -> str:
-    """The schema as JSON, for programs."""
-    fields = lambda x: [{"name": f.name, "type": f.kind, "nullable": f.nullable} for f in x.fields]
+    """The schema as JSON, for programs: types and properties by name, what is available, and the limits kept."""
+    prop = lambda f: {"name": f.name, "data_type": f.kind, "nullable": f.nullable, "has_default": f.default is not None}
+    own = lambda group: [{"name": x.name, "properties": sorted(map(prop, x.fields), key=lambda p: p["name"])} for x in sorted(group.values(), key=lambda x: x.name)]
+    found = {"space": space.name, "vid": {"kind": space.vid_type, "max_utf8_bytes": space.vid_length}, "tags": own(space.tags), "edges": own(space.edges)}
+    for kind in ("tags", "edges"):
+        if len(found[kind]) > DISCOVERY_LIMITS[f"max_{kind}"]:
+            raise QueryError(f"the space has more than {DISCOVERY_LIMITS[f'max_{kind}']} {kind}")
+        if any(len(x["properties"]) > DISCOVERY_LIMITS["max_properties_per_type"] for x in found[kind]):
+            raise QueryError(f"a type has more than {DISCOVERY_LIMITS['max_properties_per_type']} properties")
+    if len(json.dumps(found).encode()) > DISCOVERY_LIMITS["max_metadata_bytes"]:
+        raise QueryError(f"the schema takes more than {DISCOVERY_LIMITS['max_metadata_bytes']} bytes")
+    available = {"schema_discovery": True, "text_query": True, "request_read_only": True, "parameter_binding": False, "snapshot_pagination": False, "mutation_preview": False}
     return json.dumps({
-        "version": 1, "space": space.name, "vid_type": space.vid_type,
-        "tags": [{"name": t.name, "properties": fields(t)} for t in space.tags.values()],
-        "edges": [{"name": e.name, "properties": fields(e), "transitive": e.transitive, "symmetric": e.symmetric} for e in space.edges.values()],
-        "classes": [{"name": c.name, "parents": list(c.parents)} for c in space.classes.values()],
-        "unsupported": ["query parameters", "snapshot pagination"],
+        "contract_version": "1", "consistency": "live_reads_no_snapshot", "limits": DISCOVERY_LIMITS, "schema": found,
+        "capabilities": [{"name": n, "status": "available" if ok else "unsupported"} for n, ok in sorted(available.items())],
     })
 
 

@@ -24,10 +24,21 @@ DERIVED_BUDGET = 100_000
 
 
 class Session:
-    """Spaces by name and the one in use. Statements of one script run in order; the last result is returned."""
+    """Spaces by name and the one in use. Statements of one script run in order; the last result is returned.
 
-    def __init__(self, spark: SparkSession, spaces: dict[str, Space] | None = None, use: str | None = None, clock=lambda: int(time.time() * 1000), derived_budget: int | None = DERIVED_BUDGET):
+    A space with a store (see sources.store) is committed to it by every statement that changes the space. scan_limit and
+    work_limit bound the vertices that a pattern without a label may scan and that FIND may reach; None sets no bound.
+    """
+
+    def __init__(
+        self, spark: SparkSession, spaces: dict[str, Space] | None = None, use: str | None = None, clock=lambda: int(time.time() * 1000),
+        derived_budget: int | None = DERIVED_BUDGET, scan_limit: int | None = None, work_limit: int | None = None, stores: dict | None = None,
+    ):
         self.spark, self.spaces, self.clock, self.derived_budget = spark, dict(spaces or {}), clock, derived_budget
+        self.scan_limit, self.work_limit, self.stores = scan_limit, work_limit, dict(stores or {})
+        for name, store in self.stores.items():
+            if name not in self.spaces:
+                self.spaces[name] = store.open()
         self.current = use or next(iter(self.spaces), None)
         self.last_tx = 0
 
@@ -35,7 +46,9 @@ class Session:
     def space(self) -> Space:
         if self.current not in self.spaces:
             raise QueryError("no space is in use")
-        return self.spaces[self.current]
+        space = self.spaces[self.current]
+        space.scan_limit, space.work_limit = self.scan_limit, self.work_limit
+        return space
 
     def execute(self, text: str, read_only: bool = False) -> DataFrame:
         """Runs a script. With read_only a script with any clause that changes something is refused as a whole."""
@@ -78,8 +91,9 @@ class Session:
         if isinstance(q, s.Describe):
             return schema.describe(space, self.spaces, q)
         if isinstance(q, s.Explain):
-            inner = self.run(q.statement, variables) if q.profile else None
-            return explain(space, q.statement, inner)
+            plain = isinstance(q.statement, s.Match | s.Lookup | s.Fetch)
+            inner = self.run(q.statement, variables) if q.profile or plain else None
+            return explain(space, q.statement, inner, q.profile)
         if type(q) in MUTATIONS:
             apply, word = MUTATIONS[type(q)]
             made, n = apply(space, q, self.tick())
@@ -108,6 +122,13 @@ class Session:
             return closure.explain_fact(space, q.source, q.target, q.over)
         raise QueryError(f"{type(q).__name__} is not supported")
 
+    def discover(self, name: str | None = None) -> str:
+        """The schema of a space (of that in use) as JSON for programs, within fixed limits."""
+        name = name or self.current
+        if name not in self.spaces:
+            raise QueryError(f"there is no space {name}")
+        return schema.discovery(self.spaces[name])
+
     def tick(self) -> int:
         """A time later than that of any change before."""
         self.last_tx = max(self.last_tx + 1, self.clock())
@@ -115,15 +136,16 @@ class Session:
 
     def put(self, space: Space, derive: bool = True) -> None:
         """The changed space takes the old one's place; with derive, what its rules entail is made anew."""
-        if not derive:
-            self.spaces[space.name] = space
-            return
         try:
-            self.spaces[space.name] = closure.materialize_rules(space, self.derived_budget)
+            self.spaces[space.name] = closure.materialize_rules(space, self.derived_budget) if derive else space
         except QueryError:
             space.dirty = True
             self.spaces[space.name] = space
             raise
+        finally:
+            store = self.stores.get(space.name)
+            if store is not None:
+                self.spaces[space.name] = store.commit(self.spaces[space.name])
 
     def check(self, q: s.Check) -> DataFrame:
         space = self.space

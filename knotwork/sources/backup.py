@@ -1,89 +1,57 @@
-"""Backups: a space's tables as Parquet beside a manifest of its schema, row counts and checksums."""
+"""Backups: a space's tables as Parquet beside a manifest of its declarations, row counts and checksums."""
 
 from __future__ import annotations
 
-import json
-from dataclasses import asdict
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from knotwork.errors import QueryError
-from knotwork.sources.graph import ClassDef, EdgeDef, FieldDef, IndexDef, Space, TagDef
-
-VERSION = 1
+from knotwork.sources.graph import Space
+from knotwork.sources.manifest import declared, put_table, read_json, read_table, tables, undeclared, write_json
 
-
-def _tables(space: Space) -> dict[str, DataFrame]:
-    found = {f"tag/{t}": space.tag(t) for t in space.tags} | {f"edge/{e}": space.edge(e) for e in space.edges}
-    for kind, group in (("tag", space.tag_history), ("edge", space.edge_history)):
-        found |= {f"history/{kind}/{n}": h() if callable(h) else h for n, h in group.items()}
-    if space.same is not None:
-        found["same"] = space.same
-    return found
+VERSION = 2
 
 
 def _sum(df: DataFrame) -> list:
-    """Rows and an order-free checksum."""
-    r = df.select(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).alias("h")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("h").cast("decimal(38,0)")), F.lit(0)).cast("string").alias("s")).first()
+    """Rows and an order-free checksum; maps have none and are taken as their entries."""
+    plain = [F.map_entries(f"`{n}`") if t.startswith("map<") else F.col(f"`{n}`") for n, t in df.dtypes]
+    r = df.select(F.xxhash64(*plain).alias("h")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("h").cast("decimal(38,0)")), F.lit(0)).cast("string").alias("s")).first()
     return [r["n"], r["s"]]
 
 
 def create(space: Space, folder: str) -> dict:
     """Writes all tables of a space below folder and returns the manifest, which is written last."""
     sums = {}
-    for name, df in _tables(space).items():
+    for name, df in tables(space).items():
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
         sums[name] = [*_sum(space.spark.read.schema(df.schema).parquet(f"{folder}/{name}")), df._jdf.schema().json()]
-    manifest = {
-        "version": VERSION, "space": space.name, "vid_type": space.vid_type, "vid_length": space.vid_length, "partition_num": space.partition_num, "tables": sums,
-        "tags": [asdict(x) for x in space.tags.values()], "edges": [asdict(x) for x in space.edges.values()], "classes": [asdict(x) for x in space.classes.values()], "indexes": [asdict(x) for x in space.indexes.values()],
-    }
-    space.spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/manifest")
+    manifest = {"version": VERSION, "tables": sums, "space": declared(space)}
+    write_json(space.spark, manifest, f"{folder}/manifest")
     return manifest
 
 
 def manifest_of(spark: SparkSession, folder: str) -> dict:
-    found = json.loads(spark.read.text(f"{folder}/manifest").first()["value"])
+    found = read_json(spark, f"{folder}/manifest")
     if found["version"] != VERSION:
         raise QueryError("the backup has another version")
     return found
 
 
-def _read(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame:
-    from pyspark.sql.types import StructType
-
-    return spark.read.schema(StructType.fromJson(json.loads(schema))).parquet(f"{folder}/{name}")
-
-
 def verify(spark: SparkSession, folder: str) -> DataFrame:
     """table, rows, status: what is there against the manifest."""
-    found = manifest_of(spark, folder)
     rows = []
-    for name, (n, total, schema) in found["tables"].items():
-        now = _sum(_read(spark, folder, name, schema))
+    for name, (n, total, schema) in manifest_of(spark, folder)["tables"].items():
+        now = _sum(read_table(spark, f"{folder}/{name}", schema))
         rows.append((name, now[0], "ok" if now == [n, total] else "damaged"))
     return spark.createDataFrame(rows, "table string, rows long, status string")
 
 
 def restore(spark: SparkSession, folder: str) -> Space:
+    """The space that was backed up, with its shapes, derived facts and proofs; an error if a table differs."""
     m = manifest_of(spark, folder)
-    if not verify(spark, folder).filter("status <> 'ok'").isEmpty():
+    if m["tables"] and not verify(spark, folder).filter("status <> 'ok'").isEmpty():
         raise QueryError("the backup is damaged")
-    space = Space(m["space"], spark, m["vid_type"], m["vid_length"], m["partition_num"])
-    fields = lambda d: {**d, "fields": [FieldDef(**f) for f in d["fields"]]}
-    space.tags = {d["name"]: TagDef(**fields(d)) for d in m["tags"]}
-    space.edges = {d["name"]: EdgeDef(**fields({**d, "sub": tuple(d["sub"]), "equivalent": tuple(d["equivalent"]), "chain": tuple(d["chain"]) if d["chain"] else None})) for d in m["edges"]}
-    space.classes = {d["name"]: ClassDef(d["name"], tuple(d["parents"]), tuple(d["equivalent"]), tuple(d["disjoint"])) for d in m["classes"]}
-    space.indexes = {d["name"]: IndexDef(d["name"], d["kind"], d["on"], tuple(d["fields"])) for d in m["indexes"]}
+    space = undeclared(spark, m["space"])
     for name, (_, _, schema) in m["tables"].items():
-        df = _read(spark, folder, name, schema)
-        kind, _, rest = name.partition("/")
-        if kind == "same":
-            space.same = df
-        elif kind == "history":
-            of, _, n = rest.partition("/")
-            (space.tag_history if of == "tag" else space.edge_history)[n] = df
-        else:
-            (space.tag_frames if kind == "tag" else space.edge_frames)[rest] = df
+        put_table(space, name, read_table(spark, f"{folder}/{name}", schema))
     return space

@@ -1,13 +1,15 @@
 """Property graphs as DataFrames: one frame per tag and per edge type, and the schema that describes them.
 
 A space holds its frames lazily: a frame may be given as a function and is only made when a query needs it. A space is
-changed by putting new frames in the place of old ones, so a statement that fails leaves it as it was.
+changed by putting new frames in the place of old ones, so a statement that fails leaves it as it was. Changes of a frame
+are kept beside it (see Layered) and written out now and then, so its plan does not grow with the number of statements.
 """
 
 from __future__ import annotations
 
 import atexit
 import contextlib
+import copy
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -84,28 +86,55 @@ class IndexDef:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/checkpoints"
+    """The URI of the folder that the driver and all executors share; a folder of this machine's own only in local mode."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if found is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise QueryError("spark.checkpoint.dir names no folder that the executors share")
+        found = "file:///tmp/checkpoints"
     return (found if "://" in found else f"file://{found}").rstrip("/")
 
 
 _written: list[tuple[SparkSession, str]] = []
 
 
-@atexit.register
-def drop_rounds() -> None:
-    """Deletes what cut() has written; frames that still read it stop working."""
-    while _written:
-        spark, path = _written.pop()
-        with contextlib.suppress(Exception):
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def remove(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read back: what a loop goes on with, without the rounds that made it."""
+@atexit.register
+def drop_rounds(since: int = 0) -> None:
+    """Deletes what cut() has written, or only what it wrote after `since` others; frames that still read it stop working."""
+    while len(_written) > since:
+        remove(*_written.pop())
+
+
+@contextlib.contextmanager
+def rounds():
+    """Deletes what cut() wrote inside, but for the paths that the caller takes out of the list given."""
+    since, kept = len(_written), []
+    yield kept
+    own = _written[since:]
+    del _written[since:]
+    for spark, path in own:
+        if path in kept:
+            _written.append((spark, path))
+        else:
+            remove(spark, path)
+
+
+def cut(df: DataFrame, keep: list | None = None) -> DataFrame:
+    """df written to the shared folder and read back: what a loop goes on with, without the rounds that made it.
+
+    With `keep`, the list of an enclosing rounds(), the folder outlives it.
+    """
     path = f"{scratch_dir(df.sparkSession)}/rounds-{uuid.uuid4().hex}"
     _written.append((df.sparkSession, path))
     df.write.parquet(path)
+    if keep is not None:
+        keep.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -113,6 +142,35 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+#: Changes after which they are written out, and the rows of changes at which a frame is written anew with them.
+CUT_STEPS, MERGE_ROWS = 8, 1_000_000
+
+
+@dataclass
+class Layered:
+    """A frame with later changes: the rows of base whose key has no change, and the changes that are no deletions."""
+
+    base: DataFrame
+    changes: DataFrame
+    keys: tuple
+    steps: int = 1
+
+    def frame(self) -> DataFrame:
+        kept = self.base.join(self.changes.select(*self.keys), list(self.keys), "left_anti")
+        return kept.unionByName(self.changes.filter("not _gone").drop("_gone")).select(*[F.col(f"`{c}`") for c in self.base.columns])
+
+    def changed(self, latest: DataFrame) -> Layered:
+        keys = list(self.keys)
+        changes = latest if self.changes is None else self.changes.join(latest.select(*keys), keys, "left_anti").unionByName(latest)
+        made = Layered(self.base, changes, self.keys, self.steps + 1)
+        if made.steps < CUT_STEPS:
+            return made
+        made.changes, made.steps = cut(changes), 0
+        if made.changes.count() > MERGE_ROWS:
+            made.base, made.changes = cut(made.frame()), made.changes.limit(0)
+        return made
+
+
 @dataclass
 class Space:
     """A graph: schema, frames, derived types, identities and history."""
@@ -134,10 +192,16 @@ class Space:
     edge_frames: dict[str, DataFrame | Callable] = field(default_factory=dict)
     tag_history: dict[str, DataFrame | Callable] = field(default_factory=dict)
     edge_history: dict[str, DataFrame | Callable] = field(default_factory=dict)
+    derived: dict[str, DataFrame] = field(default_factory=dict)
     same: DataFrame | None = None
     inferred_types: DataFrame | None = None
     provenance: DataFrame | None = None
     dirty: bool = False
+    #: By tag the least and greatest id that its vertices may have, where it is known.
+    spans: dict[str, tuple] = field(default_factory=dict)
+    #: Vertices that a scan without a label may read and that FIND may reach; None sets no limit.
+    scan_limit: int | None = None
+    work_limit: int | None = None
 
     @property
     def vid_sql(self) -> str:
@@ -147,7 +211,9 @@ class Space:
         """A space that shares all frames, for a statement to work on."""
         made = Space(**self.__dict__)
         for name, value in self.__dict__.items():
-            if isinstance(value, dict):
+            if name in ("tags", "edges"):
+                setattr(made, name, copy.deepcopy(value))  # a statement may change declarations and then fail
+            elif isinstance(value, dict):
                 setattr(made, name, dict(value))
         return made
 
@@ -167,38 +233,66 @@ class Space:
         """(vid, properties...) of a tag."""
         return self._frame(self.tag_frames, name, f"vid {self.vid_sql}", self.tags[name].fields)
 
-    def edge(self, name: str) -> DataFrame:
-        """(src, dst, rank, inferred, properties...) of an edge type."""
+    def asserted(self, name: str) -> DataFrame:
+        """edge(name) without derived edges."""
         return self._frame(self.edge_frames, name, f"src {self.vid_sql}, dst {self.vid_sql}, rank long, inferred boolean", self.edges[name].fields)
 
+    def edge(self, name: str) -> DataFrame:
+        """(src, dst, rank, inferred, properties...) of an edge type; derived edges have rank 0 and no properties."""
+        own = self.asserted(name)
+        if name not in self.derived:
+            return own
+        return own.unionByName(self.derived[name].select("src", "dst", F.lit(0).cast("long").alias("rank"), F.lit(True).alias("inferred")), allowMissingColumns=True)
+
     def _frame(self, frames: dict, name: str, key: str, fields: list[FieldDef]) -> DataFrame:
         found = frames.get(name)
+        if isinstance(found, Layered):
+            return found.frame()
         if callable(found):
             found = frames[name] = found()
         if found is None:
             found = frames[name] = self.spark.createDataFrame([], ", ".join([key, *(f"`{f.name}` {f.stored}" for f in fields)]))
         return found
 
-    def vertices(self) -> DataFrame:
-        """(vid), each once."""
+    def change(self, kind: str, name: str, gone: DataFrame | None, rows: DataFrame | None = None) -> None:
+        """Takes the keys in `gone` out of a tag's or edge type's frame, or puts `rows` in, which replace those of their keys."""
+        frames, keys = (self.tag_frames, ("vid",)) if kind == "tag" else (self.edge_frames, EDGE_KEY)
+        view = self.tag(name) if kind == "tag" else self.asserted(name)
+        if rows is None:
+            blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in view.schema.fields if f.name not in keys]
+            latest = gone.select(*keys).distinct().select(*keys, *blank, F.lit(True).alias("_gone"))
+        else:
+            latest = rows.withColumn("_gone", F.lit(False))
+            if kind == "tag":
+                self.spans.pop(name, None)
+        found = frames.get(name)
+        frames[name] = (found if isinstance(found, Layered) else Layered(view, None, keys, 0)).changed(latest)
+
+    def apart(self, a: str, b: str) -> bool:
+        """Whether two tags surely share no vertex, by what is known of their ids."""
+        x, y = self.spans.get(a), self.spans.get(b)
+        return x is not None and y is not None and (x[1] < y[0] or y[1] < x[0])
+
+    def vertices(self, once: bool = True) -> DataFrame:
+        """(vid): all vertices; with once=False those of several tags may repeat, as a semi-join allows."""
         if not self.tags:
             return self.spark.createDataFrame([], f"vid {self.vid_sql}")
-        return union_all([self.tag(t).select("vid") for t in self.tags]).distinct()
+        every, names = union_all([self.tag(t).select("vid") for t in self.tags]), list(self.tags)
+        known_once = all(self.apart(a, b) for k, a in enumerate(names) for b in names[:k])
+        return every.distinct() if once and not known_once else every
 
-    def vertex_tags(self) -> DataFrame:
-        """(vid, tag, at): the tags of each vertex and their order in the schema."""
+    def vertex_tags(self, names=None) -> DataFrame:
+        """(vid, tag, at): the tags of each vertex, or those of `names`, and their order in the schema."""
         if not self.tags:
             return self.spark.createDataFrame([], f"vid {self.vid_sql}, tag string, at int")
-        return union_all([self.tag(t).select("vid", F.lit(t).alias("tag"), F.lit(k).alias("at")) for k, t in enumerate(self.tags)])
+        return union_all([self.tag(t).select("vid", F.lit(t).alias("tag"), F.lit(k).alias("at")) for k, t in enumerate(self.tags) if names is None or t in names])
 
     def edges_of(self, wanted, columns=(), asserted_only: bool = False) -> DataFrame:
         """(src, dst, rank, type, columns...) of the edge types wanted; a type without a column has null in it."""
         frames = []
         kinds = {c: self.property_kind([self.edges[n].fields for n in self.edge_names(wanted)], c) for c in columns}
         for name in self.edge_names(wanted):
-            frame = self.edge(name)
-            if asserted_only:
-                frame = frame.filter(~F.col("inferred"))
+            frame = self.asserted(name) if asserted_only else self.edge(name)
             own = {f.name for f in self.edges[name].fields}
             frames.append(frame.select(*EDGE_KEY, F.lit(name).alias("type"), *[(F.col(f"`{c}`") if c in own else F.lit(None)).cast(kinds[c]).alias(c) for c in columns]))
         if not frames:
@@ -220,6 +314,14 @@ class Space:
             df = df.join(mapped, df[c] == F.col("_vid"), "left").withColumn(c, F.coalesce("_rep", c)).drop("_vid", "_rep")
         return df
 
+    def standing(self, values) -> dict:
+        """{id: the id that stands for it} of listed ids."""
+        found = {v: v for v in values}
+        if self.same is not None and found:
+            wanted = self.spark.createDataFrame([(v,) for v in found], f"vid {self.vid_sql}")
+            found |= {r["vid"]: r["rep"] for r in self.same.join(F.broadcast(wanted), "vid", "left_semi").collect()}
+        return found
+
     # --- classes ---
 
     def ancestors(self) -> dict[str, set[str]]:

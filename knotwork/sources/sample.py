@@ -48,6 +48,7 @@ def sample_space(spark: SparkSession, sf_dir: str) -> Space:
     space = Space("sample", spark)
     space.tags = {t: TagDef(t, fields(f)) for t, f in TAGS.items()}
     space.edges = {e: EdgeDef(e, fields(f)) for e, f in EDGES.items()}
+    space.spans = {t: (k * 10**9, (k + 1) * 10**9 - 1) for t, k in KINDS.items()}
 
     def tag(name: str, table: str, key: str, **renamed):
         def made() -> DataFrame:
@@ -90,6 +91,17 @@ def sample_space(spark: SparkSession, sf_dir: str) -> Space:
     return space
 
 
+def tagged_space(spark: SparkSession, sf_dir: str) -> Space:
+    """The sample graph with a second tag on rich customers and edges from vectors to their labels."""
+    space = sample_space(spark, sf_dir)
+    space.tags["vip"] = TagDef("vip", fields("tier INT64"))
+    space.tag_frames["vip"] = lambda: space.tag("customer").filter("c_acctbal > 5000").select("vid", F.floor(F.col("c_acctbal") / 1000).cast("long").alias("tier"))
+    space.spans["vip"] = space.spans["customer"]
+    space.edges["labelled"] = EdgeDef("labelled", [])
+    space.edge_frames["labelled"] = lambda: space.tag("item").filter("label is not null").select(F.col("vid").alias("src"), (F.lit(10**10) + F.col("label")).alias("dst"), F.lit(0).cast("long").alias("rank"), F.lit(False).alias("inferred"))
+    return space
+
+
 def semantic_space(spark: SparkSession, sf_dir: str) -> Space:
     """The sample graph with rules: places nest, neighbours of a nation's customers are symmetric, and classes."""
     space = sample_space(spark, sf_dir)
@@ -97,6 +109,7 @@ def semantic_space(spark: SparkSession, sf_dir: str) -> Space:
     for e in ("in_region", "cust_in", "supp_in"):
         space.edges[e].sub = ("located_in",)
     space.edges["has_customer"] = EdgeDef("has_customer", [], inverse="cust_in")
+    space.edges["based_in"] = EdgeDef("based_in", [], equivalent=("supp_in",))
     space.edges["partner"] = EdgeDef("partner", [], symmetric=True)
     space.edges["home_region"] = EdgeDef("home_region", [], chain=("cust_in", "in_region"))
     space.edges["placed"].domain, space.edges["placed"].range = "buyer", "deal"

@@ -63,7 +63,7 @@ def test_mix_against_rounds(spark):
     rows = [(i, " ".join("w" * rnd.randint(1, 9) for _ in range(rnd.choice([0, 1, 5, 50, 300]))) or None, rnd.choice(["a"] * 20 + ["b", "c", "d", None])) for i in range(600)]
     rows += [(700, "one two", "tiny"), (None, "x y", "a"), (701, " \t\n", "a"), (702, "same", "b"), (702, "same", "b")]
     docs = docs_of(spark, rows)
-    got = mixing.mix(docs, bucket_rows=50).collect()
+    got = mixing.mix(docs, stretch_rows=50).collect()
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     assert sorted(repr((r.doc_id, r.size)) for r in got) == sorted(repr((i, size(t))) for i, t, _ in rows)
     sizes = {}
@@ -76,17 +76,44 @@ def test_mix_against_rounds(spark):
         assert abs(sum(r.taken for r in own) - want[s]) <= max(r.size for r in own) / 2 + 1e-6
         assert all(r.taken == r.copies * r.size and 0 <= r.copies <= 3 for r in own)
         assert max(r.copies for r in own if r.size) - min(r.copies for r in own if r.size) <= 1
-    again = mixing.mix(docs.repartition(7), bucket_rows=9).collect()
+    again = mixing.mix(docs.repartition(7), stretch_rows=9).collect()
     assert sorted(map(repr, got)) == sorted(map(repr, again))
-    mixed = mixing.mixed(docs)
-    assert mixed.columns == docs.columns and mixing.mix(docs.limit(0)).count() == 0
+    assert mixing.mix(docs.limit(0)).count() == 0
+    mixed = mixing.mixed(docs, stretch_rows=20)
+    assert mixed.columns == docs.columns and mixing.mixed(docs.limit(0)).count() == 0
+    texts = {}
+    for i, t, s in rows:
+        texts.setdefault(i, []).append((t, s))
+    want = sorted(repr((r.doc_id, r.size)) for r in got for _ in range(r.copies))
+    assert sorted(repr((r.doc_id, size(r.text))) for r in mixed.collect()) == want
+    assert all((r.text, r.source) in texts[r.doc_id] and (r.h, r.n, r.kept) == ("h", 1, "k") for r in mixed.collect())
 
 
 def test_heavier_weights_come_first(spark):
-    """The first draws favour heavy documents in proportion."""
-    docs = docs_of(spark, [(i, "a", "s") for i in range(4000)])
-    found = mixing.mix(docs, quality=lambda text, size: F.when(F.col("doc_id") % 2 == 0, 1.0).otherwise(0.25)).collect()
-    assert sum(r.taken for r in found) == 4000
+    """Source a keeps 2 of 3 documents: keys -ln(u) / w below t, so 1 - exp(-w t) of those of weight w; t is 2.29."""
+    docs = docs_of(spark, [(i, "a", "ab"[i % 2]) for i in range(8000)])
+    found = mixing.mix(docs, quality=lambda text, size: F.when(F.col("doc_id") % 4 < 2, 1.0).otherwise(0.25)).collect()
+    own = [r for r in found if r.source == "a"]
+    share = [sum(r.taken for r in own if r.doc_id % 4 == k) / 2000 for k in (0, 2)]
+    assert abs(sum(share) / 2 - 2 / 3) < 1e-3 and abs(share[0] - 0.899) < 0.03 and abs(share[1] - 0.436) < 0.04
+
+
+def test_mix_of_one_weight_for_all_and_of_repeated_rows(spark):
+    """Texts without spaces all have the least weight: the last stretch still holds few rows. Equal rows are cut exactly."""
+    rows = [(i, "日本語" * 200, "a") for i in range(3000)] + [(i, "b c", "b") for i in range(3000, 9000)]
+    docs = docs_of(spark, rows)
+    assert docs.select(mixing.word_length_quality(F.col("text"), mixing.word_count(F.col("text"))).alias("q")).agg(F.min("q")).first()[0] < 0.01
+    names = ["_mix_id", "_mix_source", "_mix_size", "_mix_key", "_mix_place"]
+    drawn = mixing.drawn(docs, "doc_id", "source", "text", mixing.word_length_quality, 42).select(*names).cache()
+    plan, _ = mixing.planned(drawn, 40)
+    held = drawn.join(plan, F.col("_mix_source").eqNullSafe(F.col("source"))).filter("_mix_place between low and high").groupBy("source").count().collect()
+    assert held and all(0 < r["count"] <= 40 for r in held)
+    hot = docs_of(spark, [(5, "x y z", "a")] * 2000 + [(i, "x y", "a") for i in range(10, 400)] + [(i, "z", "b") for i in range(400, 5000)]).repartition(5)
+    found = mixing.mix(hot, stretch_rows=30).collect()
+    for s in "ab":
+        own = [r for r in found if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 1.5
+    assert mixing.mixed(hot, stretch_rows=30).filter("doc_id = 5").count() == sum(r.copies for r in found if r.doc_id == 5)
 
 
 def judged(url, rules):
