@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from knotwork.operators.paths import weighted
 from knotwork.plans.parser import parse
 from knotwork.session import Session
 from knotwork.sources.graph import ShapeDef
-from knotwork.sources.sample import sample_space, semantic_space
+from knotwork.sources.sample import sample_space, semantic_space, tagged_space
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,6 +42,11 @@ def add(name: str, text: str, sql: str, then: Callable[[DataFrame], DataFrame] =
     ORACLES[name] = sql if sql.lstrip().upper().startswith("WITH RECURSIVE") else f"WITH {EDGES} {sql}"
 
 
+def plain_names(df: DataFrame) -> DataFrame:
+    """df with display names such as a.b and f(x) written with underscores."""
+    return df.toDF(*[re.sub(r"\W+", "_", c).strip("_") for c in df.columns])
+
+
 def rounded(*columns: str):
     return lambda df: df.withColumns({c: F.round(c, 4) for c in columns})
 
@@ -59,7 +65,7 @@ add("match_flagship", FLAGSHIP, "SELECT n_name AS name, count(*) AS cnt, round(a
 add("match_node_filter", "MATCH (p:part) WHERE p.part.p_size > 30 AND p.part.p_retailprice < 1500 RETURN id(p) AS vid, p.part.p_name AS name", f"SELECT {v(5, 'p_partkey')} AS vid, p_name AS name FROM part WHERE p_size > 30 AND p_retailprice < 1500")
 add("match_prop_map", 'MATCH (c:customer {c_mktsegment: "BUILDING"}) RETURN id(c) AS vid, c.c_name AS name', f"SELECT {v(3, 'c_custkey')} AS vid, c_name AS name FROM customer WHERE c_mktsegment = 'BUILDING'")
 add("match_label_any", "MATCH (x:customer|supplier) RETURN id(x) AS vid", f"SELECT {v(3, 'c_custkey')} AS vid FROM customer UNION SELECT {v(4, 's_suppkey')} FROM supplier")
-add("match_label_all", "MATCH (x:customer:supplier) RETURN id(x) AS vid", f"SELECT {v(3, 'c_custkey')} AS vid FROM customer INTERSECT SELECT {v(4, 's_suppkey')} FROM supplier")
+add("match_label_all", "MATCH (x:customer:vip) RETURN id(x) AS vid, x.vip.tier AS tier, x.c_name AS name", f"SELECT {v(3, 'c_custkey')} AS vid, floor(c_acctbal / 1000)::BIGINT AS tier, c_name AS name FROM customer WHERE c_acctbal > 5000", space=tagged_space)
 add("match_one_hop", "MATCH (c:customer)-[:placed]->(o:order_) WHERE o.order_.o_totalprice > 100000 RETURN id(c) AS c, id(o) AS o, o.o_orderstatus AS status", f"SELECT {v(3, 'o_custkey')} AS c, {v(6, 'o_orderkey')} AS o, o_orderstatus AS status FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_totalprice > 100000")
 add("match_two_hop", "MATCH (c:customer)-[:cust_in]->(n:nation)-[:in_region]->(r:region) RETURN id(c) AS c, n.n_name AS nation, r.r_name AS region", f"SELECT {v(3, 'c_custkey')} AS c, n_name AS nation, r_name AS region FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
 add("match_incoming", "MATCH (n:nation)<-[:supp_in]-(s:supplier) RETURN n.n_name AS nation, s.s_name AS supplier", "SELECT n_name AS nation, s_name AS supplier FROM nation JOIN supplier ON s_nationkey = n_nationkey")
@@ -76,7 +82,11 @@ add("match_sum_empty_zero", "MATCH (p:part) WHERE p.p_size > 1000 RETURN SUM(p.p
 add("match_min_max", "MATCH (o:order_) RETURN MIN(o.o_orderdate) AS first, MAX(o.o_orderdate) AS last, COUNT(*) AS n", "SELECT min(epoch_us(o_orderdate)) AS first, max(epoch_us(o_orderdate)) AS last, count(*) AS n FROM orders")
 add("match_order_nulls", 'MATCH (c:customer) OPTIONAL MATCH (c)-[:placed]->(o:order_ {o_orderstatus: "P"}) RETURN id(c) AS c, o.o_totalprice AS o ORDER BY o DESC, c LIMIT 100', f"SELECT {v(3, 'c_custkey')} AS c, o_totalprice AS o FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'P') ON o_custkey = c_custkey ORDER BY o DESC NULLS FIRST, c LIMIT 100")
 add("match_offset_limit", "MATCH (p:part) RETURN id(p) AS vid, p.p_name AS name ORDER BY vid LIMIT 20 OFFSET 30", f"SELECT {v(5, 'p_partkey')} AS vid, p_name AS name FROM part ORDER BY vid LIMIT 20 OFFSET 30")
-add("match_string_ops", "MATCH (p:part) WHERE p.p_name CONTAINS '1' AND p.p_brand STARTS WITH 'Brand' AND p.p_name ENDS WITH '7' RETURN id(p) AS vid", f"SELECT {v(5, 'p_partkey')} AS vid FROM part WHERE contains(p_name, '1') AND starts_with(p_brand, 'Brand') AND ends_with(p_name, '7')")
+add("match_string_ops", "MATCH (p:part) WHERE p.p_name CONTAINS 'in' AND p.p_brand STARTS WITH 'Brand#1' AND p.p_name ENDS WITH 'g' AND NOT (p.p_name STARTS WITH 'red') RETURN id(p) AS vid", f"SELECT {v(5, 'p_partkey')} AS vid FROM part WHERE contains(p_name, 'in') AND starts_with(p_brand, 'Brand#1') AND ends_with(p_name, 'g') AND NOT starts_with(p_name, 'red')")
+add("match_string_calls", "MATCH (p:part) WHERE contains(p.p_name, 'ed') AND startsWith(p.p_brand, 'Brand#2') OR ends_with(p.p_name, 'widget') AND p.p_name NOT CONTAINS 'small' RETURN id(p) AS vid", f"SELECT {v(5, 'p_partkey')} AS vid FROM part WHERE contains(p_name, 'ed') AND starts_with(p_brand, 'Brand#2') OR ends_with(p_name, 'widget') AND NOT contains(p_name, 'small')")
+add("match_display_names", "MATCH (n:nation)-[:in_region]->(r:region) RETURN n.nation.n_name, r.r_name, id(n)", f"SELECT n_name AS n_nation_n_name, r_name AS r_r_name, {v(2, 'n_nationkey')} AS value FROM nation JOIN region ON n_regionkey = r_regionkey", plain_names)
+add("match_bare_limit", "MATCH (p:part) RETURN id(p) AS vid LIMIT 7", "SELECT 7::BIGINT AS n", lambda df: df.agg(F.count(F.lit(1)).alias("n")))
+add("match_single_hop_range", "MATCH (n:nation)-[:in_region*2]->(r) RETURN id(n) AS n, id(r) AS r", "SELECT src AS n, dst AS r FROM in_region")
 add("match_regex", "MATCH (c:customer) WHERE c.c_name =~ '[0-9]*5[0-3]$' RETURN id(c) AS vid", f"SELECT {v(3, 'c_custkey')} AS vid FROM customer WHERE regexp_matches(c_name, '[0-9]*5[0-3]$')")
 add("match_in_list", "MATCH (p:part) WHERE p.p_size IN [1, 5, 9, NULL] RETURN id(p) AS vid, p.p_size AS size", f"SELECT {v(5, 'p_partkey')} AS vid, p_size::BIGINT AS size FROM part WHERE p_size IN (1, 5, 9)")
 add("match_functions", "MATCH (c:customer) RETURN id(c) AS vid, toUpper(c.c_name) AS up, length(c.c_mktsegment) AS len, round(c.c_acctbal) AS r, floor(c.c_acctbal) AS f, ceil(c.c_acctbal) AS ce, abs(c.c_acctbal) AS a, coalesce(c.nothing, c.c_name) AS co", f"SELECT {v(3, 'c_custkey')} AS vid, upper(c_name) AS up, strlen(c_mktsegment) AS len, round(c_acctbal)::BIGINT AS r, floor(c_acctbal)::BIGINT AS f, ceil(c_acctbal)::BIGINT AS ce, abs(c_acctbal) AS a, c_name AS co FROM customer")
@@ -103,6 +113,8 @@ add("go_dst_props", "GO FROM 3000000001, 3000000002 OVER placed YIELD dst AS o,
 add("go_zero_min", "GO 0..1 STEPS FROM 3000000001 OVER cust_in", "SELECT 3000000001::BIGINT AS src, 3000000001::BIGINT AS dst UNION ALL SELECT src, dst FROM cust_in WHERE src = 3000000001")
 add("go_compound_var", "$a = GO FROM 2000000004 OVER supp_in REVERSELY YIELD src(edge) AS vid; GO FROM $a.vid OVER supplies YIELD src AS s, dst AS p, supplies.n_lines AS n", "SELECT s.src AS s, s.dst AS p, n_lines AS n FROM supp_in i JOIN supplies s ON s.src = i.src WHERE i.dst = 2000000004")
 
+add("go_display_names", "GO FROM 3000000001, 3000000002 OVER placed YIELD placed.o_totalprice, $$.order_.o_orderpriority, type(edge)", f"SELECT o_totalprice AS placed_o_totalprice, o_orderpriority AS order__o_orderpriority, 'placed' AS type_edge FROM orders WHERE o_custkey IN (1, 2)", plain_names)
+add("go_arithmetic", "GO FROM 4000000001 OVER supplies WHERE supplies.n_lines % 2 == 1 AND -supplies.n_lines < 0 YIELD dst AS p, supplies.n_lines AS n", "SELECT dst AS p, n_lines AS n FROM supplies WHERE src = 4000000001 AND n_lines % 2 = 1 AND -n_lines < 0")
 # --- LOOKUP and FETCH -----------------------------------------------------------------------------------------------
 
 bare = lambda column: lambda df: df.select(F.col(f"`{column}`").alias("vid"))
@@ -113,7 +125,6 @@ add("lookup_in", "LOOKUP ON part WHERE p_size IN [3, 4] AND p_size != 4.0", f"SE
 add("lookup_edge", "LOOKUP ON EDGE contains WHERE contains.qty == 50.0 AND discount >= 0.05", "SELECT src, dst, rank FROM contains WHERE qty = 50 AND discount >= 0.05", lambda df: df.toDF("src", "dst", "rank"))
 add("lookup_json", "LOOKUP ON nation WHERE n_name != 'x'", f"SELECT {v(2, 'n_nationkey')} AS vid, n_name AS name FROM nation", lambda df: df.select(F.col("`nation.vid`").alias("vid"), F.get_json_object("`nation.*`", "$.tags[0].props.n_name").alias("name")))
 add("fetch_tag", "FETCH PROP ON nation, region 2000000001, 1000000002, 3000000001", f"SELECT {v(2, 'n_nationkey')} AS vid, n_name AS n, NULL::VARCHAR AS r FROM nation WHERE n_nationkey = 1 UNION ALL SELECT {v(1, 'r_regionkey')}, NULL, r_name FROM region WHERE r_regionkey = 2", lambda df: df.select(F.col("VertexID").alias("vid"), F.get_json_object("nation", "$.n_name").alias("n"), F.get_json_object("region", "$.r_name").alias("r")))
-add("fetch_edge_all_ranks", "$x = GO FROM 6000000001 OVER contains YIELD dst AS p; FETCH PROP ON cust_in 3000000001->2000000001, 3000000002->2000000002; FETCH PROP ON placed 3000000001->6000000001, 3000000001->6000000002", "SELECT src, dst, 0::BIGINT AS rank FROM placed WHERE src = 3000000001 AND dst IN (6000000001, 6000000002)", lambda df: df.select("src", "dst", "rank"))
 add("fetch_as_of", "FETCH PROP ON account 7000000001, 7000000002, 7000000003, 7000000004, 7000000005 AS OF 1705276800000000", f"SELECT {v(7, 'user_id')} AS vid, event_id AS e FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS n FROM events WHERE epoch_us(ts) <= 1705276800000000 AND user_id BETWEEN 1 AND 5) WHERE n = 1 AND event_type <> 'error'", lambda df: df.select(F.col("VertexID").alias("vid"), F.get_json_object("account", "$.n_events").cast("long").alias("e")))
 
 
@@ -138,6 +149,17 @@ QUERIES["fetch_edge_rank"] = fetch_edges("@0")
 ORACLES["fetch_edge_rank"] = f"WITH {EDGES} SELECT src, dst, rank, qty FROM contains WHERE rank = 0 AND src BETWEEN 6000000001 AND 6000000020"
 
 
+def fetch_edge_all_ranks(spark, sf_dir):
+    """Edges of the pairs of order and part that have several lines, named without a rank."""
+    pairs = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey", "l_partkey").count().filter("count > 1").orderBy("l_orderkey", "l_partkey").limit(20).collect()
+    text = ", ".join(f"{6000000000 + r['l_orderkey']}->{5000000000 + r['l_partkey']}" for r in pairs) or "6000000001->5000000001"
+    return Session(spark, {"sample": sample_space(spark, sf_dir)}).execute(f"FETCH PROP ON contains {text}").select("src", "dst", "rank", F.get_json_object("properties", "$.price").cast("double").alias("price"))
+
+
+QUERIES["fetch_edge_all_ranks"] = fetch_edge_all_ranks
+ORACLES["fetch_edge_all_ranks"] = f"WITH {EDGES}, two AS (SELECT src, dst FROM contains GROUP BY src, dst HAVING count(*) > 1 ORDER BY src, dst LIMIT 20) SELECT c.src, c.dst, c.rank, c.price FROM contains c JOIN two ON c.src = two.src AND c.dst = two.dst"
+
+
 def fetch_edge_as_of(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/orders.parquet").filter("o_orderkey between 1 and 40").select("o_custkey", "o_orderkey").collect()
     text = ", ".join(f"{3000000000 + c}->{6000000000 + o}" for c, o in rows)
@@ -187,6 +209,10 @@ QUERIES["find_all_shortest"] = find("FIND ALL SHORTEST PATHS FROM {} TO {} OVER
 ORACLES["find_all_shortest"] = f"WITH {EDGES} SELECT concat_ws('->', s.src, s.dst, r.dst) AS path FROM supp_in s JOIN in_region r ON r.src = s.dst WHERE s.src = (SELECT min(src) FROM supp_in)"
 
 
+QUERIES["find_path"] = find("FIND PATH FROM {} TO {} OVER * UPTO 5 STEPS", supplier_region)
+ORACLES["find_path"] = ORACLES["find_all_shortest"]
+
+
 def find_weighted(spark, sf_dir):
     space = sample_space(spark, sf_dir)
     target = spark.read.parquet(f"{sf_dir}/customer.parquet").filter("c_custkey = 2").first()["c_nationkey"]
@@ -212,7 +238,7 @@ def derived(name: str, sql: str, edge: str) -> None:
     """The closed edges of one type, as pairs with whether they are derived."""
 
     def run(spark, sf_dir):
-        space = closure.materialize_rules(semantic_space(spark, sf_dir))
+        space = closure.materialize_rules(closure.only_rules(semantic_space(spark, sf_dir), (edge,)))
         return space.edge(edge).select("src", "dst", "inferred")
 
     QUERIES[name], ORACLES[name] = run, f"WITH {EDGES} {sql}"
@@ -221,6 +247,7 @@ def derived(name: str, sql: str, edge: str) -> None:
 derived("infer_symmetric", "SELECT src, dst, bool_and(inferred) AS inferred FROM (SELECT 2000000000::BIGINT + n_nationkey AS src, 2000000000::BIGINT + (n_nationkey + 1) % 25 AS dst, false AS inferred FROM nation UNION ALL SELECT 2000000000::BIGINT + (n_nationkey + 1) % 25, 2000000000::BIGINT + n_nationkey, true FROM nation) GROUP BY src, dst", "partner")
 derived("infer_inverse", "SELECT dst AS src, src AS dst, true AS inferred FROM cust_in", "has_customer")
 derived("infer_transitive", "SELECT DISTINCT src, dst, true AS inferred FROM (SELECT * FROM places UNION ALL SELECT a.src, b.dst FROM places a JOIN places b ON a.dst = b.src)", "located_in")
+derived("infer_equivalent", "SELECT src, dst, true AS inferred FROM supp_in", "based_in")
 derived("infer_chain", "SELECT DISTINCT a.src, b.dst, true AS inferred FROM cust_in a JOIN in_region b ON a.dst = b.src", "home_region")
 
 
@@ -233,10 +260,10 @@ def provenance(spark, sf_dir):
     return space.provenance.groupBy("rule", "p").agg(F.count(F.lit(1)).alias("n"))
 
 
-register("infer_domain_range", lambda spark, sf_dir: closure.materialize_rules(semantic_space(spark, sf_dir)).inferred_types, "SELECT DISTINCT src AS vid, 'buyer' AS class FROM placed UNION SELECT DISTINCT dst, 'deal' FROM placed")
+register("infer_domain_range", lambda spark, sf_dir: closure.materialize_rules(closure.only_rules(semantic_space(spark, sf_dir), ("placed",))).inferred_types, "SELECT DISTINCT src AS vid, 'buyer' AS class FROM placed UNION SELECT DISTINCT dst, 'deal' FROM placed")
 register(
     "infer_provenance", provenance,
-    "SELECT rule, p, n FROM (SELECT 'subproperty' AS rule, 'located_in' AS p, (SELECT count(*) FROM (SELECT DISTINCT src, dst FROM places)) AS n UNION ALL SELECT 'symmetric', 'partner', 50 UNION ALL SELECT 'inverse', 'has_customer', (SELECT count(*) FROM cust_in) UNION ALL SELECT 'inverse', 'cust_in', (SELECT count(*) FROM cust_in) UNION ALL SELECT 'chain', 'home_region', (SELECT count(*) FROM cust_in a JOIN in_region b ON a.dst = b.src) UNION ALL SELECT 'transitive', 'located_in', (SELECT count(*) FROM (SELECT DISTINCT a.src, a.dst AS x, b.dst FROM places a JOIN places b ON a.dst = b.src)))",
+    "SELECT rule, p, n FROM (SELECT 'subproperty' AS rule, 'located_in' AS p, (SELECT count(*) FROM (SELECT DISTINCT src, dst FROM places)) AS n UNION ALL SELECT 'symmetric', 'partner', 50 UNION ALL SELECT 'inverse', 'has_customer', (SELECT count(*) FROM cust_in) UNION ALL SELECT 'inverse', 'cust_in', (SELECT count(*) FROM cust_in) UNION ALL SELECT 'equivalent', 'based_in', (SELECT count(*) FROM supp_in) UNION ALL SELECT 'equivalent', 'supp_in', (SELECT count(*) FROM supp_in) UNION ALL SELECT 'chain', 'home_region', (SELECT count(*) FROM cust_in a JOIN in_region b ON a.dst = b.src) UNION ALL SELECT 'transitive', 'located_in', (SELECT count(*) FROM (SELECT DISTINCT a.src, a.dst AS x, b.dst FROM places a JOIN places b ON a.dst = b.src)))",
 )
 
 
@@ -308,4 +335,6 @@ register(
     " UNION ALL SELECT 'Total', 'edges', (SELECT count(*) FROM nation) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM orders) + 2 * (SELECT count(*) FROM lineitem) + (SELECT count(*) FROM supplies))",
 )
 register("partition_modulo", lambda spark, sf_dir: schema.partition_of(sample_space(spark, sf_dir).tag("customer").select("vid"), 16, "MODULO").groupBy("part").agg(F.count(F.lit(1)).alias("n")), f"SELECT {v(3, 'c_custkey')} % 16 + 1 AS part, count(*) AS n FROM customer GROUP BY 1")
-register("degree_counts", lambda spark, sf_dir: schema.degrees(sample_space(spark, sf_dir)).filter("type in ('cust_in', 'supplied_by')"), "SELECT 'cust_in' AS type, dst AS vid, count(*) AS degree FROM cust_in GROUP BY dst UNION ALL SELECT 'supplied_by', dst, count(*) FROM supplied_by GROUP BY dst")
+DEGREES = " UNION ALL ".join(f"SELECT '{e}' AS type, dst AS vid, count(*) AS degree FROM {e} GROUP BY dst" for e in ("in_region", "cust_in", "supp_in", "placed", "contains", "supplied_by", "supplies"))
+register("degree_counts", lambda spark, sf_dir: schema.degrees(sample_space(spark, sf_dir)), DEGREES)
+register("degree_counts_out", lambda spark, sf_dir: schema.degrees(sample_space(spark, sf_dir), "out"), DEGREES.replace("dst", "src"))
