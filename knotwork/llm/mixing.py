@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from knotwork.llm.common import WORD, materialize
+from knotwork.sources.graph import rounds
 
 #: No document is taken more often than this, and so no source gives more than this times its size.
 MOST_EPOCHS = 3
@@ -142,15 +143,15 @@ def with_copies(rows: DataFrame, plan: DataFrame, groups: DataFrame, broadcast_g
     return rows.withColumn("_mix_copies", F.col("epochs") + more.cast("long"))
 
 
-def planned(rows: DataFrame, stretch_rows: int = STRETCH_ROWS) -> tuple[DataFrame, DataFrame]:
+def planned(rows: DataFrame, stretch_rows: int = STRETCH_ROWS, keep: list | None = None) -> tuple[DataFrame, DataFrame]:
     """(plan, groups) for rows of drawn(): per source its size, target, epochs and last stretch; see taken_groups()."""
     sizes = rows.groupBy(F.col("_mix_source").alias("source")).agg(F.sum("_mix_size").alias("source_size"))
     plan = targets(sizes)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(1))
     plan = plan.withColumn("epochs", F.least(whole, F.lit(MOST_EPOCHS)).cast("long"))
     plan = materialize(plan.withColumn("rest", F.greatest(F.col("target") - F.col("epochs") * F.col("source_size"), F.lit(0.0))), "plan")
-    plan = materialize(last_stretches(rows, plan, stretch_rows), "ends")
-    return plan, materialize(taken_groups(rows, plan), "groups")
+    plan = materialize(last_stretches(rows, plan, stretch_rows), "ends", keep)
+    return plan, materialize(taken_groups(rows, plan), "groups", keep)
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", quality=word_length_quality, seed: int = 42, stretch_rows: int = STRETCH_ROWS) -> DataFrame:
@@ -162,8 +163,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     are interchangeable. An empty table gives an empty result; other columns are not read.
     """
     names = ["_mix_id", "_mix_source", "_mix_size", "_mix_key", "_mix_place"]
-    rows = materialize(drawn(docs, id_col, source_col, text_col, quality, seed).select(*names), "sizes")
-    out = with_copies(rows, *planned(rows, stretch_rows))
+    with rounds() as keep:
+        rows = materialize(drawn(docs, id_col, source_col, text_col, quality, seed).select(*names), "sizes", keep)
+        plan, groups = planned(rows, stretch_rows, keep)
+    out = with_copies(rows, plan, groups)
     out = out.select(F.col("_mix_id").alias(id_col), F.col("_mix_source").alias("source"), F.col("_mix_size").alias("size"), "source_size", F.col("target").cast("double").alias("target"), F.col("_mix_copies").alias("copies"))
     return out.withColumn("taken", F.col("size") * F.col("copies"))
 
@@ -176,9 +179,10 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", t
     """
     names = ["_mix_id", "_mix_source", "_mix_size", "_mix_key", "_mix_place"]
     made = lambda frame: drawn(frame, id_col, source_col, text_col, quality, seed)
-    rows = materialize(made(docs).select(*names), "sizes")
+    with rounds() as keep:
+        plan, groups = planned(materialize(made(docs).select(*names), "sizes"), stretch_rows, keep)
     packed = made(docs).select(F.struct(*[docs[c] for c in docs.columns]).alias("_mix_row"), *names)
-    out = with_copies(packed, *planned(rows, stretch_rows)).filter("_mix_copies > 0")
+    out = with_copies(packed, plan, groups).filter("_mix_copies > 0")
     return out.select("_mix_row", F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int")))).select(*[F.col(f"_mix_row.`{c}`") for c in docs.columns])
 
 
