@@ -5,8 +5,8 @@ ends with a seek table in a skippable frame (the public seekable format: per fra
 then frame count, descriptor and magic). A separate index maps each record id to its bundle, frame, offset inside the
 uncompressed frame, and length, so a record is read by decompressing one frame.
 
-Payload digests are grouped in a narrow table first; only digests that occur more than once meet the payloads again, by
-broadcast while they fit BROADCAST_DIGESTS and by a shuffle beyond.
+Payload digests (SHA-256, as payloads of one SHA-1 can be made) are grouped in a narrow table first; only digests that
+occur more than once meet the payloads again, by broadcast while they fit BROADCAST_DIGESTS and by a shuffle beyond.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knotwork.llm.common import filesystem, materialize, publish, scratch
+from knotwork.llm.common import filesystem, map_batches, materialize, partitions, publish, scratch, sent
 
 FRAME_BYTES, LEVEL = 1 << 20, 3
 BROADCAST_DIGESTS = 200_000
@@ -29,19 +29,20 @@ WARC_DATE = "2024-01-01T00:00:00Z"
 INDEX = "page_id long, record_id string, bundle string, frame int, frame_offset long, record_bytes long"
 
 
-def record_id(page_id) -> str:
-    return f"urn:page:{'' if page_id is None else page_id}"
+def record_id(page_id, twin=None) -> str:
+    """The id of a page's record; twin tells records of one page id, and those without one, apart."""
+    return f"urn:page:{'' if page_id is None else page_id}{'' if twin is None else f':{twin}'}"
 
 
 def _header_value(text: str) -> str:
     return text.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
 
 
-def make_record(page_id, url, payload: bytes, refers_to=None, revisit: bool = False) -> bytes:
+def make_record(page_id, url, payload: bytes, refers_to=None, revisit: bool = False, twin=None) -> bytes:
     """A WARC/1.1 record whose block is an HTTP response; a revisit keeps the HTTP head and leaves the payload out."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
-    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <{record_id(page_id)}>", f"WARC-Date: {WARC_DATE}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <{record_id(page_id, twin)}>", f"WARC-Date: {WARC_DATE}"]
     if url is not None:
         lines.append(f"WARC-Target-URI: {_header_value(url)}")
     if revisit:
@@ -65,7 +66,7 @@ def parse_record(data: bytes) -> dict:
     digest = headers["WARC-Payload-Digest"].removeprefix("sha1:")
     if not revisit and (len(payload) != length or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
         raise ValueError("a payload differs from its digest")
-    number = lambda x: int(x) if (x := x.strip("<>").removeprefix("urn:page:")) else None
+    number = lambda x: int(x) if (x := x.strip("<>").removeprefix("urn:page:").partition(":")[0]) else None
     url = headers.get("WARC-Target-URI")
     return {
         "page_id": number(headers["WARC-Record-ID"]), "url": None if url is None else url.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%"), "record_type": headers["WARC-Type"],
@@ -130,7 +131,7 @@ class BundleReader:
 def with_roles(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", min_bytes: int = 0, broadcast_digests: int = BROADCAST_DIGESTS) -> DataFrame:
     """pages with _first (the largest id among equal payloads of at least min_bytes, else null)."""
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
-    key = [F.sha1(payload).alias("_sha"), F.octet_length(payload).alias("_bytes")]
+    key = [F.sha2(payload, 256).alias("_sha"), F.octet_length(payload).alias("_bytes")]
     groups = pages.select(F.col(id_col).alias("_id"), *key).filter(F.col("_bytes") >= min_bytes).groupBy("_sha", "_bytes").agg(F.max("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
     shared = materialize(groups.filter("_n > 1").drop("_n"), "shared-digests")
     n = shared.count()
@@ -140,16 +141,29 @@ def with_roles(pages: DataFrame, id_col: str = "page_id", payload_col: str = "ht
     return pages.select("*", *key).join(shared, ["_sha", "_bytes"], "left").drop("_sha", "_bytes")
 
 
+def with_twins(pages: DataFrame) -> DataFrame:
+    """pages (page_id, ...) with _twin: null for the first row of a page id, a number of its own for other rows and null ids."""
+    placed = pages.withColumn("_at", F.monotonically_increasing_id())
+    firsts = placed.groupBy("page_id").agg(F.min("_at").alias("_first_at"), F.count(F.lit(1)).alias("_rows")).filter("_rows > 1 or page_id is null")
+    firsts = materialize(firsts.select(F.col("page_id").alias("_of"), "_first_at"), "repeated-ids")
+    if firsts.isEmpty():
+        return pages.withColumn("_twin", F.lit(None).cast("long"))
+    joined = placed.join(sent(firsts), F.col("page_id").eqNullSafe(F.col("_of")), "left")
+    twin = F.when(F.col("page_id").isNull() | (F.col("_at") != F.col("_first_at")), F.col("_at"))
+    return joined.withColumn("_twin", twin).drop("_at", "_of", "_first_at")
+
+
 def write_bundles(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, frame_bytes: int = FRAME_BYTES) -> DataFrame:
     """Writes a record per row to bundles below folder and returns the index, itself written as a table.
 
     The payload is payload_col in UTF-8; null counts as empty. Of records with equal payloads of at least min_bytes the
     one with the largest id is a response and the others revisit it; rows that repeat that id are all responses. Records
-    with a null id are responses. Null urls give no WARC-Target-URI. An empty table gives an empty index. A repeated
+    with a null id are responses. Records without an id, and all but one of those that share one, have a number appended
+    to their record id, which is thus unique. Null urls give no WARC-Target-URI. An empty table gives an empty index. A repeated
     task writes a bundle of a new name, and the index names the bundles of the tasks that counted.
     """
-    rows = with_roles(pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(payload_col).alias("html")), "page_id", "html", min_bytes)
-    rows = rows.select("page_id", "url", "html", F.col("_first").alias("first"))
+    rows = with_twins(pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(payload_col).alias("html")))
+    rows = with_roles(rows, "page_id", "html", min_bytes).select("page_id", "url", "html", F.col("_first").alias("first"), F.col("_twin").alias("twin"))
 
     def write(batches):
         import pyarrow as pa
@@ -164,9 +178,9 @@ def write_bundles(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
             batch = first
             while batch is not None:
                 for k in range(batch.num_rows):
-                    page, url, html, refers = (batch.column(c)[k].as_py() for c in range(4))
+                    page, url, html, refers, twin = (batch.column(c)[k].as_py() for c in range(5))
                     revisit = refers is not None and page is not None and page != refers
-                    index.append((page, record_id(page), uri, *bundle.add(make_record(page, url, (html or "").encode(), refers, revisit))))
+                    index.append((page, record_id(page, twin), uri, *bundle.add(make_record(page, url, (html or "").encode(), refers, revisit, twin))))
                 batch = next(batches, None)
             bundle.close()
 
@@ -177,16 +191,18 @@ def write_bundles(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
             columns = zip(*index[at : at + 10_000], strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
-    return materialize(rows.mapInArrow(write, INDEX), "warc-index")
+    return materialize(map_batches(rows, write, INDEX), "warc-index")
 
 
 def read_records(index: DataFrame, payloads: bool = True) -> DataFrame:
     """The records that an index names, read frame by frame: page_id, url, record_type, payload_bytes, payload_digest, refers_to and, if asked for, payload.
 
     Any part of an index will do: only the frames in which its records lie are decompressed, each once. A frame holds
-    about FRAME_BYTES, so the records of one frame are few.
+    about FRAME_BYTES, so the records of one frame are few. The frames, not the small rows of the index, are the work: they
+    are dealt to as many tasks as a shuffle has.
     """
-    frames = index.groupBy("bundle", "frame").agg(F.collect_list(F.struct("frame_offset", "record_bytes")).alias("places"))
+    dealt = index.repartition(partitions(index.sparkSession), "bundle", "frame")
+    frames = dealt.groupBy("bundle", "frame").agg(F.collect_list(F.struct("frame_offset", "record_bytes")).alias("places"))
     schema = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long" + ", payload binary" * payloads
 
     def read(batches):

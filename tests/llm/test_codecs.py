@@ -207,6 +207,8 @@ def test_warc(spark):
     for i, _, html in PAGES:
         raw = (html or "").encode()
         assert back[i].payload_bytes == len(raw) and back[i].payload_digest == base64.b32encode(hashlib.sha1(raw).digest()).decode()
+    ids = [r.record_id for r in index.collect()]
+    assert len(set(ids)) == len(ids) == len(PAGES) and {"urn:page:6", "urn:page:2"} <= set(ids)
     one = warc.read_records(index.filter("page_id = 6")).collect()
     assert [r.payload for r in one] == [b"other"] * 2
     assert warc.archive_query(pages.limit(0)).count() == 0
