@@ -8,13 +8,13 @@ PENALTY * log(n-grams) per language) gains. The prediction is the language of th
 
 from __future__ import annotations
 
-import pickle
+import json
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knotwork.llm.common import crc_mod, filesystem, publish, scratch
+from knotwork.llm.common import crc_mod, filesystem, map_batches, publish, scratch
 
 BUCKETS, SMOOTHING = 1 << 14, 0.5
 ROUNDS, TOLERANCE, PENALTY = 12, 1e-3, 0.5
@@ -23,25 +23,29 @@ UNDETERMINED = "und"
 TEXT_BATCH = 1 << 20
 
 
-def trigram_counts(text: str):
-    """(buckets, counts) of the text's hashed trigrams: lower case, runs of non-letters as one space; None without letters."""
+def trigram_counts(text: str, batch: int = TEXT_BATCH):
+    """(buckets, counts) of the text's hashed trigrams: lower case, runs of non-letters as one space; None without letters.
+
+    A space stands before and behind the text. It is taken in batches that hand on their last two characters, so the
+    counts do not depend on them.
+    """
     import numpy as np
 
-    total = None
-    letters = False
-    for at in range(0, len(text), TEXT_BATCH):
-        part = text[max(at - 2, 0) : at + TEXT_BATCH].lower()
-        codes = np.frombuffer(part.encode("utf-32-le"), np.uint32)
+    total, letters, before, carry, text = None, False, True, np.array([32], np.uint64), text.lower()
+    for at in range(0, len(text), batch):
+        codes = np.frombuffer(text[at : at + batch].encode("utf-32-le", "surrogatepass"), np.uint32)
         letter = _letters(codes)
-        if not letter.any():
-            continue
-        letters = True
-        kept = letter | np.concatenate([[True], letter[:-1]])  # of a run of other characters, the first stays as a space
-        c = np.where(letter, codes, 32)[kept].astype(np.uint64)
-        c = np.concatenate([[np.uint64(32)], c, [np.uint64(32)]])
-        mixed = (c[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ c[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) ^ c[2:] * np.uint64(0x165667B19E3779F9)) * np.uint64(0xD6E8FEB86659FD93)
-        counts = np.bincount((mixed >> np.uint64(50)).astype(np.int64), minlength=BUCKETS)
-        total = counts if total is None else total + counts
+        letters = letters or bool(letter.any())
+        kept = letter | np.concatenate([[before], letter[:-1]])  # of a run of other characters, the first stays as a space
+        before = bool(letter[-1])
+        c = np.concatenate([carry, np.where(letter, codes, 32)[kept].astype(np.uint64)])
+        if at + batch >= len(text):
+            c = np.append(c, np.uint64(32))
+        carry = c[-2:]
+        if len(c) > 2:
+            mixed = (c[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ c[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) ^ c[2:] * np.uint64(0x165667B19E3779F9)) * np.uint64(0xD6E8FEB86659FD93)
+            counts = np.bincount((mixed >> np.uint64(50)).astype(np.int64), minlength=BUCKETS)
+            total = counts if total is None else total + counts
     if not letters:
         return None
     found = np.flatnonzero(total)
@@ -89,7 +93,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(own[at])], names=["lang", "bucket", "n"])
 
     # at most BUCKETS rows per language come back
-    found = rows.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    found = map_batches(rows, count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(found["lang"].unique().tolist())
     table = np.full((len(langs), BUCKETS), SMOOTHING)
     table[found["lang"].map({v: k for k, v in enumerate(langs)}).to_numpy(int), found["bucket"].to_numpy(int)] += found["n"].to_numpy(float)
@@ -139,15 +143,20 @@ def infer(text: str | None, langs: list[str], logs):
 
 @lru_cache(maxsize=1)
 def _model(uri: str):
+    import numpy as np
+
     where, path = filesystem(uri)
     with where.open_input_stream(path) as f:
-        return pickle.loads(f.read())
+        head, _, body = f.read().partition(b"\n")
+    langs = json.loads(head)
+    return langs, np.frombuffer(body, "<f8").reshape(len(langs), -1)
 
 
 def save(spark: SparkSession, model) -> str:
-    """Writes a model to the shared folder; the workers read it from there once."""
+    """Writes a model to the shared folder, its languages as JSON and then its numbers; the workers read it once."""
     uri = f"{scratch(spark, 'language-model')}/model.bin"
-    publish(uri, lambda out: out.write(pickle.dumps(model)))
+    langs, logs = model
+    publish(uri, lambda out: out.write(json.dumps(langs).encode() + b"\n" + logs.astype("<f8").tobytes()))
     return uri
 
 
@@ -167,5 +176,5 @@ def identify(docs: DataFrame, model_uri: str, id_col: str = "doc_id", text_col:
                     names=[id_col, "lang_pred", "score", "mixture"],
                 )
 
-    rows = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double, mixture map<string,double>")
+    rows = map_batches(docs.select(F.col(id_col), F.col(text_col)), run, f"`{id_col}` {kind}, lang_pred string, score double, mixture map<string,double>")
     return rows.withColumn("held_out", crc_mod(F.col(id_col), fold[0]) == fold[1])
