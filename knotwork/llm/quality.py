@@ -15,7 +15,7 @@ from operator import eq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from knotwork.llm.common import crc_mod, materialize
+from knotwork.llm.common import crc_mod, map_batches, materialize
 
 #: The model is fitted to at most this many labelled rows, those with the smallest hash of their id.
 FIT_ROWS = 20_000
@@ -58,17 +58,19 @@ def with_statistics(docs: DataFrame, text_col: str, keep: list[str], stats_col:
     from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
     schema = StructType([docs.schema[c] for c in keep] + [StructField(stats_col, ArrayType(DoubleType()))])
+    # a text that is kept is sent once
+    rows, at_text = (docs.select(*keep), keep.index(text_col)) if text_col in keep else (docs.select(*keep, F.col(text_col).alias("_text")), len(keep))
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            text = batch.column(len(keep))
+            text = batch.column(at_text)
             for at in range(0, batch.num_rows, 1024):
                 found = [statistics(x) for x in text.slice(at, 1024).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(at, 1024) for k in range(len(keep))), pa.array(found, pa.list_(pa.float64()))], names=schema.names)
 
-    return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    return map_batches(rows, run, schema)
 
 
 @dataclass
@@ -211,7 +213,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fits to labelled documents outside the held-out fold (crc32 of the id modulo fold[0] is fold[1]).
 
     Labels that are null, not 0 or 1, or of unknown ids are not used; of an id with several labels the mean decides
-    (a tie counts as 1). At most `rows` labelled ids are sampled, by hash, so the driver holds a bounded matrix.
+    (a tie counts as 1). At most `rows` labelled ids are sampled, by hash, and of documents that share an id the one with
+    the least statistics is taken, so the driver holds a matrix of at most `rows` rows.
     """
     import numpy as np
 
@@ -219,7 +222,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = known.groupBy("id").agg((F.avg("label") >= 0.5).cast("double").alias("label")).orderBy(F.xxhash64("id"), "id").limit(rows)
     sample = materialize(sample, "labelled-sample")
     joined = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
-    found = with_statistics(joined, "text", ["id", "label"]).orderBy("id", "stats").limit(2 * rows).toPandas()
+    found = with_statistics(joined, "text", ["id", "label"]).groupBy("id").agg(F.min("stats").alias("stats"), F.first("label").alias("label")).orderBy("id").toPandas()
     x = np.array(found["stats"].tolist(), float).reshape(len(found), len(STATISTICS))
     return fit(x, found["label"].to_numpy(float))
 
@@ -233,6 +236,10 @@ def score(docs: DataFrame, model: RuleEnsemble, id_col: str = "doc_id", text_col
 
 
 def keep_good(docs: DataFrame, model: RuleEnsemble, text_col: str = "text") -> DataFrame:
-    """docs with its own columns, without the rows that the model rejects."""
+    """docs with its own columns, without the rows that the model rejects (score below 0.5).
+
+    Null texts are judged as empty ones; rows that repeat are judged alike; ids are not read, so null and repeated ids change
+    nothing; an empty table stays empty. No column of docs may be named _quality_stats.
+    """
     stats = with_statistics(docs, text_col, docs.columns, "_quality_stats")
     return stats.filter(model.column(F.col("_quality_stats")) >= 0.5).select(*[F.col(f"`{c}`") for c in docs.columns])
