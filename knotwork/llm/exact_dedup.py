@@ -14,7 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from knotwork.llm.common import fold_ascii, materialize
+from knotwork.llm.common import fold_ascii, materialize, without
+from knotwork.sources.graph import rounds
 
 #: The hashes that repeat are sent to all executors up to this many (16 bytes each); beyond it they are joined by a shuffle.
 BROADCAST_HASHES = 250_000
@@ -64,15 +65,11 @@ def _decide(joined: DataFrame, id_col: str) -> DataFrame:
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
     """docs with its own columns, one row for each group of equal texts; see duplicate_groups for the rules."""
-    groups = duplicate_groups(docs, id_col, text_col, keep)
-    stay = groups.filter("kept").select(F.col(id_col).alias("_stay_id"), F.col("text_sha256").alias("_stay_sha"))
-    sha = F.sha2(fold_ascii(docs[text_col]).cast("binary"), 256)
-    left = docs.join(stay, docs[id_col].eqNullSafe(F.col("_stay_id")) & (sha == F.col("_stay_sha")), "left_semi")
-    twice = groups.groupBy(id_col, "text_sha256").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    if twice.isEmpty():
-        return left
-    marked = left.withColumn("_stay_sha", F.sha2(fold_ascii(F.col(text_col)).cast("binary"), 256))
-    return marked.dropDuplicates([id_col, "_stay_sha"]).drop("_stay_sha")
+    with rounds() as kept:
+        groups = duplicate_groups(docs, id_col, text_col, keep).filter("group_size > 1")
+        told = groups.groupBy(F.col(id_col).alias("id"), F.unhex("text_sha256").alias("sha")).agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("stays"))
+        told = materialize(told, "told", kept)
+    return without(docs, F.col(id_col), F.unhex(F.sha2(fold_ascii(F.col(text_col)).cast("binary"), 256)), told)
 
 
 ORACLE = """

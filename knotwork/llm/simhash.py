@@ -18,12 +18,15 @@ over those joins them into components.
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from knotwork.llm.common import materialize, partitions
+from knotwork.llm.common import map_batches, materialize, partitions, sent, without
+from knotwork.operators.identity import representatives
+from knotwork.sources.graph import rounds
 
 SHINGLE_WORDS, SEED, RADIUS = 3, 42, 2
 #: Distinct fingerprints that a bucket may hold before it is cut again.
@@ -69,7 +72,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=[id_col, "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, fp long")
+    return map_batches(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, fp long")
 
 
 def planes_of(values):
@@ -255,28 +258,9 @@ def links(distinct: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_R
         free, depth = below, depth + 1
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(v, root) for all ends of edges (a, b): root is the smallest id reachable. Star contraction by turns.
-
-    Each half round is a pre-aggregated minimum per vertex joined back to its edges; hot centres are split by AQE. Every
-    round's edges are written to the shared folder.
-    """
-    e = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
-    before = None
-    for n in range(most_rounds):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("x"), "m"), F.struct(F.col("u").alias("x"), "m"))).alias("s")).select(F.col("s.x").alias("u"), F.col("s.m").alias("v"))
-        e = materialize(small.filter("u <> v").distinct(), f"stars-{n}")
-        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long")), F.countDistinct("v")).first())
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError("the components did not settle")
-    return e.select(F.col("u").alias("x"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("x"), F.col("v").alias("root")).distinct()).withColumnRenamed("x", "v")
+def components(edges: DataFrame) -> DataFrame:
+    """(v, root) for all ends of edges (a, b): root is the smallest id reachable, by the star contraction of identities."""
+    return representatives(edges.select("a", "b")).withColumnsRenamed({"vid": "v", "rep": "root"})
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -288,12 +272,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     but null is never a component_id unless all ids of the component are null. Rows that repeat share their component;
     other columns are not read; an empty table gives an empty result.
     """
-    fps = materialize(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    distinct = materialize(fps.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct")
-    tree = components(links(distinct.select("fp"), radius, bucket_rows))
-    rooted = distinct.join(tree, distinct["fp"] == tree["v"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
+    with rounds() as keep:
+        fps = materialize(fingerprints(docs, id_col, text_col, words), "fingerprints", keep)
+        distinct = materialize(fps.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct")
+        tree = materialize(components(links(distinct.select("fp"), radius, bucket_rows)), "tree")
+        rooted = distinct.join(sent(tree), F.col("fp") == F.col("v"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+        # only fingerprints of some component of two or more have another least id than their own
+        least = materialize(distinct.join(sent(tree), F.col("fp") == F.col("v")).groupBy("root").agg(F.min("least").alias("component_id")), "least")
+        named = rooted.join(sent(least), "root", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+        named = materialize(named, "named", keep)
     return fps.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -306,8 +293,8 @@ BANDS, BAND_ROWS = 12, 4
 #: SimHashes of distinct shingles differ in 10 bits with a deviation of 3 at similarity 0.8: 2 to 9 in a million such pairs
 #: are further apart than this, 120 in a million where the sets have 4 and 5 shingles.
 COPY_RADIUS = 24
-#: Distinct shingle sets compared in one task; a larger block is dealt out as pairs of tiles.
-TILE_ROWS = 4096
+#: Distinct shingle sets compared in one task and the bytes of their shingles; a larger block is cut into tiles.
+TILE_ROWS, TILE_BYTES = 4096, 32 << 20
 
 
 @lru_cache(maxsize=1)
@@ -375,14 +362,15 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFra
                     names=["id", "sha", "s", "fp", "bands", "shingles"],
                 )
 
-    return docs.select(id_col, text_col, text_digest(F.col(text_col))).mapInArrow(run, f"id {kind}, sha string, s long, fp long, bands array<long>, shingles binary")
+    return map_batches(docs.select(id_col, text_col, text_digest(F.col(text_col))), run, f"id {kind}, sha binary, s long, fp long, bands array<long>, shingles binary")
 
 
-def similar_forest(fps, sets, similarity: float, radius: int, left=None):
+def similar_forest(fps, sets, similarity: float, radius: int, left=None, known=None):
     """Index pairs (i, root): a spanning forest of the links between sets of at least the similarity.
 
     Members close by fingerprint are confirmed by their sets. With `left` (a mask) only links between its two sides and
-    inside neither are asked for, as a tile pair needs them. A member is compared with those not yet in its component.
+    inside neither are asked for, as a tile pair needs them, and none between members whose `known` component is the same.
+    A member is compared with those not yet in its component.
     """
     import numpy as np
 
@@ -400,7 +388,7 @@ def similar_forest(fps, sets, similarity: float, radius: int, left=None):
                 few, many = np.minimum(sizes, sizes[i]), np.maximum(sizes, sizes[i])
                 mask = mask & (root < 0) & (few >= similarity * many)
                 if left is not None:
-                    mask &= left != left[i]
+                    mask &= (left != left[i]) & (known != known[i])
                 for j in np.flatnonzero(mask).tolist():
                     both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                     if both >= similarity * (sizes[i] + sizes[j] - both):
@@ -410,17 +398,19 @@ def similar_forest(fps, sets, similarity: float, radius: int, left=None):
     return linked, root[linked]
 
 
-def _compare_blocks(similarity: float, radius: int):
-    """mapInArrow over rows (key, side, s, fp, shingles) sorted by key: yields links (a, b)."""
+def _compare_blocks(similarity: float, radius: int, across: bool):
+    """mapInArrow over rows (key, side, known, s, fp, shingles) sorted by key: yields links (a, b); across: only between sides."""
 
     def told(rows):
         import numpy as np
         import pyarrow as pa
 
-        side = np.array([r[1] for r in rows])
-        ids, fps = np.array([r[2] for r in rows], np.int64), np.array([r[3] for r in rows], np.int64).view(np.uint64)
-        sets = [np.frombuffer(r[4], np.uint32) for r in rows]
-        i, j = similar_forest(fps, sets, similarity, radius, side if side.any() else None)
+        side, known = np.array([r[1] for r in rows]), np.array([r[2] for r in rows], np.int64)
+        if across and side.all() == side.any():
+            return
+        ids, fps = np.array([r[3] for r in rows], np.int64), np.array([r[4] for r in rows], np.int64).view(np.uint64)
+        sets = [np.frombuffer(r[5], np.uint32) for r in rows]
+        i, j = similar_forest(fps, sets, similarity, radius, *((side, known) if across else ()))
         if len(i):
             yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j])], names=["a", "b"])
 
@@ -439,22 +429,52 @@ def _compare_blocks(similarity: float, radius: int):
 
 
 def copy_links(sets: DataFrame, similarity: float = SIMILARITY, tile_rows: int = TILE_ROWS, radius: int = COPY_RADIUS) -> DataFrame:
-    """(a, b): links that join all of `sets` (s, fp, bands, shingles; s distinct) that agree in a band and are similar."""
-    banded = sets.select("s", F.explode("bands").alias("key"))
-    blocks = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("s").cast("decimal(20,0)")).alias("sum")).filter("n > 1")
+    """(a, b): links that join all of `sets` (s, fp, bands, shingles; s may repeat) that agree in a band and are similar.
+
+    The shingles of sets that share no block with another are never shuffled.
+    A block within TILE_ROWS and TILE_BYTES is compared in one task. A larger one is cut by classes of set size, of which
+    only a class and its neighbours can hold similar sets, and these into tiles. Each tile is compared in itself first.
+    Then tiles meet pairwise, without the members that are known by now to be of the component that fills the other tile;
+    so a block of one large group of copies is done after the first pass. Nothing is left out.
+    """
+    spark = sets.sparkSession
+    once = sets.select("s", F.octet_length("shingles").alias("bytes"), "bands").dropDuplicates(["s"])
+    banded = materialize(once.select("s", "bytes", F.explode("bands").alias("key")), "banded")
+    tiles = F.greatest(F.ceil(F.col("n") / tile_rows), F.ceil(F.col("bytes") / TILE_BYTES))
+    blocks = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), F.sum(F.xxhash64("s").cast("decimal(20,0)")).alias("sum")).filter("n > 1")
     # blocks with the same members are compared once
-    blocks = materialize(blocks.groupBy("n", "sum").agg(F.min("key").alias("key")).select("key", "n"), "blocks")
-    members = materialize(banded.join(blocks, "key").select("key", "n", "s"), "members")
-    tiles = F.ceil(F.col("n") / tile_rows).cast("int")
-    own = F.pmod(F.xxhash64("s"), F.col("tiles")).cast("int")
-    dealt = members.withColumn("tiles", tiles).withColumn("own", own)
-    # a block of one tile is one group; of more, each pair of tiles is one, and each tile meets itself once
-    pair = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least("own", t).alias("i"), F.greatest("own", t).alias("j")))
-    dealt = dealt.withColumn("p", F.explode(pair)).select(F.struct("key", "p.i", "p.j").alias("group"), ((F.col("p.i") != F.col("p.j")) & (F.col("own") == F.col("p.j"))).alias("side"), "s")
-    rows = dealt.join(sets.select("s", "fp", "shingles"), "s")
-    rows = rows.select(F.xxhash64("group.key", "group.i", "group.j").alias("key"), "side", "s", "fp", "shingles")
-    rows = rows.repartition(partitions(sets.sparkSession), "key").sortWithinPartitions("key")
-    return rows.mapInArrow(_compare_blocks(similarity, radius), "a long, b long").distinct()
+    blocks = blocks.groupBy("n", "sum").agg(F.min("key").alias("key"), F.max("bytes").alias("bytes")).select("key", (tiles > 1).alias("large"))
+    # wider by a hair than the ratio of sizes that may be similar, so that rounding never parts two by more than a class
+    size_class = F.floor(F.log(F.col("bytes") / 4) / (-math.log(similarity) * (1 + 1e-9))).cast("int").alias("c")
+    members = materialize(banded.join(sent(materialize(blocks, "blocks")), "key").select("key", "large", "s", "bytes", size_class), "members")
+
+    compared = sent(materialize(members.select("s").distinct(), "compared"))
+    whole = materialize(sets.select("s", "fp", "shingles").join(compared, "s", "left_semi").dropDuplicates(["s"]), "sets")
+
+    def compare(rows: DataFrame, across: bool) -> DataFrame:
+        full = rows.join(whole, "s").select(F.xxhash64("group").alias("key"), "side", "known", "s", "fp", "shingles")
+        full = full.repartition(partitions(spark), "key").sortWithinPartitions("key")
+        return map_batches(full, _compare_blocks(similarity, radius, across), "a long, b long").distinct()
+
+    inside = lambda *unit: [F.struct("key", *unit).alias("group"), F.lit(False).alias("side"), F.lit(0).cast("long").alias("known"), F.col("s")]
+    small = members.filter("not large").select(*inside(F.lit(0).alias("c"), F.lit(0).alias("sub")))
+    large = members.filter("large")
+    if large.isEmpty():
+        return compare(small, False)
+    subs = large.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")).select("key", "c", tiles.alias("subs"))
+    large = large.join(sent(materialize(subs, "tiles")), ["key", "c"]).select("key", "c", F.pmod(F.xxhash64("s"), F.col("subs")).cast("int").alias("sub"), "s")
+    large = materialize(large, "large-blocks")
+    first = materialize(compare(small.unionByName(large.select(*inside("c", "sub"))), False), "links-in-tiles")
+    tree = components(first)
+    large = materialize(large.join(tree, F.col("s") == F.col("v"), "left").select("key", "c", "sub", "s", F.coalesce("root", "s").alias("known")), "known")
+    units = large.groupBy("key", "c", "sub").agg(F.min("known").alias("low"), F.max("known").alias("high"))
+    units = units.groupBy("key").agg(F.collect_list(F.struct("c", "sub", F.when(F.col("low") == F.col("high"), F.col("low")).alias("all"))).alias("units"), F.min("low").alias("low"), F.max("high").alias("high"))
+    units = materialize(units.filter("low <> high").select("key", "units"), "open-blocks")
+    own = F.struct("c", "sub")
+    meets = lambda u: (F.abs(u["c"] - F.col("c")) <= 1) & (F.struct(u["c"].alias("c"), u["sub"].alias("sub")) != own) & (u["all"].isNull() | (u["all"] != F.col("known")))
+    across = large.join(sent(units), "key").withColumn("u", F.explode(F.filter("units", meets))).withColumns({"own": own, "other": F.struct("u.c", "u.sub")})
+    across = across.select(F.struct("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).alias("group"), (F.col("own") > F.col("other")).alias("side"), "known", "s")
+    return first.unionByName(compare(across, True)).distinct()
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = COPY_WORDS, similarity: float = SIMILARITY, tile_rows: int = TILE_ROWS) -> DataFrame:
@@ -464,39 +484,44 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lower-cased. Texts with equal sets always link; null, empty and blank texts all have the empty set and link. component_id
     is the smallest id reachable. Other columns are not read; an empty table gives an empty result.
     """
-    found = _copies(docs, id_col, text_col, words, similarity, tile_rows)
+    with rounds() as keep:
+        found = materialize(_copies(docs, id_col, text_col, words, similarity, tile_rows), "near-copies", keep)
     return found.select(F.col("id").alias(id_col), "component_id", F.col("s").alias("shingle_set"))
 
 
 def _copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = COPY_WORDS, similarity: float = SIMILARITY, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """(id, sha, s, root, component_id) of each row of docs; root is one shingle set of the component and names it."""
+    """(id, sha, s, root, component_id, alone) of each row of docs; root is one shingle set of the component and names it.
+
+    Most rows are alone in their component, so only the others are joined: the sets that link, and those of several rows.
+    """
     found = materialize(sketches(docs, id_col, text_col, words), "sketches")
-    sets = found.groupBy("s").agg(F.min("id").alias("least"))
-    whole = materialize(found.select("s", "fp", "bands", "shingles").dropDuplicates(["s"]), "sets")
-    tree = components(copy_links(whole, similarity, tile_rows))
-    rooted = sets.join(tree, sets["s"] == tree["v"], "left").select("s", "least", F.coalesce("root", "s").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("s", "root", "component_id")
-    return found.select("id", "sha", "s").join(named, "s")
+    tree = materialize(components(copy_links(found, similarity, tile_rows)), "tree")
+    sets = found.groupBy("s").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("rows"))
+    linked = sets.join(sent(tree), F.col("s") == F.col("v"), "left").filter("rows > 1 or root is not null").select("s", "least", F.coalesce("root", "s").alias("root"))
+    linked = materialize(linked, "linked")
+    least = materialize(linked.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+    named = materialize(linked.join(sent(least), "root").select("s", "root", "component_id"), "named")
+    joined = found.select("id", "sha", "s").join(sent(named), "s", "left")
+    return joined.select("id", "sha", "s", F.coalesce("root", "s").alias("root"), F.coalesce("component_id", "id").alias("component_id"), F.col("root").isNull().alias("alone"))
 
 
 def text_digest(text: Column) -> Column:
-    """SHA-256 of the text as it is; null counts as empty."""
-    return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
+    """SHA-256 of the text as it is, as bytes; null counts as empty."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
     """docs with its own columns: of each component of near_copies() one row stays, that with the smallest id.
 
     Null ids lose to any other. Where several texts of a component have that id, the smallest shingle set and digest decide;
-    of rows that repeat in id and text one stays. Texts that are no near copies stay whatever ids they share.
+    of rows that repeat in id and text one stays. Texts that are no near copies stay whatever ids they share. What goes is
+    joined against the texts, not what stays, so they are not shuffled while that fits common.BROADCAST_ROWS.
     """
-    found = materialize(_copies(docs, id_col, text_col, **more), "near-copies")
-    told = found.groupBy("root", "id", "s", "sha").agg(F.count(F.lit(1)).alias("n"))
-    first = told.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "s", "sha", "n")).alias("f"))
-    stay = first.select(F.col("f.id").alias("_stay_id"), F.col("f.sha").alias("_stay_sha"), F.col("f.n").alias("_n"))
-    same = docs[id_col].eqNullSafe(F.col("_stay_id")) & (text_digest(docs[text_col]) == F.col("_stay_sha"))
-    left = docs.join(stay.select("_stay_id", "_stay_sha"), same, "left_semi")
-    if stay.filter("_n > 1").isEmpty():
-        return left
-    return left.withColumn("_stay_sha", text_digest(F.col(text_col))).dropDuplicates([id_col, "_stay_sha"]).drop("_stay_sha")
+    with rounds() as keep:
+        found = _copies(docs, id_col, text_col, **more).filter("not alone")
+        told = materialize(found.groupBy("root", "id", "s", "sha").agg(F.count(F.lit(1)).alias("n")), "in-components")
+        mark = F.struct(F.col("id").isNull().alias("last"), "id", "s", "sha")
+        first = materialize(told.groupBy("root").agg(F.min(mark).alias("f")), "first")
+        told = told.join(sent(first), "root").select("id", "sha", "n", mark.eqNullSafe(F.col("f")).alias("stays"))
+        told = materialize(told, "told", keep)
+    return without(docs, F.col(id_col), text_digest(F.col(text_col)), told)

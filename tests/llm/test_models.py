@@ -239,3 +239,26 @@ def test_pipeline(spark):
     assert sorted(r.doc_id for r in mixed.collect()) == sorted(i for i, n in copies.items() for _ in range(n))
     out = corpus_pipeline.STAGES[4][1](spark, mixed, SMALL)
     assert out.count() == mixed.count() and exact_dedup and bpe
+
+
+def test_pipeline_stages_take_odd_rows(spark):
+    """Nulls, blanks, repeated rows and ids, one very long text, clashing columns and empty tables pass every stage."""
+    import corpus_pipeline
+
+    good = "A sentence of plain words that reads well, and one more that ends. "
+    rows = [(1, good * 3, "a"), (1, good * 3, "a"), (None, good * 3, None), (None, None, "b"), (2, "", "b"), (3, " \n", None), (4, good * 9000, "a"), (5, good * 2 + "other end", "a"), (5, "quite another text of its own, well told, with enough words to be kept.", "b")]
+    made = lambda own: spark.createDataFrame([(i, t, "en", s, len(t or ""), "x", 1) for i, t, s in own], "doc_id long, text string, lang string, source string, n_chars long, id string, n int")
+    for own in (rows, rows[3:6], rows[:1]):
+        for name, stage in corpus_pipeline.STAGES:
+            docs = made(own)
+            out = stage(spark, docs, SMALL)
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert out.columns == docs.columns
+            found = out.collect()
+            assert all(r.doc_id in {i for i, *_ in own} for r in found)
+            if name == "exact dedup":
+                assert len(found) == len({(t or "").lower() for _, t, _ in own})
+            if name.startswith("byte-level"):
+                assert len(found) == len(own)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, made(rows).limit(0), SMALL).count() == 0, name
