@@ -19,6 +19,7 @@ from struct import pack
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from knotwork.llm.common import map_batches
 from knotwork.llm.pretokens import PATTERN, TextEncoder
 
 #: The lower level of the bitmap has words of 2**WORD_BITS ranks; the upper level is one word over those.
@@ -196,7 +197,7 @@ def _mapped(df: DataFrame, column: str, made: tuple[str, ...], compute) -> DataF
             for at, rows, arrays in compute(batch.column(batch.schema.get_field_index(column))):
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(at, rows) for k in rest), *arrays], names=[*(batch.schema.names[k] for k in rest), *made])
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "token_ids", ranks: str | None = None, pattern: str | None = None) -> DataFrame:

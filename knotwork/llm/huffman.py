@@ -23,7 +23,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knotwork.llm.common import filesystem, partitions, publish, scratch
+from knotwork.llm.common import filesystem, map_batches, partitions, publish, scratch
 from knotwork.llm.pretokens import TextEncoder
 
 END_ID = 2
@@ -306,7 +306,8 @@ def write_archive(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "d
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([sums.astype("<i8").tobytes()], pa.binary())], names=["id", "ids", "tally"])
 
     staged_at = f"{folder}/staged"
-    docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(stage, STAGED).write.option("compression", "zstd").parquet(staged_at)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    map_batches(texts, stage, STAGED).write.option("compression", "zstd").parquet(staged_at)
     staged = spark.read.schema(STAGED).parquet(staged_at)
 
     def unfold(batches):
@@ -343,7 +344,7 @@ def write_archive(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "d
     rows = staged.filter("tally is null").select("id", "ids").withColumn("h", F.xxhash64("ids"))
     rows = rows.repartitionByRange(parts or partitions(spark), F.col("id"), F.col("h")).sortWithinPartitions("id", "h", "ids")
     # one row per part; parts are bounded by the number of partitions
-    found = rows.select("id", "ids", F.spark_partition_id().alias("part")).mapInArrow(write, PARTS).collect()
+    found = map_batches(rows.select("id", "ids", F.spark_partition_id().alias("part")), write, PARTS).collect()
     starts, position = [], 0
     for part, file, n in sorted(map(tuple, found)):
         starts.append((part, file, position))

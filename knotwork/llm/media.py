@@ -15,6 +15,8 @@ import zlib
 
 from pyspark.sql import DataFrame
 
+from knotwork.llm.common import map_batches
+
 UNIT, PAD = 576, 255
 FRAME, HOP, RATE = 576, 288, 8000
 #: Bands of equal width, frames that a pair may span, and how far a peak is above its frame's mean.
@@ -105,7 +107,7 @@ def add_media(docs: DataFrame, text_col: str = "text", media_col: str = "media")
                 rest = [batch.column(batch.schema.get_field_index(c)).slice(at, 256) for c in keep]
                 yield pa.RecordBatch.from_arrays([*rest, pa.array([to_wav(padded(x)) for x in raw], pa.binary()), pa.array([len(x) for x in raw], pa.int64())], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema)
 
 
 FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, peak_codes array<int>, peak_times array<int>, feature string"
@@ -142,7 +144,7 @@ def read_media(df: DataFrame, media_col: str = "media") -> DataFrame:
                 rest = [batch.column(batch.schema.get_field_index(c)).slice(at, 256) for c in keep]
                 yield pa.RecordBatch.from_arrays([*rest, *(pa.array(v, t) for v, t in zip(zip(*rows, strict=True), kinds, strict=True))], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

@@ -18,9 +18,9 @@ from functools import lru_cache
 #: The split pattern whose matches the rules below keep whole; texts are not cut for any other.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of text encoded at a time; the arrays made meanwhile take about twelve times as much.
-WINDOW = 4 << 20
+WINDOW = 1 << 20
 #: Bytes that the remembered pieces of one encoder may take, by estimate, and the longest piece that is remembered.
-MEMORY, LONGEST = 96 << 20, 64
+MEMORY, LONGEST = 64 << 20, 64
 #: Estimated bytes of an entry besides its piece and its ids.
 ENTRY = 190
 
