@@ -12,27 +12,45 @@ from knotwork.llm.common import materialize, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a rule ensemble, fitted to the labels of these documents, does not reject."""
+    """Documents that a rule ensemble, fitted to the labels of these documents, does not reject.
+
+    Null texts are judged as empty ones and rows that repeat alike; of repeated ids one is learned from. Without labels, or
+    with labels of one kind, all documents have one score and all or none stay. An empty table stays empty.
+    """
     return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest id."""
+    """Of texts equal but for the case of A-Z the document with the largest id.
+
+    Null counts as the empty text; a null id loses to any other; of rows that repeat one stays. An empty table stays empty.
+    """
     return exact_dedup.drop_duplicates(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that share 0.8 of their five-word shingles the document with the smallest id."""
+    """Of texts that share 0.8 of their five-word shingles the document with the smallest id.
+
+    Null, empty and blank texts are one group; null ids lose to any other; ties are decided by the text's digest, and of rows
+    that repeat one stays. Texts without a near copy stay whatever ids they share. An empty table stays empty.
+    """
     return simhash.drop_near_copies(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it."""
+    """Each document as often as the mix of sources takes it, at most three times.
+
+    Documents without words are taken in whole epochs only; a null source is a source; null ids draw one key, and of rows
+    equal in id, source and size as many are taken as fit. An empty table stays empty.
+    """
     return mixing.mixed(docs)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Per document of the mix its token ids and digests of them and of the text decoded from them."""
+    """Per row of the mix the number of its token ids and digests of them and of the bytes decoded from them.
+
+    Null and empty texts have no ids; rows and ids that repeat each give a row. An empty table gives none.
+    """
     return bpe.digests(docs)
 
 
