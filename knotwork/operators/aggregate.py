@@ -34,6 +34,14 @@ def aggregate_column(compiler: Compiler, e: s.Call) -> Column:
     return (F.min if name == "min" else F.max)(arg.col)
 
 
+def finite(key: Typed) -> Column:
+    """A grouping key; numbers that are not finite are an error, as they equal nothing in a group."""
+    if key.kind != "float":
+        return key.col
+    bad = F.isnan(key.col) | (F.abs(key.col) == float("inf"))
+    return F.when(bad, F.raise_error(F.lit("a grouping key is not finite")).cast("double")).otherwise(key.col)
+
+
 def aggregate(frame: DataFrame, compiler: Compiler, query: s.Match, name_of, identity) -> DataFrame:
     """Groups by GROUP BY or, without it, by the columns that are no aggregates.
 
@@ -44,7 +52,7 @@ def aggregate(frame: DataFrame, compiler: Compiler, query: s.Match, name_of, ide
     key_columns, shown = [], {}
     for n, e in enumerate(keys):
         own = identity(e)
-        key_columns.append((own if own is not None else compiler(e).col).alias(f"__key{n}"))
+        key_columns.append((own if own is not None else finite(compiler(e))).alias(f"__key{n}"))
         shown[e] = (f"__key{n}", own is None)
     columns, result = [], []
     for n, i in enumerate(query.items):

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from knotwork.errors import QueryError
-from knotwork.sources.graph import Space, cut, union_all
+from knotwork.sources.graph import Space, cut, rounds, union_all
 
 MAX_ROUNDS = 100
 #: Rounds whose facts are read side by side before they are written together.
@@ -92,24 +92,31 @@ def asserted_facts(space: Space) -> DataFrame:
 
 def closed_facts(space: Space, budget: int | None = None) -> DataFrame:
     """(s, p, d): all facts, asserted and derived, of the types that rules mention."""
-    delta = cut(asserted_facts(space))
+    with rounds() as keep:
+        return union_all(closed_parts(space, budget, keep))
+
+
+def closed_parts(space: Space, budget: int | None, keep: list) -> list[DataFrame]:
+    """closed_facts() as the tables of its rounds, each fact in one of them; `keep` has their paths."""
+    delta = cut(asserted_facts(space), keep)
     parts, derived = [delta], 0
     for _ in range(MAX_ROUNDS):
         known = union_all(parts)
         steps = single_steps(space, delta) + double_steps(space, delta, known) + double_steps(space, known, delta)
         if not steps:
-            return known
-        delta = cut(union_all(steps).distinct().join(known, list(FACT), "left_anti"))
+            return parts
+        delta = cut(union_all(steps).distinct().join(known, list(FACT), "left_anti"), keep)
         new = delta.count()
         if not new:
-            return known
+            return parts
         derived += new
         if budget is not None and derived > budget:
             space.dirty = True
             raise QueryError(f"more than {budget} derived facts")
         parts.append(delta)
         if len(parts) > MERGE_ROUNDS:
-            parts = [cut(union_all(parts))]
+            keep.clear()
+            parts = [cut(union_all(parts), keep)]
     raise QueryError("the rules did not settle")
 
 

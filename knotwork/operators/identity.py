@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from knotwork.errors import QueryError
-from knotwork.sources.graph import Space, cut
+from knotwork.sources.graph import Space, cut, rounds
 
 MAX_ROUNDS = 60
 
@@ -17,6 +17,11 @@ def representatives(pairs: DataFrame) -> DataFrame:
     Star contraction by turns: every edge is drawn to the smallest neighbour of its ends until only stars are left, which
     takes rounds in the order of the logarithm of the longest chain.
     """
+    with rounds() as keep:
+        return cut(settled(pairs), keep)
+
+
+def settled(pairs: DataFrame) -> DataFrame:
     e = cut(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     before = None
     for _ in range(MAX_ROUNDS):
@@ -42,7 +47,7 @@ def merge(space: Space, pairs: DataFrame) -> Space:
     made = space.copy()
     if space.same is not None:
         pairs = pairs.unionByName(space.same.select(F.col("vid").alias("a"), F.col("rep").alias("b")))
-    made.same, made.spans = cut(representatives(pairs)), {}
+    made.same, made.spans = representatives(pairs), {}
     mapped = made.same.select(F.col("vid").alias("_vid"), F.col("rep").alias("_rep"))
     for t, tag in made.tags.items():
         frame = made.tag(t).join(mapped, F.col("vid") == F.col("_vid"), "left").withColumn("_rep", F.coalesce("_rep", "vid"))

@@ -279,6 +279,10 @@ class Matcher:
         keys = [c for c in shared if c.endswith("__vid") or c.split("__", 1)[-1] in ("src", "dst", "rank", "type")]
         right = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns if c in keys or c not in shared])
         if not keys:
+            # patterns without a shared variable pair all their bindings, as the language says; a limit of scans bounds this too
+            limit = self.space.scan_limit
+            if limit is not None and left.limit(limit + 1).count() * right.limit(limit + 1).count() > limit:
+                raise QueryError(f"patterns without a shared variable have more than {limit} pairs")
             return left.crossJoin(right) if how == "inner" else left.join(right, F.lit(True), how)
         on = [F.col(c) == F.col(f"_r_{c}") for c in keys]
         return left.join(right, on, how).drop(*[f"_r_{c}" for c in keys])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from knotwork.errors import QueryError
 from knotwork.plans import syntax as s
-from knotwork.sources.graph import Space, cut, union_all
+from knotwork.sources.graph import Space, cut, rounds, union_all
 
 DEFAULT_STEPS, MAX_STEPS, MAX_PATHS = 10, 20, 1024
 MAX_ROUNDS = 10_000
@@ -31,6 +31,14 @@ def run_find(space: Space, query: s.Find) -> DataFrame:
     spark = space.spark
     if query.source == query.target:
         return spark.createDataFrame([([query.source],)], f"path array<{space.vid_sql}>")
+    with rounds():
+        # one row, or at most MAX_PATHS: they outlive the rounds that found them
+        found = [(r["path"],) for r in paths_of(space, query).collect()]
+    return spark.createDataFrame(found, f"path array<{space.vid_sql}>")
+
+
+def paths_of(space: Space, query: s.Find) -> DataFrame:
+    spark = space.spark
     if query.weight:
         return weighted(space, query).select("path")
     most = DEFAULT_STEPS if query.upto is None else query.upto

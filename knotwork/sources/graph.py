@@ -115,14 +115,16 @@ def drop_rounds(since: int = 0) -> None:
 def rounds():
     """Deletes what cut() wrote inside, but for the paths that the caller takes out of the list given."""
     since, kept = len(_written), []
-    yield kept
-    own = _written[since:]
-    del _written[since:]
-    for spark, path in own:
-        if path in kept:
-            _written.append((spark, path))
-        else:
-            remove(spark, path)
+    try:
+        yield kept
+    finally:
+        own = _written[since:]
+        del _written[since:]
+        for spark, path in own:
+            if path in kept:
+                _written.append((spark, path))
+            else:
+                remove(spark, path)
 
 
 def cut(df: DataFrame, keep: list | None = None) -> DataFrame:

@@ -174,3 +174,33 @@ def test_vector_index(db):
     assert found.groupBy("query").count().filter("count = 3").count() == 100
     db.execute("CREATE TAG none(v STRING)")
     assert vector_index.build(db.space, "v").search([1.0], 3).count() == 0
+
+
+def test_grouping_keys_are_finite(db):
+    db.execute("CREATE TAG t(a DOUBLE, b DOUBLE); INSERT VERTEX t(a, b) VALUES 1:(1.0, 0.0), 2:(1.0, -0.0), 3:(NULL, 2.0)")
+    assert rows(db.execute("MATCH (x:t) RETURN x.a AS a, COUNT(*) AS n")) == [(1.0, 2), (None, 1)]
+    assert [n for _, n in rows(db.execute("MATCH (x:t) RETURN x.b AS b, COUNT(*) AS n"))] == [2, 1]
+    db.space.tag_frames["t"] = db.space.tag("t").withColumn("a", db.space.tag("t")["a"] * float("inf"))
+    with pytest.raises(Exception, match="not finite"):
+        db.execute("MATCH (x:t) RETURN x.a AS a, COUNT(*) AS n").collect()
+
+
+def test_pairs_of_unrelated_patterns(db):
+    db.execute("CREATE TAG t(); CREATE TAG u(); INSERT VERTEX t() VALUES 1:(), 2:(); INSERT VERTEX u() VALUES 3:(), 4:()")
+    pairs = "MATCH (x:t), (y:u) RETURN id(x) AS x, id(y) AS y"
+    assert rows(db.execute(pairs)) == [(1, 3), (1, 4), (2, 3), (2, 4)]
+    db.scan_limit = 3
+    with pytest.raises(QueryError, match="more than 3 pairs"):
+        db.execute(pairs)
+
+
+def test_rounds_are_deleted(db):
+    """What FIND and the identity merge write on the way is gone when they are done."""
+    from knotwork.sources.graph import _written
+
+    db.execute("CREATE TAG t(); CREATE EDGE e(); INSERT EDGE e() VALUES 1->2:(), 2->3:(), 3->4:()")
+    before = len(_written)
+    assert [r.path for r in db.execute("FIND SHORTEST PATH FROM 1 TO 4 OVER e").collect()] == [[1, 2, 3, 4]]
+    assert len(db.execute("FIND ALL SHORTEST PATHS FROM 1 TO 4 OVER e").collect()) == 1 and len(_written) == before
+    db.execute("INSERT EDGE sameAs() VALUES 2->1:()")
+    assert len(_written) == before + 1 and rows(db.execute("GO FROM 1 OVER e")) == [(1, 1), (1, 3)]
