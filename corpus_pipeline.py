@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from knotwork.llm import bpe, exact_dedup, mixing, quality, simhash
 from knotwork.llm.common import materialize, table
+from knotwork.sources.graph import remove, rounds
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,7 +68,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages in turn over the whole table; what a stage has read and written on the way is deleted when its result is there."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with rounds() as keep:
+            docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"), keep)
+        if before is not None:
+            remove(spark, before)
+        (before,) = keep
     return STAGES[-1][1](spark, docs, sf_dir)
