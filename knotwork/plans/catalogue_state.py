@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from knotwork.errors import QueryError
 from knotwork.operators import closure, identity, schema, vector_index
 from knotwork.operators.recommend import cosine, vectors_of
 from knotwork.plans.catalogue import COSINE, ORACLES, QUERIES, add, plain_names, register, rounded, same_pairs, v
@@ -284,4 +285,64 @@ def index_search(spark, sf_dir) -> DataFrame:
 
 register("vector_index_search", index_search, f"SELECT {v(8, 'e.vec_id')} AS vid, round({COSINE}, 4) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 3) s WHERE e.vec_id <> 3 ORDER BY {COSINE} DESC, vid LIMIT 15")
 
+# --- declarations and what is refused -------------------------------------------------------------------------------
+
+
+def declared(spark, sf_dir) -> DataFrame:
+    """A space declared, filled and asked by statements alone; the rows come from a table."""
+    regions = spark.read.parquet(f"{sf_dir}/region.parquet").orderBy("r_regionkey").collect()
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").orderBy("n_nationkey").collect()
+    db = Session(spark)
+    db.execute("CREATE SPACE world (partition_num = 8, vid_type = FIXED_STRING(16)); USE world")
+    db.execute("CREATE TAG region(name STRING); CREATE TAG nation(name STRING, code INT64); CREATE EDGE in_region(); CREATE EDGE holds() INVERSE OF in_region; CREATE TAG INDEX by_code ON nation(code)")
+    db.execute("INSERT VERTEX region(name) VALUES " + ", ".join(f'"r{r[0]}":("{r[1]}")' for r in regions))
+    db.execute("INSERT VERTEX nation(name, code) VALUES " + ", ".join(f'"n{n[0]}":("{n[1]}", {n[0]})' for n in nations))
+    db.execute("INSERT EDGE in_region() VALUES " + ", ".join(f'"n{n[0]}"->"r{n[2]}":()' for n in nations))
+    return db.execute("MATCH (r:region)-[:holds]->(n:nation) WHERE n.code >= 3 RETURN id(r) AS r, r.name AS region, COUNT(n) AS n, MIN(n.code) AS least GROUP BY r.name")
+
+
+register("declared_by_statements", declared, "SELECT 'r' || r_regionkey AS r, r_name AS region, count(*) AS n, min(n_nationkey)::BIGINT AS least FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey >= 3 GROUP BY ALL")
+add("match_group_first", "MATCH (c:customer)-[:cust_in]->(n:nation) RETURN n.n_name AS name, id(n) AS nation, COUNT(c) AS n GROUP BY n.n_name", f"SELECT n_name AS name, {v(2, 'n_nationkey')} AS nation, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL")
+add("shape_by_statement", "CREATE SHAPE rich ON party (c_acctbal DOUBLE REQUIRED, c_acctbal CHECK c_acctbal >= 100); CHECK SHAPE", f"SELECT {v(4, 's_suppkey')} AS vid, 'rich' AS shape, 'c_acctbal' AS property, x AS constraint FROM supplier, (VALUES ('REQUIRED'), ('CHECK')) t(x) UNION ALL SELECT {v(3, 'c_custkey')}, 'rich', 'c_acctbal', 'CHECK' FROM customer WHERE c_acctbal < 100", space=semantic_space)
+add("consistency_by_statement", "CREATE CLASS rich() DISJOINT WITH customer; INSERT VERTEX rich(), customer(c_name) VALUES 3000000001:(\"x\"), 3000000002:(\"y\"); CHECK CONSISTENCY", "SELECT 3000000000 + k AS vid, 'customer' AS class_a, 'rich' AS class_b FROM range(1, 3) t(k)", space=sample_space)
+
+#: Statements that are refused, with what must come before them.
+REFUSED = {
+    "steps of GO": "GO 21 STEPS FROM 1 OVER placed", "steps in wrong order": "GO 3..2 STEPS FROM 1 OVER placed", "destination in WHERE": "GO FROM 1 OVER placed WHERE $$.order_.o_totalprice > 1",
+    "unknown column of a variable": "$a = GO FROM 1 OVER placed YIELD dst AS d; GO FROM $a.x OVER placed", "unknown variable": "GO FROM $b.x OVER placed",
+    "empty range": "MATCH (a:nation)-[:in_region*0..0]->(b) RETURN id(b) AS b", "range in wrong order": "MATCH (a:nation)-[:in_region*3..2]->(b) RETURN id(b) AS b", "long range": "MATCH (a:nation)-[:in_region*1..21]->(b) RETURN id(b) AS b",
+    "variable of a range": "MATCH (a:nation)-[e:in_region*1..2]->(b) RETURN id(b) AS b", "aggregate in WHERE": "MATCH (a:nation) WHERE COUNT(a) > 1 RETURN id(a) AS a", "aggregate of an aggregate": "MATCH (a:nation) RETURN SUM(COUNT(a)) AS n",
+    "collect": "MATCH (a:nation) RETURN COLLECT(a) AS n", "unknown function": "MATCH (a:nation) WHERE frobnicate(a.n_name) RETURN id(a) AS a", "order by what is not returned": "MATCH (a:nation) RETURN id(a) AS a ORDER BY a.n_name",
+    "arithmetic in RETURN": "MATCH (a:part) RETURN a.p_size + 1 AS x", "steps of FIND": "FIND SHORTEST PATH FROM 1 TO 2 OVER * UPTO 21", "weight both ways": "FIND SHORTEST PATH FROM 1 TO 2 OVER placed BIDIRECT WEIGHT BY o_totalprice",
+    "weight of all paths": "FIND ALL SHORTEST PATHS FROM 1 TO 2 OVER placed WEIGHT BY o_totalprice", "FIND with WHERE": "FIND SHORTEST PATH FROM 1 TO 2 OVER placed WHERE 1 == 1", "LOOKUP with arithmetic": "LOOKUP ON part WHERE p_size + 1 == 2",
+    "unknown tag": "LOOKUP ON nothing", "a value of another type": 'INSERT VERTEX part(p_size) VALUES 1:("x")', "an id of another type": 'INSERT VERTEX part(p_size) VALUES "a":(1)', "unknown property": "INSERT VERTEX part(nothing) VALUES 1:(1)",
+    "parting the merged": "DELETE EDGE sameAs 1->2", "a merged vertex": "INSERT EDGE sameAs() VALUES 5->2:(); DELETE VERTEX 5", "a class in use": "CREATE CLASS a(); CREATE CLASS b() SUBCLASS OF a; DROP CLASS a",
+    "a property without a default": "ALTER TAG part ADD (x INT64 NOT NULL)", "breaking a shape": 'CREATE SHAPE s ON part (p_name STRING REQUIRED); INSERT VERTEX part(p_size) VALUES 5999999999:(1)',
+    "too many derived facts": "CREATE EDGE t() TRANSITIVE; INSERT EDGE t() VALUES 1->2:(), 2->3:(), 3->4:(), 4->5:()", "reading what is incomplete": "GO FROM 1 OVER placed", "users": "GRANT ROLE USER TO x", "balance": "BALANCE DATA",
+}
+WRITES = ("INSERT VERTEX region(r_name) VALUES 1:(\"x\")", "GO FROM 1 OVER placed; DELETE VERTEX 1", "PROFILE DELETE VERTEX 1", "CREATE TAG t()", "REPAIR INFERENCE")
+
+
+def refused(spark, sf_dir) -> DataFrame:
+    """What the engine refuses, each in its own words, and statements that a reading session refuses."""
+    found, db = [], None
+    for name, text in REFUSED.items():
+        if name != "reading what is incomplete":
+            db = session(spark, sf_dir, derived_budget=3)
+        try:
+            db.execute(text).take(1)
+            found.append((name, False))
+        except QueryError:
+            found.append((name, True))
+    for k, text in enumerate(WRITES):
+        try:
+            session(spark, sf_dir).execute(text, read_only=True)
+            found.append((f"writing {k}", False))
+        except QueryError:
+            found.append((f"writing {k}", True))
+    return spark.createDataFrame(found, "what string, refused boolean")
+
+
+register("refused_statements", refused, "SELECT what, true AS refused FROM (VALUES " + ", ".join(f"('{n}')" for n in [*REFUSED, *(f"writing {k}" for k in range(len(WRITES)))]) + ") t(what)")
+
 __all__ = ["ORACLES", "QUERIES"]
