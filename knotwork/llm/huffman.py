@@ -29,8 +29,10 @@ from knotwork.llm.pretokens import TextEncoder
 END_ID = 2
 #: Longest code; the decoding table has 2**MAX_BITS entries.
 MAX_BITS = 18
+#: Bytes of text encoded at a time, and those that a worker's remembered pieces may take; see pretokens.
+WINDOW, MEMORY = 4 << 20, 160 << 20
 #: Ids between two checkpoints, and the ids at which a block is closed (a document is never cut).
-CHECKPOINT, BLOCK_IDS = 256, 1 << 18
+CHECKPOINT, BLOCK_IDS = 256, 1 << 19
 STAGED, PARTS = "id long, ids binary, tally binary", "part int, file string, n long"
 
 
@@ -77,11 +79,11 @@ class Code:
         spans = np.left_shift(np.uint64(1), (self.bits - self.lengths).astype(np.uint64))
         first = np.concatenate([[np.uint64(0)], np.cumsum(spans)[:-1]]).astype(np.uint64) if len(by) else np.zeros(0, np.uint64)
         size = int(self.symbols.max()) + 1 if len(by) else 1
-        self.code_of, self.length_of = np.zeros(size, np.uint64), np.zeros(size, np.uint64)
-        self.code_of[self.symbols] = first >> (self.bits - self.lengths).astype(np.uint64)
+        #: By symbol its length and its code, whose first bit is the highest of the word; by the next bits symbol and length together.
+        self.length_of, self.code_of = np.zeros(size, np.uint8), np.zeros(size, np.uint64)
         self.length_of[self.symbols] = self.lengths
-        self.table_symbol = np.repeat(self.symbols, spans.astype(np.int64))
-        self.table_length = np.repeat(self.lengths, spans.astype(np.int64)).astype(np.uint64)
+        self.code_of[self.symbols] = first << np.uint64(64 - self.bits)
+        self.table = np.repeat(self.symbols.astype(np.int64) << 8 | self.lengths, spans.astype(np.int64))
 
     def to_bytes(self) -> bytes:
         return b"KNHC" + struct.pack("<I", len(self.symbols)) + self.symbols.astype("<u4").tobytes() + self.lengths.tobytes()
@@ -102,37 +104,35 @@ class Code:
         lengths = self.length_of[ids]
         if len(ids) and not lengths.all():
             raise ValueError("an id has no code")
-        ends = np.cumsum(lengths)
+        ends = np.cumsum(lengths, dtype=np.int64)
         at = ends - lengths
         total = int(ends[-1]) if len(ids) else 0
         words = np.zeros((total + 63) // 64 + 2, np.uint64)  # two spare words, so that a reader may look ahead
         if len(ids):
-            codes, word, shift = self.code_of[ids], (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
-            room = np.int64(64) - shift.astype(np.int64) - lengths.astype(np.int64)
-            here = np.where(room >= 0, codes << np.maximum(room, 0).astype(np.uint64), codes >> np.maximum(-room, 0).astype(np.uint64))
-            starts = np.flatnonzero(np.diff(word, prepend=-1))
-            words[word[starts]] = np.bitwise_or.reduceat(here, starts)
-            over = np.flatnonzero(room < 0)  # at most one id crosses into each word
-            words[word[over] + 1] |= codes[over] << (np.int64(64) + room[over]).astype(np.uint64)
+            codes, word, shift = self.code_of[ids], at >> 6, (at & 63).view(np.uint64)
+            starts = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            words[word[starts]] = np.bitwise_or.reduceat(codes >> shift, starts)
+            over = np.flatnonzero(word != (ends - 1) >> 6)  # at most one id crosses into each word
+            words[word[over] + 1] |= codes[over] << (np.uint64(64) - shift[over])
         return words, at[::CHECKPOINT]
 
     def unpack(self, words, n: int, checkpoints):
         """The n ids of a payload: the stretches from all checkpoints advance together, one id a step."""
         import numpy as np
 
-        lanes = len(checkpoints)
-        out, at = np.zeros((CHECKPOINT, lanes), np.uint32), np.array(checkpoints, np.uint64)
+        lanes, after = len(checkpoints), words[1:]
+        out, at = np.zeros((CHECKPOINT, lanes), np.int64), np.array(checkpoints, np.int64)
         rest = n - (lanes - 1) * CHECKPOINT
-        drop, six, low, one, top = np.uint64(64 - self.bits), np.uint64(6), np.uint64(63), np.uint64(1), np.uint64(63)
+        drop, one, top = np.uint64(64 - self.bits), np.uint64(1), np.uint64(63)
         for step in range(CHECKPOINT if lanes > 1 else rest if lanes else 0):
             if step == rest:
                 at = at[:-1]  # the last stretch may be shorter
-            word, shift = (at >> six).astype(np.int64), at & low
-            window = (words[word] << shift) | ((words[word + 1] >> one) >> (top - shift))
-            entry = (window >> drop).astype(np.int64)
-            out[step, : len(at)] = self.table_symbol[entry]
-            at = at + self.table_length[entry]
-        return out.T.reshape(-1)[:n]
+            word, shift = at >> 6, (at & 63).view(np.uint64)
+            window = (words[word] << shift) | ((after[word] >> one) >> (top - shift))
+            entry = self.table[(window >> drop).view(np.int64)]
+            out[step, : len(at)] = entry
+            at = at + (entry & 255)
+        return (out >> 8).astype(np.uint32).T.reshape(-1)[:n]
 
 
 # --- blocks and files -----------------------------------------------------------------------------------------------
@@ -188,21 +188,28 @@ class LoadedTokenizer:
         split = made["pre_tokenizer"] or {}
         # only the byte-level split by the pattern that pretokens knows may be cut
         cut = made["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
-        self.texts, self.tokens = TextEncoder(self.encode_pieces, cut=cut), self.library.model.tokenize
+        self.texts, self.tokens = TextEncoder(self.encode_pieces, cut=cut, window=WINDOW, memory=MEMORY), self.library.model.tokenize
         self.added = [t["content"] for t in made["added_tokens"]]
         self.symbols = self.library.get_vocab_size()
 
     def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
         """The ids of each piece: of one word by the library's model alone, which takes it in the byte alphabet, else by the library whole."""
-        tokens, alphabet = self.tokens, byte_alphabet()
-        found, rest = [], []
+        tokens, alphabet, blank = self.tokens, byte_alphabet(), byte_alphabet()[32]
+        flat, ends, rest = [], [], []
         for k, piece in enumerate(pieces):
-            if self.texts.cut and one_word(piece):
-                ids = [t.id for t in tokens(piece.decode("latin-1").translate(alphabet))]
-                found.append(struct.pack(f"<{len(ids)}I", *ids))
+            spaced = piece[:1] == b" "
+            word = piece[1:] if spaced else piece
+            if not self.texts.cut:
+                rest.append(k)
+            elif word.isalpha():  # ASCII letters stand for themselves
+                flat += [t.id for t in tokens(blank + word.decode() if spaced else word.decode())]
+            elif latin_word(word):
+                flat += [t.id for t in tokens(piece.decode("latin-1").translate(alphabet))]
             else:
-                found.append(None)
                 rest.append(k)
+            ends.append(len(flat))
+        data = struct.pack(f"<{len(flat)}I", *flat)
+        found = [data[4 * a : 4 * b] for a, b in zip([0, *ends], ends)]
         for k, e in zip(rest, self.library.encode_batch([pieces[k].decode() for k in rest], add_special_tokens=False), strict=True):
             found[k] = struct.pack(f"<{len(ids)}I", *ids) if (ids := e.ids) else b""
         return found
@@ -228,11 +235,8 @@ class LoadedTokenizer:
             yield at, rows, pc.coalesce(pa.array(own, pa.binary()), ids)
 
 
-def one_word(piece: bytes) -> bool:
-    """Whether the split pattern has one match in the piece: Latin letters (below U+0250) behind a space or none."""
-    word = piece[1:] if piece[:1] == b" " else piece
-    if word.isascii():
-        return word.isalpha()
+def latin_word(word: bytes) -> bool:
+    """Whether the split pattern has one match in a word: letters below U+0250, which are letters in every version of Unicode."""
     text = word.decode()
     return text.isalpha() and max(text) < "\u0250"
 

@@ -90,18 +90,18 @@ class Remembered:
         if lacking:
             for k, value in zip(lacking, compute([pieces[k] for k in lacking]), strict=True):
                 found[k] = value
+        held, most = self.held, self.most
         for k in keep + lacking:
-            self.put(pieces[k], found[k])
+            piece = pieces[k]
+            if len(piece) <= LONGEST:
+                newer[piece] = value = found[k]
+                held += ENTRY + len(piece) + len(value)
+                if held >= most:
+                    self.older, self.newer, held = newer, {}, 0
+                    newer = self.newer
+        self.held = held
         return found
 
-    def put(self, piece: bytes, value: bytes) -> None:
-        if len(piece) > LONGEST:
-            return
-        if self.held >= self.most:
-            self.older, self.newer, self.held = self.newer, {}, 0
-        self.newer[piece] = value
-        self.held += ENTRY + len(piece) + len(value)
-
 
 class TextEncoder:
     """Encodes Arrow string arrays; encode_pieces(list of bytes) gives the ids of each piece as bytes of fixed width an id.

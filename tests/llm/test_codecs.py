@@ -143,7 +143,7 @@ def test_pack_round_trip(n):
     words, checkpoints = code.pack(ids)
     assert (code.unpack(words, n, checkpoints) == ids).all()
     again = huffman.Code.from_bytes(code.to_bytes())
-    assert (again.table_symbol == code.table_symbol).all()
+    assert (again.table == code.table).all()
     counts = np.array([n], np.uint32)
     back = huffman.read_block(code, huffman.write_block(code, [None], counts, ids))
     assert back[0] == [None] and (back[2] == ids).all()
