@@ -113,7 +113,7 @@ def insert_vertices(space: Space, q: s.InsertVertex, tx: int) -> tuple[Space, in
         gone = space.representative(gone, "vid")
     for t, tag in made.tags.items():
         new = [(vid, *props[t].values()) for vid, props in last.items() if t in props]
-        if not new and t not in space.tag_frames:
+        if not new and (t not in space.tag_frames or not made.may_hold(t, last)):
             continue
         keep_types(made, "tag", t)
         if new:
@@ -123,6 +123,7 @@ def insert_vertices(space: Space, q: s.InsertVertex, tx: int) -> tuple[Space, in
                 rows = space.representative(rows, "vid").dropDuplicates(["vid"])
             made.tag_history[t] = append(space.tag_history.get(t), rows, tx, False)
             made.change("tag", t, None, rows)
+            made.widen_span(t, last)
         else:
             if space.tag_history.get(t) is not None:
                 made.tag_history[t] = append(space.tag_history.get(t), made.tag(t).join(gone, "vid", "left_semi"), tx, True)
@@ -213,6 +214,7 @@ def update(space: Space, q: s.Update, tx: int) -> tuple[Space, int]:
         made.edge_history[q.name] = append(space.edge_history.get(q.name), new.drop("inferred"), tx, False)
     else:
         made.change("tag", q.name, None, new)
+        made.widen_span(q.name, [vid])
         made.tag_history[q.name] = append(space.tag_history.get(q.name), new, tx, False)
         guard_shapes(made, space.vids([vid]).select("vid"))
     return made, 1
@@ -224,7 +226,7 @@ def delete_vertices(space: Space, q: s.DeleteVertex, tx: int) -> tuple[Space, in
     gone = space.vids(q.vids).select("vid").distinct()
     if space.same is not None and not space.same.join(gone, "vid", "left_semi").isEmpty():
         raise QueryError("a merged vertex cannot be deleted")
-    gone = gone.join(space.vertices(), "vid", "left_semi")
+    gone = gone.join(space.vertices(once=False, among=q.vids), "vid", "left_semi")
     if q.where is not None:
         keep = None
         for t in space.tags:
@@ -248,7 +250,7 @@ def delete_vertices(space: Space, q: s.DeleteVertex, tx: int) -> tuple[Space, in
     if not n:
         return space, 0
     for t in space.tags:
-        if t in space.tag_frames:
+        if t in space.tag_frames and space.may_hold(t, found):
             lost = space.tag(t).join(gone, "vid", "left_semi")
             made.tag_history[t] = append(space.tag_history.get(t), lost, tx, True)
             made.change("tag", t, gone)

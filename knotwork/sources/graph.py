@@ -146,6 +146,7 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 
 #: Changes after which they are written out, and the rows of changes at which a frame is written anew with them.
 CUT_STEPS, MERGE_ROWS = 8, 1_000_000
+UNION_SETTING = "spark.sql.unionOutputPartitioning"
 
 
 @dataclass
@@ -205,6 +206,12 @@ class Space:
     scan_limit: int | None = None
     work_limit: int | None = None
 
+    def __post_init__(self):
+        # a union that takes over its inputs' partitioning fails where AQE has given them different numbers of partitions
+        # ("Can't zip RDDs", Spark 4.1), as it does for frames with changes
+        if self.spark.conf.get(UNION_SETTING, None) is None:
+            self.spark.conf.set(UNION_SETTING, "false")
+
     @property
     def vid_sql(self) -> str:
         return "long" if self.vid_type == "INT64" else "string"
@@ -265,21 +272,34 @@ class Space:
             latest = gone.select(*keys).distinct().select(*keys, *blank, F.lit(True).alias("_gone"))
         else:
             latest = rows.withColumn("_gone", F.lit(False))
-            if kind == "tag":
-                self.spans.pop(name, None)
         found = frames.get(name)
         frames[name] = (found if isinstance(found, Layered) else Layered(view, None, keys, 0)).changed(latest)
 
+    def may_hold(self, tag: str, vids) -> bool:
+        """Whether a tag may have any of these vertices, by what is known of its ids."""
+        span = self.spans.get(tag)
+        return span is None or any(span[0] <= v <= span[1] for v in vids)
+
+    def widen_span(self, tag: str, vids) -> None:
+        """What is known of a tag's ids, with vertices added."""
+        if tag in self.spans:
+            low, high = self.spans[tag]
+            self.spans[tag] = (min(low, *vids), max(high, *vids))
+
     def apart(self, a: str, b: str) -> bool:
         """Whether two tags surely share no vertex, by what is known of their ids."""
         x, y = self.spans.get(a), self.spans.get(b)
         return x is not None and y is not None and (x[1] < y[0] or y[1] < x[0])
 
-    def vertices(self, once: bool = True) -> DataFrame:
-        """(vid): all vertices; with once=False those of several tags may repeat, as a semi-join allows."""
-        if not self.tags:
+    def vertices(self, once: bool = True, among=None) -> DataFrame:
+        """(vid): all vertices; with once=False those of several tags may repeat, as a semi-join allows.
+
+        With `among`, listed ids, only tags that may hold one of them are read.
+        """
+        names = [t for t in self.tags if among is None or self.may_hold(t, among)]
+        if not names:
             return self.spark.createDataFrame([], f"vid {self.vid_sql}")
-        every, names = union_all([self.tag(t).select("vid") for t in self.tags]), list(self.tags)
+        every = union_all([self.tag(t).select("vid") for t in names])
         known_once = all(self.apart(a, b) for k, a in enumerate(names) for b in names[:k])
         return every.distinct() if once and not known_once else every
 
