@@ -42,12 +42,12 @@ def test_plans_do_not_grow_with_statements(db):
     db.execute("CREATE TAG t(a INT64); CREATE EDGE e(w INT64); CREATE TAG u(b INT64)")
     size = lambda: len(db.space.tag("t")._jdf.queryExecution().analyzed().toString().splitlines()) + len(db.space.edge("e")._jdf.queryExecution().analyzed().toString().splitlines())
     sizes = []
-    for k in range(48):
-        db.execute(f"INSERT VERTEX t(a) VALUES {k % 20}:({k}); INSERT EDGE e(w) VALUES {k % 20}->{k}:({k})")
+    for k in range(24):
+        db.execute(f"INSERT VERTEX t(a) VALUES {k % 10}:({k}); INSERT EDGE e(w) VALUES {k % 10}->{k}:({k})")
         sizes.append(size())
-    assert max(sizes[32:]) <= max(sizes[:16]) < 400
-    last = {k % 20: k for k in range(48)}
-    assert rows(db.space.tag("t")) == sorted(last.items(), key=repr) and db.space.edge("e").count() == 48
+    assert max(sizes[16:]) <= max(sizes[:16]) < 400
+    last = {k % 10: k for k in range(24)}
+    assert rows(db.space.tag("t")) == sorted(last.items(), key=repr) and db.space.edge("e").count() == 24
     assert len(rows(db.execute(f"FETCH PROP ON t 0 AS OF {db.last_tx}"))) == 1
 
 
