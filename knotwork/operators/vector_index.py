@@ -11,10 +11,11 @@ import math
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from knotwork.errors import QueryError
+from knotwork.operators.nearest import comparable, nearest, vector_blocks
 from knotwork.operators.recommend import cosine, vectors_of
 from knotwork.sources.graph import Space, _written, scratch_dir
 
@@ -23,6 +24,8 @@ SAMPLE_ROWS, ROUNDS = 20_000, 12
 #: Cells at most, and the share of them that a search takes. The test vectors hardly cluster: of the ten nearest 0.74 and 0.83 are
 #: found with 0.4 of the cells (500 and 2,000 vectors), 0.95 and 0.96 with 0.7; clustered vectors need fewer.
 MOST_CELLS, PROBED = 4096, 0.75
+#: Vectors of a cell that one task writes, about.
+PIECE_ROWS = 10_000
 
 
 @dataclass
@@ -51,28 +54,33 @@ class VectorIndex:
         return found.select("vid", cosine(F.col("vector"), own).alias("score")).filter("score is not null").orderBy(F.col("score").desc(), "vid").limit(k)
 
     def search_all(self, queries: DataFrame, k: int, probed: float = PROBED) -> DataFrame:
-        """(query, vid, score): of each query (vid, vector) the k nearest other vectors, by a join on cells."""
+        """(query, vid, score): of each query (vid, vector) the k nearest other vectors among its nearest cells, tile by tile."""
         centroids = self.centroids
+        if centroids is None:
+            return self.cells.limit(0).select(F.col("vid").alias("query"), "vid", F.lit(0.0).alias("score"))
 
-        def route(batches):
+        def routes(x):
             import numpy as np
-            import pyarrow as pa
 
             n = max(1, math.ceil(len(centroids) * probed))
-            for batch in batches:
-                x = np.array(batch.column(1).to_pylist(), np.float64).reshape(batch.num_rows, -1)
-                near = np.argsort(-(x @ centroids.T), axis=1, kind="stable")[:, :n]
-                at = pa.array(np.repeat(np.arange(batch.num_rows), n))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(near.ravel().astype(np.int32))], names=["query", "own", "cell"])
-
-        if centroids is None:
-            return self.cells.limit(0).select(F.col("vid").alias("query"), "vid", F.lit(0.0).alias("score"))
-        kind = dict(self.cells.dtypes)["vid"]
-        fits = queries.filter((F.size("vector") == centroids.shape[1]) & (F.aggregate("vector", F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double")) > 0))
-        routed = fits.select("vid", "vector").mapInArrow(route, f"query {kind}, own array<float>, cell int")
-        pairs = routed.join(self.cells, "cell").filter("query <> vid").select("query", "vid", cosine(F.col("own"), F.col("vector")).alias("score")).filter("score is not null")
-        best = Window.partitionBy("query").orderBy(F.col("score").desc(), "vid")
-        return pairs.withColumn("n", F.row_number().over(best)).filter(f"n <= {int(k)}").drop("n")
+            taken = np.zeros((len(x), len(centroids)), bool)
+            for a in range(0, len(x), 256):
+                near = np.argsort(-(x[a : a + 256] @ centroids.T), axis=1, kind="stable")[:, :n]
+                np.put_along_axis(taken[a : a + 256], near, True, 1)
+            return taken
+
+        # blocks are stretches of the vectors in the order of their cells, so a block has few cells and a large cell many blocks
+        sizes = sorted((r["cell"], r["count"]) for r in self.cells.groupBy("cell").count().collect())
+        total, starts = 0, []
+        for cell, n in sizes:
+            starts.append((cell, total, n))
+            total += n
+        blocks = vector_blocks(self.cells, total)
+        # a row for each cell
+        placed = self.cells.join(F.broadcast(self.cells.sparkSession.createDataFrame(starts, "cell int, start long, size long")), "cell")
+        at = F.col("start") + F.pmod(F.xxhash64("vid"), F.lit(1 << 20)) / (1 << 20) * F.col("size")
+        fits = comparable(queries.select("vid", "vector")).filter(F.size("vector") == centroids.shape[1])
+        return nearest(fits, placed, k, blocks, F.least(F.floor(at * blocks / max(1, total)), F.lit(blocks - 1)), routes, len(centroids))
 
 
 def build(space: Space, prop: str, cells: int | None = None, sample_rows: int = SAMPLE_ROWS, seed: int = 7) -> VectorIndex:
@@ -102,18 +110,21 @@ def build(space: Space, prop: str, cells: int | None = None, sample_rows: int =
             if np.linalg.norm(own):
                 centroids[c] = own / np.linalg.norm(own)
     kind = dict(vectors.dtypes)["vid"]
+    # by the sample, a cell is written in pieces of about PIECE_ROWS
+    held = np.bincount((x @ centroids.T).argmax(1), minlength=len(centroids)) / len(x) * common["n"]
+    pieces = np.maximum(1, np.ceil(held / PIECE_ROWS)).astype(np.int32)
 
     def assign(batches):
         import pyarrow as pa
 
         for batch in batches:
-            rows = np.array(batch.column(1).to_pylist(), np.float64).reshape(batch.num_rows, -1)
+            rows = batch.column(1).flatten().to_numpy().astype(np.float64).reshape(batch.num_rows, -1)
             near = (rows @ centroids.T).argmax(1) if batch.num_rows else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int32))], names=["vid", "vector", "cell"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int32)), pa.array(pieces[near])], names=["vid", "vector", "cell", "pieces"])
 
     path = f"{scratch_dir(spark)}/vectors-{uuid.uuid4().hex}"
     _written.append((spark, path))
-    found = vectors.select("vid", "vector").mapInArrow(assign, f"vid {kind}, vector array<float>, cell int")
-    # a cell that holds a third of all vectors is still written by several tasks
-    found.repartition(F.col("cell"), F.pmod(F.xxhash64("vid"), F.lit(8))).write.partitionBy("cell").parquet(path)
+    found = vectors.select("vid", "vector").mapInArrow(assign, f"vid {kind}, vector array<float>, cell int, pieces int")
+    # a cell that holds a third of all vectors is still written by several tasks, and a small one is one file
+    found.repartition(F.col("cell"), F.pmod(F.xxhash64("vid"), F.col("pieces"))).drop("pieces").write.partitionBy("cell").parquet(path)
     return VectorIndex(spark.read.schema(f"vid {kind}, vector array<float>, cell int").parquet(path), centroids, prop)

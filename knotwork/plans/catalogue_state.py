@@ -5,12 +5,13 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from knotwork.errors import QueryError
 from knotwork.operators import closure, identity, schema, vector_index
-from knotwork.operators.recommend import cosine, vectors_of
+from knotwork.operators.nearest import nearest_of_all
+from knotwork.operators.recommend import vectors_of
 from knotwork.plans.catalogue import COSINE, ORACLES, QUERIES, add, plain_names, register, rounded, same_pairs, v
 from knotwork.session import Session
 from knotwork.sources import backup, csv_import
@@ -267,8 +268,7 @@ def index_recall(spark, sf_dir) -> DataFrame:
     index, vectors = vector_index.build(space, "embedding"), vectors_of(space, "embedding")
     queries = vectors.filter("vid % 50 = 0")
     found = index.search_all(queries, 10)
-    exact = queries.select(F.col("vid").alias("query"), F.col("vector").alias("own")).join(vectors, F.col("query") != F.col("vid")).select("query", "vid", cosine(F.col("own"), F.col("vector")).alias("score"))
-    exact = exact.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "vid"))).filter("n <= 10")
+    exact = nearest_of_all(queries, vectors, 10)
     hits = exact.join(found.select("query", "vid", F.lit(1).alias("hit")), ["query", "vid"], "left")
     return hits.agg(F.countDistinct("query").alias("queries"), (F.avg(F.coalesce("hit", F.lit(0))) >= 0.9).alias("enough"))
 

@@ -204,3 +204,46 @@ def test_rounds_are_deleted(db):
     assert len(db.execute("FIND ALL SHORTEST PATHS FROM 1 TO 4 OVER e").collect()) == 1 and len(_written) == before
     db.execute("INSERT EDGE sameAs() VALUES 2->1:()")
     assert len(_written) == before + 1 and rows(db.execute("GO FROM 1 OVER e")) == [(1, 1), (1, 3)]
+
+
+def test_nearest_vectors_by_tiles(spark, monkeypatch):
+    """Tiles give what the plain expression gives over all pairs, with copies, several lengths, and numbers that are none."""
+    from random import Random
+
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from knotwork.operators import nearest
+    from knotwork.operators.recommend import cosine
+
+    draw = Random(5)
+    vectors = [[float(draw.randint(-9, 9)) / 7 for _ in range(draw.choice((3, 3, 6)))] for _ in range(200)]
+    vectors += [[1.0, 2.0, 3.0]] * 60 + [[2.0, 4.0, 6.0], [0.0, 0.0, 0.0], [], [1.0, None, 2.0], [float("nan"), 1.0, 1.0], None]
+    draw.shuffle(vectors)
+    for kind in ("long", "string"):
+        table = spark.createDataFrame([(k if kind == "long" else f"v{k}", v) for k, v in enumerate(vectors)] + [(None, [1.0, 1.0, 1.0])], f"vid {kind}, vector array<float>")
+        queries = table.filter(F.pmod(F.xxhash64("vid"), F.lit(4)) == 0)
+        pairs = queries.select(F.col("vid").alias("query"), F.col("vector").alias("own")).crossJoin(table).filter("query <> vid and own <> array(0f, 0f, 0f) and vector <> array(0f, 0f, 0f)").select("query", "vid", cosine(F.col("own"), F.col("vector")).alias("score")).filter("score is not null")
+        wanted = pairs.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "vid"))).filter("n <= 7").drop("n")
+        monkeypatch.setattr(nearest, "QUERY_BYTES", 4000)
+        monkeypatch.setattr(nearest, "LEAST_VECTORS", 40)
+        found = nearest.nearest_of_all(queries, table, 7)
+        plain = lambda df: rows(df.withColumn("score", F.nanvl("score", F.lit(9.0))))
+        assert plain(found) == plain(wanted) and len(rows(found)) > 300
+        assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_index_compares_no_pairs_as_rows(db):
+    """A search of many queries joins vectors with nothing but the cells' places, and is exact when it takes all cells."""
+    from knotwork.operators import nearest
+
+    db.execute("CREATE TAG t(e STRING)")
+    db.execute("INSERT VERTEX t(e) VALUES " + ", ".join(f"{k}:([{k % 10}.0, {k // 10}.5])" for k in range(100)))
+    index, vectors = vector_index.build(db.space, "e", cells=8), vector_index.vectors_of(db.space, "e")
+    found = index.search_all(vectors, 5, probed=1.0)
+    assert rows(found) == rows(nearest.nearest_of_all(vectors, vectors, 5))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1
+    few = index.search_all(vectors, 5, probed=0.2)
+    assert {r.query: r.vid for r in few.collect() if r.query == 37}.keys() == {37}
+    own = index.search(vectors.filter("vid = 37").first()["vector"], 5, 37, probed=0.2)
+    assert rows(few.filter("query = 37").select("vid")) == rows(own.select("vid"))
