@@ -8,6 +8,7 @@ its properties, so no second join fetches them.
 
 from __future__ import annotations
 
+import math
 from dataclasses import replace
 from functools import reduce
 from operator import or_
@@ -20,10 +21,12 @@ from knotwork.functions.expressions import AGGREGATES, Compiler, Mode, Typed, ha
 from knotwork.operators.aggregate import aggregate
 from knotwork.operators.varlength import reachable
 from knotwork.plans import syntax as s
-from knotwork.sources.graph import Space, union_all
+from knotwork.sources.graph import Space, cut, union_all
 
 EDGE_CALLS = {"src": "src", "dst": "dst", "type": "type", "rank": "rank", "ranking": "rank"}
 MAX_HOPS = 20
+#: Pairs that one task makes of two sides of a join, about.
+TASK_PAIRS = 1 << 22
 
 
 def columns_of(e) -> str:
@@ -235,8 +238,11 @@ class Matcher:
         limit = self.space.scan_limit
         if limit is not None and not any(n.labels for n in self.nodes[first]) and self.space.vertices().limit(limit + 1).count() > limit:
             raise QueryError(f"a pattern without a label scans more than {limit} vertices")
+        before = None
         for e, node in zip(pattern.edges, pattern.nodes[1:], strict=True):
             left = pattern.nodes[pattern.edges.index(e)].var
+            # a vertex that edges enter from both sides, or leave to both, may have many on each
+            turned, before = before is not None and (before.direction != e.direction or e.direction not in ("out", "in")), e
             if e.span:
                 frame = self.ranged(bound.select(F.col(f"{left}__vid").alias("vid")).distinct(), e)
             else:
@@ -247,6 +253,8 @@ class Matcher:
                 frame = frame.select("_from", "_to", *[F.col(f"{e.var}__{k}").alias(f"_{k}") for k in keys])
                 same = [F.col(f"{e.var}__{k}") == F.col(f"_{k}") for k in keys]
                 bound = bound.join(frame, [F.col(f"{left}__vid") == F.col("_from"), *same]).drop("_from", *[f"_{k}" for k in keys])
+            elif turned and node.var not in seen:
+                bound = self._met(bound, frame, [(f"{left}__vid", "_from")]).drop("_from")
             else:
                 bound = bound.join(frame, F.col(f"{left}__vid") == F.col("_from")).drop("_from")
             seen.add(e.var)
@@ -266,15 +274,15 @@ class Matcher:
     # --- the query ---
 
     def frame(self) -> DataFrame:
-        bound = None
-        for p in self.query.patterns:
+        bound, edges = None, False
+        for p, how in [*((p, "inner") for p in self.query.patterns), *((p, "left") for p in self.query.optional)]:
             own = self.bindings(p)
-            bound = own if bound is None else self._joined(bound, own, "inner")
-        for p in self.query.optional:
-            bound = self._joined(bound, self.bindings(p), "left")
+            bound = own if bound is None else self._joined(bound, own, how, edges and bool(p.edges))
+            edges = edges or bool(p.edges)
         return bound
 
-    def _joined(self, left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+    def _joined(self, left: DataFrame, right: DataFrame, how: str, many: bool) -> DataFrame:
+        """left with the bindings of another pattern; with `many` both may have several of a shared variable."""
         shared = [c for c in right.columns if c in left.columns]
         keys = [c for c in shared if c.endswith("__vid") or c.split("__", 1)[-1] in ("src", "dst", "rank", "type")]
         right = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns if c in keys or c not in shared])
@@ -284,8 +292,61 @@ class Matcher:
             if limit is not None and left.limit(limit + 1).count() * right.limit(limit + 1).count() > limit:
                 raise QueryError(f"patterns without a shared variable have more than {limit} pairs")
             return left.crossJoin(right) if how == "inner" else left.join(right, F.lit(True), how)
-        on = [F.col(c) == F.col(f"_r_{c}") for c in keys]
-        return left.join(right, on, how).drop(*[f"_r_{c}" for c in keys])
+        met = [(c, f"_r_{c}") for c in keys]
+        joined = self._met(left, right, met, how) if many else left.join(right, [F.col(a) == F.col(b) for a, b in met], how)
+        return joined.drop(*[b for _, b in met])
+
+    def _met(self, left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], how: str = "inner") -> DataFrame:
+        """left joined with right, each pair of keys equal, where a key may have many rows on both sides.
+
+        Two small sides can have very many pairs, and AQE sizes tasks by what they read. So the pairs are counted first, key by
+        key: beyond TASK_PAIRS they are dealt to tasks of about that many, and the rows of a key with more are cut into tiles.
+        """
+        on = [F.col(a) == F.col(b) for a, b in keys]
+        a, b = self.narrowed(left), self.narrowed(right) if how == "inner" else right
+        counts = a.groupBy(*[x for x, _ in keys]).agg(F.count(F.lit(1)).alias("_n")).join(b.groupBy(*[y for _, y in keys]).agg(F.count(F.lit(1)).alias("_m")), on)
+        pairs = F.col("_n").cast("double") * F.col("_m")
+        found = counts.agg(F.sum(pairs).alias("all"), F.max(pairs).alias("most")).first()
+        if not found["all"] or found["all"] <= TASK_PAIRS:
+            return left.join(right, on, how)
+        parts = max(int(self.space.spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(found["all"] / TASK_PAIRS))
+        if found["most"] > TASK_PAIRS:
+            side = math.isqrt(TASK_PAIRS)
+            cuts = lambda own, other: F.ceil(F.col(own) * F.least(F.col(other), F.lit(side)).cast("double") / TASK_PAIRS).cast("int")
+            heavy = cut(counts.filter(pairs > TASK_PAIRS).select(*[F.col(x).alias(f"_h{k}") for k, (x, _) in enumerate(keys)], cuts("_n", "_m").alias("_across"), cuts("_m", "_n").alias("_down")))
+        else:
+            heavy = None
+        l_tiles = self._tiles(left, [x for x, _ in keys], heavy, "_across", "_down").repartition(parts, *[F.col(x) for x, _ in keys], "_own", "_other")
+        r_tiles = self._tiles(right, [y for _, y in keys], heavy, "_down", "_across").withColumnsRenamed({"_own": "_r_other", "_other": "_r_own"})
+        r_tiles = r_tiles.repartition(parts, *[F.col(y) for _, y in keys], "_r_own", "_r_other")
+        inner = l_tiles.join(r_tiles, [*on, F.col("_own") == F.col("_r_own"), F.col("_other") == F.col("_r_other")]).drop("_own", "_other", "_r_own", "_r_other")
+        if how == "inner":
+            return inner
+        # a row without a partner would be one in each of its tiles
+        alone = left.join(right.select(*[y for _, y in keys]), on, "left_anti")
+        return inner.unionByName(alone.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema.fields]))
+
+    def _tiles(self, rows: DataFrame, keys: list[str], heavy: DataFrame | None, own: str, other: str) -> DataFrame:
+        """rows with _own, their part of their key, once for each part _other of the rows that they meet."""
+        if heavy is None:
+            return rows.withColumns({"_own": F.lit(0), "_other": F.lit(0)})
+        names = {f"{v}__vid" for v in self.nodes} | {f"{e}__{k}" for e in self.edges for k in ("src", "dst", "rank", "type")}
+        ids = [F.col(c) for c in rows.columns if c.removeprefix("_r_") in names]
+        told = rows.join(heavy.select(*[f"_h{k}" for k in range(len(keys))], F.col(own).alias("_own_n"), F.col(other).alias("_other_n")), [F.col(c) == F.col(f"_h{k}") for k, c in enumerate(keys)], "left")
+        one = F.lit(1)
+        return told.select(*rows.columns, F.pmod(F.xxhash64(*ids), F.coalesce("_own_n", one)).cast("int").alias("_own"), F.explode(F.sequence(F.lit(0), F.coalesce("_other_n", one) - 1)).alias("_other"))
+
+    def narrowed(self, frame: DataFrame) -> DataFrame:
+        """frame, to be counted, with the conditions of WHERE that can be told by it alone."""
+        e, parts = self.query.where, []
+        while isinstance(e, s.Bin) and e.op == "AND":
+            parts, e = [*parts, e.right], e.left
+        held = {v for v in (*self.nodes, *self.edges) if f"{v}__vid" in frame.columns or f"{v}__src" in frame.columns}
+        for x in [*parts, e] if e is not None else []:
+            owners = {y.owner if isinstance(y, s.Prop | s.TagProp) else y.name for y in s.walk(x) if isinstance(y, s.Prop | s.TagProp | s.Name)}
+            if owners and owners <= held and not any(isinstance(y, s.Call) and y.name.lower() in ("is_a", "isa") for y in s.walk(x)):
+                frame = frame.filter(Compiler(Mode.MATCH, self.resolve(frame)).filter(x))
+        return frame
 
     def resolve(self, frame: DataFrame):
         kinds = {f.name: kind_of(f.dataType) for f in frame.schema.fields}

@@ -244,3 +244,30 @@ def test_why_follows_long_proofs(spark):
     space = SimpleNamespace(spark=spark, vid_sql="long", provenance=provenance, edges_of=lambda *_, **__: edges)
     got = explain_fact(space, 0, 0, "e").orderBy("depth").collect()
     assert [r.status for r in got] == ["inferred"] * 66 + ["asserted"]
+
+
+def test_many_on_both_sides_of_a_vertex(db, monkeypatch):
+    """Pairs at one vertex are dealt to many tasks, and are the same pairs; a vertex without a partner stays one row of OPTIONAL MATCH."""
+    from pyspark.sql import functions as F
+
+    from knotwork.operators import match
+
+    db.execute("CREATE TAG hub(name STRING); CREATE TAG a(k INT64); CREATE TAG b(); CREATE EDGE e(); CREATE EDGE f()")
+    db.execute('INSERT VERTEX hub(name) VALUES 1:("big"), 2:("small"), 3:("none"); INSERT VERTEX a(k) VALUES ' + ", ".join(f"{100 + k}:({k})" for k in range(45)) + "; INSERT VERTEX b() VALUES " + ", ".join(f"{200 + k}:()" for k in range(32)))
+    db.execute("INSERT EDGE e() VALUES " + ", ".join(f"{100 + k}->{1 if k < 40 else k % 2 + 2}:()" for k in range(45)) + "; INSERT EDGE f() VALUES " + ", ".join(f"{200 + k}->{1 if k < 30 else 2}:()" for k in range(32)))
+    big = [(100 + k, 200 + m, "big") for k in range(40) for m in range(30)]
+    small = [(140 + k, 230 + m, "small") for k in (0, 2, 4) for m in range(2)]
+    none = [(140 + k, None, "none") for k in (1, 3)]
+    ask = {
+        "MATCH (x:a)-[:e]->(h:hub), (y:b)-[:f]->(h) WHERE x.k > 4 AND h.name != 'none'": [r for r in big + small if r[0] > 104],
+        "MATCH (x:a)-[:e]->(h:hub)<-[:f]-(y:b)": big + small,
+        "MATCH (x:a)-[:e]->(h:hub) OPTIONAL MATCH (y:b)-[:f]->(h)": big + small + none,
+    }
+    for pairs in (match.TASK_PAIRS, 1204, 50):  # no tiles; many tasks, no vertex of more than 50 pairs left whole
+        monkeypatch.setattr(match, "TASK_PAIRS", pairs)
+        for text, wanted in ask.items():
+            found = db.execute(f"{text} RETURN id(x) AS x, id(y) AS y, h.name AS h")
+            assert rows(found) == sorted(wanted, key=repr)
+            if pairs == 50:
+                counts = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+                assert len(counts) > 8 and max(counts) < 400
